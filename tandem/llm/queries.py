@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tandem.llm.decontamination import decontaminate
 from tandem.llm.exact_dedup import exact_dedup
+from tandem.llm.secret_scan import secret_scan
 from tandem.llm.substring_dedup import substring_dedup
 
 
@@ -16,11 +18,20 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"), digest_all=True)
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan(table(spark, sf_dir, "documents"))
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents"), with_text=False)
 
 
-QUERIES = {q.__name__: q for q in (op3_exact_dedup, op9_substring_dedup)}
+QUERIES = {q.__name__: q for q in (op3_exact_dedup, op7_secret_scan, op8_decontamination, op9_substring_dedup)}
 
 ORACLE_SQL = {
     "op3_exact_dedup": """
@@ -35,6 +46,33 @@ WITH n AS (
   FROM n
 )
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM r
+""",
+    "op8_decontamination": """
+WITH t AS (
+  SELECT doc_id AS id, 'd' AS side, text FROM documents UNION ALL SELECT item_id, 'b', text FROM benchmark
+), w AS (
+  SELECT side, id, regexp_extract_all(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w
+  FROM t
+), b AS (
+  SELECT DISTINCT id, least(10, len(w)) AS n, array_to_string(w[i:i + least(10, len(w)) - 1], ' ') AS x
+  FROM (SELECT id, w, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i FROM w WHERE side = 'b' AND len(w) > 0)
+), d AS (
+  SELECT id, n, i, array_to_string(w[i:i + n - 1], ' ') AS x
+  FROM (SELECT id, w, n, unnest(range(1, len(w) - n + 2)) AS i
+        FROM w, (SELECT DISTINCT n FROM b) WHERE side = 'd' AND len(w) >= n)
+), o AS (
+  SELECT d.id AS doc_id, d.i, d.n, b.id AS item FROM d JOIN b ON d.n = b.n AND d.x = b.x
+), hits AS (
+  SELECT doc_id, count(DISTINCT j) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS j FROM o) GROUP BY doc_id
+), items AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS s
+  FROM (SELECT DISTINCT doc_id, CAST(item AS VARCHAR) AS s FROM o) GROUP BY doc_id
+)
+SELECT w.id AS doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM w LEFT JOIN hits ON w.id = hits.doc_id LEFT JOIN items ON w.id = items.doc_id WHERE side = 'd'
 """,
     "op9_substring_dedup": """
 WITH d AS (
