@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tandem.llm.decontamination import decontaminate
 from tandem.llm.exact_dedup import exact_dedup
+from tandem.llm.language_id import fit as fit_languages
+from tandem.llm.language_id import fold, identify
 from tandem.llm.secret_scan import secret_scan
 from tandem.llm.substring_dedup import substring_dedup
 
@@ -18,6 +21,13 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"), digest_all=True)
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = fold(F.col("doc_id"), 5) == 0
+    model = fit_languages(docs.filter(~held_out).select("doc_id", "text", "lang"))
+    return identify(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan(table(spark, sf_dir, "documents"))
 
@@ -31,7 +41,7 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents"), with_text=False)
 
 
-QUERIES = {q.__name__: q for q in (op3_exact_dedup, op7_secret_scan, op8_decontamination, op9_substring_dedup)}
+QUERIES = {q.__name__: q for q in (op3_exact_dedup, op5_language_id, op7_secret_scan, op8_decontamination, op9_substring_dedup)}
 
 ORACLE_SQL = {
     "op3_exact_dedup": """
