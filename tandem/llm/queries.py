@@ -9,6 +9,8 @@ from tandem.llm.decontamination import decontaminate
 from tandem.llm.exact_dedup import exact_dedup
 from tandem.llm.language_id import fit as fit_languages
 from tandem.llm.language_id import fold, identify
+from tandem.llm.quality_classifier import fit as fit_quality
+from tandem.llm.quality_classifier import graded
 from tandem.llm.secret_scan import secret_scan
 from tandem.llm.substring_dedup import substring_dedup
 
@@ -21,6 +23,19 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"), digest_all=True)
 
 
+def quality_model(spark: SparkSession, sf_dir: str, docs: DataFrame):
+    """Grades: 0 toxic, 1 not toxic but of low quality, 2 good; learned from rated documents outside the held-out tenth."""
+    rating = F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 0, 1).when(F.col("quality") == 1, 2)
+    ratings = table(spark, sf_dir, "labels").select("doc_id", rating.alias("rating"))
+    return fit_quality(docs.select("doc_id", "text").filter(fold(F.col("doc_id"), 10) != 0).join(ratings, "doc_id"))
+
+
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = graded(docs, quality_model(spark, sf_dir, docs), least=2)
+    return rows.select("doc_id", (fold(F.col("doc_id"), 10) == 0).alias("held_out"), "expected_grade", "tail", "keep")
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = fold(F.col("doc_id"), 5) == 0
@@ -41,7 +56,7 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents"), with_text=False)
 
 
-QUERIES = {q.__name__: q for q in (op3_exact_dedup, op5_language_id, op7_secret_scan, op8_decontamination, op9_substring_dedup)}
+QUERIES = {q.__name__: q for q in (op3_exact_dedup, op4_quality_classifier, op5_language_id, op7_secret_scan, op8_decontamination, op9_substring_dedup)}
 
 ORACLE_SQL = {
     "op3_exact_dedup": """
