@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tandem.llm.decontamination import decontaminate
 from tandem.llm.exact_dedup import exact_dedup
+from tandem.llm.jaccard_join import jaccard_join
 from tandem.llm.language_id import fit as fit_languages
 from tandem.llm.language_id import fold, identify
 from tandem.llm.quality_classifier import fit as fit_quality
@@ -43,6 +44,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join(table(spark, sf_dir, "documents"))
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan(table(spark, sf_dir, "documents"))
 
@@ -56,7 +61,7 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents"), with_text=False)
 
 
-QUERIES = {q.__name__: q for q in (op3_exact_dedup, op4_quality_classifier, op5_language_id, op7_secret_scan, op8_decontamination, op9_substring_dedup)}
+QUERIES = {q.__name__: q for q in (op3_exact_dedup, op4_quality_classifier, op5_language_id, op6_jaccard_join, op7_secret_scan, op8_decontamination, op9_substring_dedup)}
 
 ORACLE_SQL = {
     "op3_exact_dedup": """
