@@ -10,6 +10,7 @@ from tandem.llm.exact_dedup import exact_dedup
 from tandem.llm.jaccard_join import jaccard_join
 from tandem.llm.language_id import fit as fit_languages
 from tandem.llm.language_id import fold, identify
+from tandem.llm.line_dedup import line_dedup
 from tandem.llm.quality_classifier import fit as fit_quality
 from tandem.llm.quality_classifier import graded
 from tandem.llm.secret_scan import secret_scan
@@ -20,6 +21,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup(table(spark, sf_dir, "documents"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"), digest_all=True)
 
@@ -61,7 +66,7 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents"), with_text=False)
 
 
-QUERIES = {q.__name__: q for q in (op3_exact_dedup, op4_quality_classifier, op5_language_id, op6_jaccard_join, op7_secret_scan, op8_decontamination, op9_substring_dedup)}
+QUERIES = {q.__name__: q for q in (op1_line_dedup, op3_exact_dedup, op4_quality_classifier, op5_language_id, op6_jaccard_join, op7_secret_scan, op8_decontamination, op9_substring_dedup)}
 
 ORACLE_SQL = {
     "op3_exact_dedup": """
