@@ -11,6 +11,7 @@ from tandem.llm.jaccard_join import jaccard_join
 from tandem.llm.language_id import fit as fit_languages
 from tandem.llm.language_id import fold, identify
 from tandem.llm.line_dedup import line_dedup
+from tandem.llm.ngram_lm import lm_score, train
 from tandem.llm.quality_classifier import fit as fit_quality
 from tandem.llm.quality_classifier import graded
 from tandem.llm.secret_scan import secret_scan
@@ -25,6 +26,13 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(table(spark, sf_dir, "documents"))
 
 
+def op2_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = fold(F.col("doc_id"), 10) == 0
+    scores = lm_score(docs, train(docs.filter(~F.coalesce(held_out, F.lit(False)))))
+    return scores.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"), digest_all=True)
 
@@ -66,7 +74,7 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents"), with_text=False)
 
 
-QUERIES = {q.__name__: q for q in (op1_line_dedup, op3_exact_dedup, op4_quality_classifier, op5_language_id, op6_jaccard_join, op7_secret_scan, op8_decontamination, op9_substring_dedup)}
+QUERIES = {q.__name__: q for q in (op1_line_dedup, op2_ngram_lm, op3_exact_dedup, op4_quality_classifier, op5_language_id, op6_jaccard_join, op7_secret_scan, op8_decontamination, op9_substring_dedup)}
 
 ORACLE_SQL = {
     "op3_exact_dedup": """
