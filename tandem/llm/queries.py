@@ -15,6 +15,7 @@ from tandem.llm.ngram_lm import lm_score, train
 from tandem.llm.quality_classifier import fit as fit_quality
 from tandem.llm.quality_classifier import graded
 from tandem.llm.secret_scan import secret_scan
+from tandem.llm.sentencepiece_codec import round_trips
 from tandem.llm.substring_dedup import substring_dedup
 
 
@@ -74,7 +75,11 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents"), with_text=False)
 
 
-QUERIES = {q.__name__: q for q in (op1_line_dedup, op2_ngram_lm, op3_exact_dedup, op4_quality_classifier, op5_language_id, op6_jaccard_join, op7_secret_scan, op8_decontamination, op9_substring_dedup)}
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trips(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {q.__name__: q for q in (op1_line_dedup, op2_ngram_lm, op3_exact_dedup, op4_quality_classifier, op5_language_id, op6_jaccard_join, op7_secret_scan, op8_decontamination, op9_substring_dedup, op10_sentencepiece)}
 
 ORACLE_SQL = {
     "op3_exact_dedup": """
