@@ -88,21 +88,25 @@ def model_scores(extractions: DataFrame, truth: DataFrame, groups=SYNONYMS) -> D
     terms = extractions.select("model", "patient_id", F.explode("symptoms").alias("term"))
     terms = terms.withColumn("term", canonical(F.col("term"), groups)).distinct()
     lists = terms.groupBy("model", "patient_id").agg(F.collect_set("term").alias("predicted"))
-    empty = F.array().cast("array<string>")
-    grid = models.select("model").crossJoin(truth)  # every model is judged on every truth patient
-    rows = grid.join(lists, ["model", "patient_id"], "left").withColumn("predicted", F.coalesce("predicted", empty))
+    # Only patients with a prediction are joined; the others have F1 1 with an empty truth and 0 without, so totals give them.
+    n_t = F.size("terms")
+    totals = truth.agg(F.count(F.lit(1)).alias("n"), F.sum((n_t == 0).cast("int")).alias("n_empty"), F.sum(n_t).alias("n_terms"))
     f1 = set_scores(F.col("predicted"), F.col("terms"))["f1"]
-    sizes = F.size("predicted") - F.size("terms")
-    scores = rows.groupBy("model").agg(F.avg(f1).alias("macro"), F.avg(F.when(F.size("terms") > 0, f1)).alias("symptomatic"), F.avg(sizes).alias("bias"))
-    # prevalence of each term among the truth patients; a term without truth has no weight
+    sums = lists.join(truth, "patient_id").groupBy("model").agg(F.sum(f1).alias("f1"), F.sum((n_t == 0).cast("int")).alias("met_empty"), F.sum(F.size("predicted")).alias("n_said"))
+    # Prevalence errors weighted by the truth's rates: a term that a model never gives has the error r, so again only what it gives is joined.
+    rates = truth.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("r"))
+    squares = rates.agg(F.sum("r").alias("weights"), F.sum(F.col("r") * F.col("r")).alias("squares"))
     said = terms.join(truth.select("patient_id"), "patient_id", "left_semi").groupBy("model", "term").agg(F.count(F.lit(1)).alias("p"))
-    true = truth.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("r"))
-    total = truth.agg(F.count(F.lit(1)).alias("n"))
-    weighed = models.select("model").crossJoin(true).crossJoin(total).join(said, ["model", "term"], "left").na.fill(0, ["p"])
-    p, r = F.col("p") / F.col("n"), F.col("r") / F.col("n")
-    errors = weighed.groupBy("model").agg(F.try_divide(F.sum(r * F.abs(p - r)), F.sum(r)).alias("mae"))
+    p, r = F.col("p"), F.col("r")
+    errors = said.join(rates, "term").groupBy("model").agg(F.sum(r * F.abs(p - r) - r * r).alias("error"))
+    rows = models.join(sums, "model", "left").join(errors, "model", "left").na.fill(0, ["f1", "met_empty", "n_said", "error"]).crossJoin(F.broadcast(totals)).crossJoin(F.broadcast(squares))  # one row each
+    n, full = F.col("n"), F.col("n") - F.col("n_empty")
+    out = rows.select(
+        "model", "mean_inference_s",
+        F.try_divide(F.col("f1") + F.col("n_empty") - F.col("met_empty"), n).alias("macro"), F.try_divide(F.col("f1"), full).alias("symptomatic"),
+        F.try_divide(F.col("squares") + F.col("error"), F.col("weights") * n).alias("mae"), F.try_divide(F.col("n_said") - F.col("n_terms"), n).alias("bias"),
+    )
     zero = lambda c: F.round(F.coalesce(c, F.lit(0.0)), 6)
-    out = models.join(scores, "model", "left").join(errors, "model", "left")
     return out.select(
         "model", zero("macro").alias("macro_f1"), zero("symptomatic").alias("symptomatic_f1"), zero("mae").alias("weighted_mae"),
         F.round("mean_inference_s", 4).alias("mean_inference_s"), zero("bias").alias("bias"),
