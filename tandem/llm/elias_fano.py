@@ -91,10 +91,12 @@ class EliasFano:
         ends[real] = self._select(edges[real], False) - edges[real]
         at, end = ends[inverse[: len(live)]], ends[inverse[len(live) :]]
         want = value[live] & U64((1 << self.bits) - 1)
-        todo = np.arange(len(live))
-        while len(todo):  # within the values of one upper part, one or two as a rule
+        todo = np.flatnonzero(at < end)
+        while len(todo):  # halve the values of one upper part: few as a rule, many where a frequent context has many words
+            middle = (at[todo] + end[todo]) >> 1
+            less = self._lower(middle) < want[todo]
+            at[todo[less]] = middle[less] + 1
+            end[todo[~less]] = middle[~less]
             todo = todo[at[todo] < end[todo]]
-            todo = todo[self._lower(at[todo]) < want[todo]]
-            at[todo] += 1
         out[live] = at
         return out
