@@ -14,8 +14,9 @@ repeat is covered by its repeated full windows.
 Between the levels the surviving hashes travel as a bitmap of fixed size
 (``filter_bits``): a false positive only sends a window to level 2, where a
 128-bit hash decides. Each task resolves the repeats that it sees itself and
-sends one row for each of its distinct windows, so a passage held by a third of
-all documents is a row for each block of text, not for each document.
+sends only the windows of the smallest id that it has them from, so a passage
+held by a third of all documents is a row for each block of text, not for each
+document.
 
 Defined results: a null or empty text has no words; repeats within one document
 stay; rows with equal ids and texts get equal results; a row with a null id is
@@ -129,7 +130,7 @@ def level_2(min_words: int, bits: int, flags):
             lowest = ids[order][np.flatnonzero(fresh)][np.cumsum(fresh) - 1]
             own, send = np.zeros(len(at), bool), np.zeros(len(at), bool)
             own[order] = ids[order] > lowest
-            send[order] = fresh
+            send[order] = ids[order] == lowest  # every place in the lowest document: it may hold a window twice
             # windows resolved here, as runs of consecutive starts
             here = np.flatnonzero(own)
             new = np.concatenate([[True], (np.diff(at[here]) != 1) | (np.diff(doc[here]) != 0)]) if len(here) else here
