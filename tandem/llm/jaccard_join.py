@@ -18,10 +18,12 @@ of their sets is ``least`` (0.8) or more.
    nearly equal to none of them becomes one); beyond ``share`` members the bucket is
    dealt out in parts that all hold its first pivot. No pair is dropped by
    count.
-4. In a bucket sets are compared by sketches of 128 bytes (one-permutation
-   minima). Pairs whose estimate is within reach of the threshold are
-   verified on the exact sets; between members that are both nearly equal to one
-   pivot only the links to the pivot are.
+4. In a bucket sets are compared by sketches of 256 bytes (one-permutation
+   minima); pairs whose estimate is out of reach of the threshold are out. First
+   each set proposes its likest partner among the sets before it; proposals are
+   verified on the exact sets and joined to groups. Then all further pairs of a
+   bucket that are in different groups are verified. So a pair is only passed
+   over when its two texts are in one group already.
 5. Verified links are joined to groups by union-find.
 
 Defined results: class_id is the smallest id of the group; n_links counts the
@@ -40,13 +42,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tandem.llm.buckets import candidates
 from tandem.llm.components import components
 from tandem.llm.hashing import SPACE, cut, mix, prefix_sums, span_hashes, text_blocks, word_hashes
 from tandem.llm.storage import stored
 from tandem.llm.substring_dedup import bitmap
 
 U64 = np.uint64
-BINS = 128
+BINS = 256
 SALT = U64(0xA0761D6478BD642F)
 
 
@@ -63,13 +66,13 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.
 
 
 def sketches(tokens: np.ndarray, begin: np.ndarray) -> np.ndarray:
-    """128 bytes for each set: of the smallest hash in each bin a byte from 1 to 255; 0 for an empty bin."""
+    """256 bytes for each set: of the smallest hash in each bin a byte from 1 to 255; 0 for an empty bin."""
     n = len(begin) - 1
     doc = np.repeat(np.arange(n), np.diff(begin))
     h = mix(tokens ^ SALT)
-    low = np.full(n * BINS, 0xFFFFFFFFFFFFFF, U64)
-    np.minimum.at(low, doc * BINS + (h >> U64(57)).astype(np.int64), h & U64(0x1FFFFFFFFFFFFF))
-    return np.where(low == 0xFFFFFFFFFFFFFF, 0, low % U64(255) + U64(1)).astype(np.uint8).reshape(n, BINS)
+    low = np.full(n * BINS, 1 << 62, U64)
+    np.minimum.at(low, doc * BINS + (h >> U64(56)).astype(np.int64), h & U64(0xFFFFFFFFFFFFFF))
+    return np.where(low == 1 << 62, 0, low % U64(255) + U64(1)).astype(np.uint8).reshape(n, BINS)
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -135,110 +138,47 @@ def _profiles(words: int, runs: int, depth: int, least: float):
     return run, f"doc_id long, size int, h1 long, h2 long, sketch binary, leaves array<struct<{keys}>>"
 
 
-def _buckets(leaves: DataFrame, depth: int, limit: int, share: int) -> DataFrame:
-    """(bucket, doc_id, big): the nodes at which sets are compared."""
-    done = None
-    for level in range(depth):
-        key, flag = f"k{level}", f"f{level}"
-        counts = stored(leaves.groupBy(key).agg(F.sum(flag).alias("n"), F.min("doc_id").alias("pivot")).filter("n > 1"), "counts")
-        rows = leaves.filter(f"{key} <> 0").join(counts, key)
-        last = level == depth - 1
-        here = rows.filter(f"{flag} = 1" + ("" if last else f" AND n <= {limit}"))
-        parts = F.ceil(F.col("n") / share).cast("int")
-        if last:
-            salt = F.when(F.col("doc_id") == F.col("pivot"), F.sequence(F.lit(0), parts - 1)).otherwise(F.array(F.pmod(F.hash("doc_id"), parts)))
-            here = here.select(key, "doc_id", "n", F.explode(F.when(parts > 1, salt).otherwise(F.array(F.lit(0)))).alias("salt"))
-        else:
-            here = here.withColumn("salt", F.lit(0))
-        here = here.select(F.xxhash64(F.lit(level), key, "salt").alias("bucket"), "doc_id", (F.col("n") > limit).alias("big"))
-        done = here if done is None else done.union(here)
-        if not last:
-            leaves = stored(rows.filter(f"n > {limit}").drop("n", "pivot", key, flag), "leaves")
-    return done
-
-
-class _Pairs:
-    """Pairs worth verifying, from rows sorted by bucket."""
-
-    def __init__(self, least: float):
-        self.least, self.reach, self.near = least, least - 0.17, least + 0.1
-        self.bucket, self.pivots = None, []
-
-    def small(self, bucket, doc, size, sketch):
-        left, right, like = [], [], []
-        for step in range(1, len(bucket)):
-            at = np.flatnonzero(bucket[step:] == bucket[:-step])
-            if not len(at):
-                break
-            a, b = size[at], size[at + step]
-            at = at[np.minimum(a, b) >= self.least * np.maximum(a, b)]
-            for part in np.array_split(at, len(at) // 50_000 + 1):
-                alike = likeness(sketch[part], sketch[part + step])
-                good = alike >= self.reach
-                left.append(part[good])
-                right.append(part[good] + step)
-                like.append(alike[good])
-        if not left:
-            return []
-        left, right, like = map(np.concatenate, (left, right, like))
-        leader = np.arange(len(bucket))
-        np.minimum.at(leader, right[like >= self.near], left[like >= self.near])
-        held = (leader[left] < left) & (leader[left] == leader[right])
-        return [(doc[left[~held]], doc[right[~held]])]
-
-    def big(self, bucket, doc, size, sketch):
-        """One bucket's next rows against its pivots so far."""
-        if bucket != self.bucket:
-            self.bucket, self.pivots = bucket, []
-        out, alone = [], np.ones(len(doc), bool)
-        tried = 0
-        while True:
-            for p_doc, p_size, p_sketch in self.pivots[tried:]:
-                ok = np.flatnonzero((np.minimum(size, p_size) >= self.least * np.maximum(size, p_size)) & (doc != p_doc))
-                like = likeness(sketch[ok], p_sketch)
-                good = ok[like >= self.reach]
-                out.append((np.full(len(good), p_doc), doc[good]))
-                alone[ok[like >= self.near]] = False
-            tried = len(self.pivots)
-            rest = np.flatnonzero(alone)
-            if not len(rest):
-                return out
-            p = rest[0]
-            alone[p] = False
-            self.pivots.append((doc[p], size[p], sketch[p]))
-
-
-def _candidates(least: float):
-    names = ("bucket", "doc_id", "size", "big", "sketch")
+def _split(flags, bits: int, depth: int):
+    """The leaves below the nodes that a bitmap holds, with the keys from the second on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs, held = _Pairs(least), None
-
-        def out(found):
-            for a, b in found:
-                if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
-
+        seen = flags.value
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            own = [batch.column(n).to_numpy(zero_copy_only=False) for n in names[:-1]]
-            own.append(np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint8).reshape(-1, BINS))
-            if held is not None:
-                own = [np.concatenate(x) for x in zip(held, own, strict=True)]
-            bucket, doc, size, big, sketch = own
-            # the last bucket may go on: its rows wait, unless it is big and can be taken piece by piece
-            edge = len(bucket) if big[-1] else int(np.flatnonzero(bucket != bucket[-1])[-1]) + 1 if bucket[0] != bucket[-1] else 0
-            held = [x[edge:] for x in own]
-            less = np.flatnonzero(~big[:edge])
-            yield from out(pairs.small(bucket[less], doc[less], size[less], sketch[less]))
-            more = np.flatnonzero(big[:edge])
-            for part in np.split(more, np.flatnonzero(np.diff(bucket[more])) + 1) if len(more) else []:
-                yield from out(pairs.big(bucket[part[0]], doc[part], size[part], sketch[part]))
-        if held is not None and len(held[0]):
-            yield from out(pairs.small(*held[:3], held[4]))
-
-    return run
+            leaves = batch.column("leaves")
+            flat = leaves.flatten()
+            row = np.repeat(np.arange(batch.num_rows), np.diff(leaves.offsets.to_numpy()))
+            index = (flat.field("k0").to_numpy().view(U64) >> U64(64 - bits)).astype(np.int64)
+            at = pa.array(np.flatnonzero((seen[index >> 3] >> (7 - (index & 7)).astype(np.uint8)) & 1 == 1))
+            names = [f"{c}{i}" for c in "kf" for i in range(depth)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(row).take(at)), *(flat.field(n).take(at) for n in names)], names=["doc_id", *names])
+
+    return run, "doc_id long, " + ", ".join([*(f"k{i} long" for i in range(depth)), *(f"f{i} tinyint" for i in range(depth))])
+
+
+def _buckets(profiles: DataFrame, reps: DataFrame, depth: int, limit: int, share: int, bits: int = 20) -> DataFrame:
+    """(bucket, doc_id, big, everywhere): the nodes at which sets are compared."""
+    first = profiles.select("doc_id", F.explode(F.filter("leaves", lambda x: x["f0"] == 1)).alias("leaf")).select("doc_id", F.col("leaf.k0").alias("k0"))
+    nodes = stored(first.join(reps, "doc_id", "left_semi"), "nodes")
+    done = leaves = None
+    for level in range(depth):
+        key, flag, last = f"k{level}", f"f{level}", level == depth - 1
+        rows = nodes if not level else leaves.filter(f"{flag} = 1").select("doc_id", key)
+        counts = stored(rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("pivot")).filter("n > 1"), "counts")
+        here = rows.join(counts if last else counts.filter(f"n <= {limit}"), key)
+        parts = F.ceil(F.col("n") / share).cast("int")
+        salt = F.when(F.col("doc_id") == F.col("pivot"), F.sequence(F.lit(0), parts - 1)).otherwise(F.array(F.pmod(F.hash("doc_id"), parts)))
+        here = here.withColumn("salt", F.explode(F.when(parts > 1, salt).otherwise(F.array(F.lit(0)))))
+        everywhere = (parts > 1) & (F.col("doc_id") == F.col("pivot"))
+        here = here.select(F.xxhash64(F.lit(level), key, "salt").alias("bucket"), "doc_id", (F.col("n") > limit).alias("big"), everywhere.alias("everywhere"))
+        done = here if done is None else done.union(here)
+        if last:
+            return stored(done, "buckets")
+        large = counts.filter(f"n > {limit}").select(key)
+        if not level:
+            flags = profiles.sparkSession.sparkContext.broadcast(bitmap(large.select(F.col(key).alias("hash")), bits))
+            run, schema = _split(flags, bits, depth)
+            leaves = profiles.select("doc_id", "leaves").mapInArrow(run, schema).join(reps, "doc_id", "left_semi")
+        leaves = stored(leaves.join(large, key, "left_semi").drop(key, flag), "leaves")
 
 
 def _sets(words: int, bits: int, flags):
@@ -270,6 +210,19 @@ def _verify(least: float):
     return run
 
 
+def _verified(texts: DataFrame, rows: DataFrame, least: float, words: int, labelled: bool, bits: int) -> DataFrame:
+    """The links (a, b) among the pairs that the rows of some buckets give."""
+    rows = rows.withColumnRenamed("doc_id", "item").repartition("bucket").sortWithinPartitions("bucket", F.xxhash64("item"))
+    pairs = stored(rows.mapInArrow(candidates(likeness, least, least - 0.07, labelled), "a long, b long").filter("a <> b").distinct(), "pairs")
+    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b"))
+    flags = texts.sparkSession.sparkContext.broadcast(bitmap(ids.select(F.xxhash64("doc_id").alias("hash")), bits))
+    indexed = texts.filter("doc_id IS NOT NULL").withColumn("index", F.shiftrightunsigned(F.xxhash64("doc_id"), 64 - bits))
+    sets = stored(indexed.mapInArrow(_sets(words, bits, flags), "doc_id long, tokens binary"), "sets").dropDuplicates(["doc_id"])
+    left = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("tokens").alias("x")), "a")
+    both = left.join(sets.select(F.col("doc_id").alias("b"), F.col("tokens").alias("y")), "b").select("a", "b", "x", "y")
+    return stored(both.mapInArrow(_verify(least), "a long, b long"), "verified")
+
+
 def jaccard_join(
     docs: DataFrame, least: float = 0.8, words: int = 5, runs: int = 10, depth: int = 4, limit: int = 64, share: int = 20_000, filter_bits: int = 24
 ) -> DataFrame:
@@ -279,25 +232,24 @@ def jaccard_join(
     profiles = stored(texts.mapInArrow(run, schema), "profiles")
     known = profiles.filter("doc_id IS NOT NULL AND size > 0")
     classes = stored(known.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep")), "classes")
-    # one profile for each class: that of the row with the smallest id
     members = profiles.select("doc_id", "size", "h1", "h2").join(classes, ["h1", "h2"], "left")
     members = members.select("doc_id", F.when(F.col("doc_id").isNotNull() & (F.col("size") > 0), F.col("rep")).otherwise(F.col("doc_id")).alias("rep"))
-    reps = known.join(classes.withColumnRenamed("rep", "doc_id"), ["h1", "h2", "doc_id"], "left_semi").dropDuplicates(["doc_id"])
-    reps = stored(reps.select("doc_id", "size", "sketch", "leaves"), "reps")
-    leaves = reps.select("doc_id", F.explode("leaves").alias("leaf")).select("doc_id", "leaf.*")
-    buckets = stored(_buckets(leaves, depth, limit, share), "buckets")
-    rows = buckets.join(reps.select("doc_id", "size", "sketch"), "doc_id").select("bucket", "doc_id", "size", "big", "sketch")
-    rows = rows.repartition("bucket").sortWithinPartitions("bucket", F.xxhash64("doc_id", "bucket"))
-    pairs = stored(rows.mapInArrow(_candidates(least), "a long, b long").distinct(), "pairs")
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b"))
-    flags = docs.sparkSession.sparkContext.broadcast(bitmap(ids.select(F.xxhash64("doc_id").alias("hash")), filter_bits))
-    indexed = texts.filter("doc_id IS NOT NULL").withColumn("index", F.shiftrightunsigned(F.xxhash64("doc_id"), 64 - filter_bits))
-    sets = stored(indexed.mapInArrow(_sets(words, filter_bits, flags), "doc_id long, tokens binary"), "sets")
-    sets = sets.dropDuplicates(["doc_id"])
-    left = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("tokens").alias("x")), "a")
-    both = left.join(sets.select(F.col("doc_id").alias("b"), F.col("tokens").alias("y")), "b").select("a", "b", "x", "y")
-    links = stored(both.mapInArrow(_verify(least), "a long, b long"), "verified")
-    groups = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    buckets = _buckets(known, classes.select(F.col("rep").alias("doc_id")), depth, limit, share)
+    sketch = known.select("doc_id", "size", "sketch")
+    rows = buckets.join(sketch, "doc_id").select("bucket", "doc_id", "size", F.col("doc_id").alias("label"), "big", "sketch")
+    links = _verified(texts, rows, least, words, False, filter_bits)
+    edges = links.select(F.col("a").alias("u"), F.col("b").alias("v"))
+    labels = stored(components(edges), "labels")
+    labelled = buckets.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("bucket", "doc_id", "big", "everywhere", F.coalesce("component", "doc_id").alias("label"))
+    mixed = stored(labelled.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("bucket"), "mixed")
+    rows = stored(labelled.join(mixed, "bucket", "left_semi"), "mixed")
+    # a document is in a few buckets of each run
+    held = rows.groupBy("doc_id").agg(F.collect_list(F.when(~F.col("everywhere"), F.col("bucket"))).alias("held"))
+    rows = rows.join(held.join(sketch, "doc_id"), "doc_id").select("bucket", "doc_id", "size", "label", "big", "sketch", "held")
+    more = _verified(texts, rows, least, words, True, filter_bits)
+    links = links.union(more)
+    known_links = labels.filter("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v"))
+    groups = components(known_links.union(more.select(F.col("a").alias("u"), F.col("b").alias("v"))))
     ends = links.select(F.col("a").alias("node")).union(links.select("b"))
     counts = ends.groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     labels = stored(groups.join(counts, "node", "left"), "labels")
