@@ -48,6 +48,11 @@ def canonical(term: Column, groups=SYNONYMS) -> Column:
     return F.coalesce(F.element_at(F.create_map(*map(F.lit, chain(*known.items()))), key), key)
 
 
+def equivalent(a: Column, b: Column, groups=SYNONYMS) -> Column:
+    """Whether two terms are the same or in one group."""
+    return canonical(a, groups) == canonical(b, groups)
+
+
 def set_scores(predicted: Column, truth: Column) -> Column:
     """struct(precision, recall, f1) of two arrays as sets; two empty sets agree fully."""
     p, t = F.array_distinct(predicted), F.array_distinct(truth)

@@ -15,6 +15,11 @@ def test_canonical(spark):
     assert [r[0] for r in rows.select(metrics.canonical(F.col("t"))).collect()] == ["drowsiness", "depressed", "odd thing", None]
 
 
+def test_equivalent(spark):
+    rows = spark.createDataFrame([("drowsy", "Sedation"), ("rash", "itch"), ("Own Term", "own_term")], "a string, b string")
+    assert [r[0] for r in rows.select(metrics.equivalent(F.col("a"), F.col("b"))).collect()] == [True, False, True]
+
+
 def test_set_scores(spark):
     rows = spark.createDataFrame([(["a", "b", "b"], ["b", "c", "d"]), ([], []), (["a"], []), ([], ["a"])], "p array<string>, t array<string>")
     got = [tuple(r[0]) for r in rows.select(metrics.set_scores(F.col("p"), F.col("t"))).collect()]
