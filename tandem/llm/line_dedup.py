@@ -2,24 +2,24 @@
 
 Lines are the parts of a text between ``\\n``; a line without a visible character
 is never a duplicate. Two lines are linked when the Jaccard similarity of their
-sets of ``chars``-character shingles (a shorter line is one shingle) is ``least``
-or more. Of each connected component of lines, equal lines included, the first
+sets of shingles is ``least`` or more; a shingle is the eight UTF-8 bytes from a
+character on (a shorter line is one shingle). Of each connected component of lines, equal lines included, the first
 occurrence (smallest doc_id, then line number) stays.
 
 1. Each line gets a 64-bit hash (equal lines share it from here on), one
-   permutation's minima over ``bands * rows`` bins, with empty bins filled from
-   the next one, hashed to a key for each band, and a sketch of 128 bits (one
-   bit of the minimum in each of 128 bins). A pair at similarity 0.8 shares one
-   of 12 bands of 5 with probability 0.99.
-2. Band keys that two different lines have are found by an aggregate and
-   kept as a bitmap of fixed size; only lines that hit it are shuffled to their
-   buckets.
-3. In a bucket pairs are compared by sketch; between lines nearly equal to one
-   line of the bucket only the links to that line are. Buckets of more than
-   ``limit`` lines are compared with their pivots instead, in parts of ``share`` lines
-   that all hold the first pivot.
-4. The remaining pairs are verified on the exact shingle sets.
-5. Union-find joins verified pairs to components.
+   permutation's minima in 256 bins, with empty bins filled from the next one,
+   a key for each of ``bands`` bands of ``rows`` bins, and a sketch of one bit of each
+   minimum. A pair at similarity 0.8 shares one of 12 bands of 5 with
+   probability 0.99.
+2. Band keys that two different lines have are found shard by shard and kept as
+   a bitmap of fixed size; only lines that hit it are shuffled to their buckets.
+3. In a bucket pairs are compared by sketch. First each line proposes its
+   likest partner among the lines before it; proposals are verified on the exact
+   shingle sets and joined to groups. Then all further pairs of a bucket that
+   are in different groups are verified. Buckets of more than ``limit`` lines are
+   compared with their pivots instead, in parts of ``share`` lines that all hold
+   the first pivot.
+4. Union-find joins verified pairs to components.
 
 Defined results: null and empty texts have one empty line, which stays;
 repeated rows of one id are one document (the lines of each are the same lines);
@@ -36,13 +36,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tandem.llm.buckets import candidates
 from tandem.llm.components import components
 from tandem.llm.hashing import LINE_END, SPACE, cut, mix, owners, prefix_sums, span_hashes, text_blocks
 from tandem.llm.storage import stored
 from tandem.llm.substring_dedup import bitmap
 
 U64 = np.uint64
-SKETCH = 128
+#: Bytes of a shingle, bins of a signature.
+WIDTH, BINS = 8, 256
 
 
 def _hit(flags: np.ndarray, hashes: np.ndarray, bits: int) -> np.ndarray:
@@ -65,52 +67,64 @@ class Lines:
         self.sums = prefix_sums(data.astype(U64) + U64(1))
         self.hash = span_hashes(self.sums, self.starts, self.ends)
 
-    def shingles(self, which: np.ndarray, chars: int) -> tuple[np.ndarray, np.ndarray]:
+    def shingles(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Shingle hashes of some lines and where each line's begin; not yet distinct."""
-        points = np.flatnonzero((self.data & 0xC0) != 0x80)  # where a character begins
-        low, high = np.searchsorted(points, self.starts[which]), np.searchsorted(points, self.ends[which])
-        n = np.maximum(high - low - chars + 1, 1)
-        begin = np.concatenate([[0], np.cumsum(n)])
-        at = np.arange(begin[-1]) + np.repeat(low - begin[:-1], n)
-        points = np.append(points, len(self.data))
-        to = np.minimum(points[np.minimum(at + chars, len(points) - 1)], np.repeat(self.ends[which], n))
-        return span_hashes(self.sums, points[at], to), begin
+        return shingles(self.data, self.starts[which], self.ends[which])
+
+
+def shingles(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the WIDTH bytes from each character on of some spans, and where each span's begin.
+
+    Eight bytes are one unaligned word, so no sums are needed. A span without
+    room for one is one shingle of its own bytes.
+    """
+    padded = np.concatenate([data, np.zeros(WIDTH, np.uint8)])
+    words = np.ndarray((len(data) + 1,), U64, padded.data, 0, (1,))
+    room = np.maximum(ends - starts - WIDTH + 1, 1)
+    at = np.arange(room.sum()) + np.repeat(starts - (np.cumsum(room) - room), room)
+    span = np.repeat(np.arange(len(starts)), room)
+    begins = (padded[at] & 0xC0) != 0x80  # a shingle begins with a character
+    at, span = at[begins], span[begins]
+    value = words[at]
+    short = np.flatnonzero(ends - starts < WIDTH)
+    if len(short):
+        rows = np.searchsorted(span, short)
+        value[rows] &= (U64(1) << (8 * (ends - starts)[short]).astype(U64)) - U64(1)
+    value *= U64(0x9E3779B97F4A7C15)
+    value ^= value >> U64(32)
+    value *= U64(0xD6E8FEB86659FD93)
+    return value, np.searchsorted(span, np.arange(len(starts) + 1))
 
 
 def signatures(tokens: np.ndarray, begin: np.ndarray, bands: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """Band keys (lines x bands) and sketches (lines x 16 bytes)."""
-    n, bins = len(begin) - 1, bands * rows
-    line = np.repeat(np.arange(n), np.diff(begin))
-    low = np.full(n * bins, 0xFFFFFFFF, np.uint32)
-    np.minimum.at(low, line * bins + ((tokens >> U64(32)) * U64(bins) >> U64(32)).astype(np.int64), tokens.astype(np.uint32))
-    low = low.reshape(n, bins).astype(U64)
+    """Band keys (lines x bands) and sketches (lines x BINS / 8 bytes) from the minima in BINS bins."""
+    n = len(begin) - 1
+    line = np.repeat(np.arange(n) * BINS, np.diff(begin))
+    low = np.full(n * BINS, 0xFFFFFFFF, np.uint32)
+    line += (tokens >> U64(64 - BINS.bit_length() + 1)).astype(np.int64)
+    np.minimum.at(low, line, (tokens >> U64(16)).astype(np.uint32))
+    low = low.reshape(n, BINS)
     empty = low == 0xFFFFFFFF
-    if empty.any():  # the next filled bin to the right, round the end, with the distance
-        twice = np.concatenate([empty, empty], 1)
-        at = np.where(twice, 2 * bins, np.arange(2 * bins))
-        at = np.minimum.accumulate(at[:, ::-1], axis=1)[:, ::-1][:, :bins]
-        away = at - np.arange(bins)
-        low = np.take_along_axis(low, at % bins, 1) + (away.astype(U64) << U64(32))
+    # an empty bin takes the next filled one to the right, round the end, with the distance
+    at = np.where(empty, np.int16(4 * BINS), np.arange(BINS, dtype=np.int16))
+    at = np.concatenate([at, at + np.int16(BINS)], 1)
+    at = np.minimum.accumulate(at[:, ::-1], axis=1)[:, ::-1][:, :BINS]
+    away = (at - np.arange(BINS, dtype=np.int16)).astype(np.uint32)
+    value = np.take_along_axis(low, (at % BINS).astype(np.int64), 1) + away * np.uint32(0x9E3779B1)
+    bit = (value * np.uint32(0x85EBCA6B) >> np.uint32(31)).astype(np.uint8)
     # the bins of a band lie far apart
-    parts = low.reshape(n, rows, bands).transpose(0, 2, 1)
-    keys = np.zeros((n, bands), U64)
+    step = BINS // (bands * rows)
+    parts = value[:, : step * bands * rows : step].reshape(n, rows, bands).astype(U64)
+    keys = np.repeat(np.arange(bands, dtype=U64)[None, :], n, 0)
     for r in range(rows):
-        keys = mix(keys * U64(0x9E3779B97F4A7C15) + parts[:, :, r] + U64(1))
-    keys = mix(keys + np.arange(bands, dtype=U64) * U64(0xD6E8FEB86659FD93))
-    other = mix(tokens)
-    low = np.full(n * SKETCH, 0xFFFFFFFF, np.uint32)
-    np.minimum.at(low, line * SKETCH + (other >> U64(57)).astype(np.int64), other.astype(np.uint32))
-    low = low.reshape(n, SKETCH)
-    # an empty bin borrows from the filled bin that a hash of both numbers ranks first: here the line's minimum
-    low = np.where(low == 0xFFFFFFFF, low.min(1, keepdims=True) * np.uint32(2654435761) ^ np.arange(SKETCH, dtype=np.uint32) * np.uint32(40503), low)
-    bit = (mix(low.astype(U64)) & U64(1)).astype(np.uint8)
+        keys = mix(keys * U64(0x9E3779B97F4A7C15) + parts[:, r, :] + U64(1))
     return keys, np.packbits(bit, axis=1)
 
 
 LINES = "doc_id long, line int, hash long, size int, sketch binary, bands array<long>"
 
 
-def _read(chars: int, bands: int, rows: int):
+def _read(bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, data, offsets in text_blocks(batches, "text", 1 << 20):
             lines = Lines(data, offsets)
@@ -118,7 +132,7 @@ def _read(chars: int, bands: int, rows: int):
             if not n:
                 continue
             which = np.unique(lines.hash, return_index=True)[1]
-            tokens, begin = lines.shingles(which, chars)
+            tokens, begin = lines.shingles(which)
             keys, sketch = signatures(tokens, begin, bands, rows)
             at = np.full(n, -1)
             at[which] = np.arange(len(which))
@@ -158,148 +172,131 @@ def _wanted(bits: int, flags):
     return run
 
 
-def _close(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Estimated Jaccard similarity from one-bit sketches."""
-    return 1 - 2 * np.bitwise_count(a ^ b).sum(-1) / SKETCH
-
-
-def _pairs(least: float):
-    reach, near = least - 0.25, least + 0.1
-
-    def alike(size, a, b):
-        return np.minimum(size[a], size[b]) >= 0.9 * least * np.maximum(size[a], size[b])
-
-    def small(bucket, line, size, sketch):
-        lefts, rights, likes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
-        for step in range(1, len(bucket)):
-            at = np.flatnonzero(bucket[step:] == bucket[:-step])
-            if not len(at):
-                break
-            at = at[alike(size, at, at + step)]
-            like = _close(sketch[at], sketch[at + step])
-            good = like >= reach
-            lefts.append(at[good])
-            rights.append(at[good] + step)
-            likes.append(like[good])
-        left, right, like = map(np.concatenate, (lefts, rights, likes))
-        leader = np.arange(len(bucket))
-        np.minimum.at(leader, right[like >= near], left[like >= near])
-        held = (leader[left] < left) & (leader[left] == leader[right])
-        return line[left[~held]], line[right[~held]]
-
-    def big(line, size, sketch, pivots):
-        out_a, out_b, tried = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
-        alone = np.ones(len(line), bool)
-        while True:
-            for p in pivots[tried:]:
-                ok = np.flatnonzero((np.minimum(size, p[1]) >= 0.9 * least * np.maximum(size, p[1])) & (line != p[0]))
-                like = _close(sketch[ok], p[2])
-                good = ok[like >= reach]
-                out_a.append(np.full(len(good), p[0]))
-                out_b.append(line[good])
-                alone[ok[like >= near]] = False
-                alone[line == p[0]] = False
-            tried = len(pivots)
-            rest = np.flatnonzero(alone)
-            if not len(rest):
-                return np.concatenate(out_a), np.concatenate(out_b)
-            pivots.append((line[rest[0]], size[rest[0]], sketch[rest[0]]))
+def _keys(shards: int):
+    """Band keys of lines as blobs by shard: key, lower half of the line's hash."""
+    shift = U64(64 - shards.bit_length() + 1)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, pivots, of = None, [], None
-
-        def out(a, b):
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+    def out(keys, lines):
+        order = np.argsort(keys)
+        keys, lines = keys[order], lines[order]
+        edges = np.searchsorted(keys >> shift, np.arange(shards + 1, dtype=U64))
+        live = np.flatnonzero(np.diff(edges))
+        parts = [pa.array([x[edges[s] : edges[s + 1]].tobytes() for s in live], pa.binary()) for x in (keys, lines)]
+        return pa.RecordBatch.from_arrays([pa.array(live, pa.int64()), *parts], names=["shard", "keys", "lines"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            own = [batch.column(n).to_numpy(zero_copy_only=False) for n in ("bucket", "hash", "size", "big")]
-            own.append(np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH // 8))
-            if held is not None:
-                own = [np.concatenate(x) for x in zip(held, own, strict=True)]
-            bucket, line, size, is_big, sketch = own
-            edge = len(bucket) if is_big[-1] else int(np.flatnonzero(bucket != bucket[-1])[-1]) + 1 if bucket[0] != bucket[-1] else 0
-            held = [x[edge:] for x in own]
-            less, more = np.flatnonzero(~is_big[:edge]), np.flatnonzero(is_big[:edge])
-            yield out(*small(bucket[less], line[less], size[less], sketch[less]))
-            for part in np.split(more, np.flatnonzero(np.diff(bucket[more])) + 1) if len(more) else []:
-                if bucket[part[0]] != of:
-                    of, pivots = bucket[part[0]], []
-                yield out(*big(line[part], size[part], sketch[part], pivots))
-        if held is not None and len(held[0]):
-            yield out(*small(*held[:3], held[4]))
+            bands = batch.column("bands")
+            own = bands.flatten().to_numpy().view(U64)
+            lines = np.repeat(batch.column("hash").to_numpy().view(U64).astype(np.uint32), np.diff(bands.offsets.to_numpy()))
+            held.append((own, lines))
+            size += len(own)
+            if size > 2_000_000:
+                yield out(*map(np.concatenate, zip(*held, strict=True)))
+                held, size = [], 0
+        if size:
+            yield out(*map(np.concatenate, zip(*held, strict=True)))
 
     return run
 
 
-def _texts(chars: int, bits: int, flags):
-    """The distinct shingles (32-bit) of the lines that pairs ask for."""
+def _shared_keys(table: pa.Table) -> pa.Table:
+    """The keys of a shard that two different lines have."""
+    join = lambda c, kind: np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in table.column(c)])
+    keys, lines = join("keys", U64), join("lines", np.uint32)
+    order = np.argsort(keys, kind="stable")
+    keys, lines = keys[order], lines[order]
+    begin = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    good = np.minimum.reduceat(lines, begin) < np.maximum.reduceat(lines, begin)
+    return pa.table({"hash": keys[begin][good].view(np.int64)})
+
+
+def _close(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Estimated Jaccard similarity from one-bit sketches."""
+    return 1 - 2 * np.bitwise_count(a ^ b).sum(-1) / BINS
+
+
+def _texts(bits: int, flags):
+    """The texts of the lines that pairs ask for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = flags.value
-        for _, data, offsets in text_blocks(batches, "text", 1 << 20):
+        for _, data, offsets in text_blocks(batches, "text"):
             lines = Lines(data, offsets)
             which = np.unique(lines.hash, return_index=True)[1]
             which = which[_hit(seen, mix(lines.hash[which]), bits)]
-            if not len(which):
-                continue
-            tokens, begin = lines.shingles(which, chars)
-            key = np.unique((np.repeat(np.arange(len(which), dtype=U64), np.diff(begin)) << U64(32)) | (tokens >> U64(32)))
-            ends = np.searchsorted(key >> U64(32), np.arange(len(which) + 1, dtype=U64))
-            short = key.astype(np.uint32)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(lines.hash[which].view(np.int64)), pa.array([short[a:b].tobytes() for a, b in zip(ends, ends[1:], strict=False)], pa.binary())],
-                names=["hash", "tokens"],
-            )
+            raw = data.tobytes()
+            texts = [raw[a:b] for a, b in zip(lines.starts[which].tolist(), lines.ends[which].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(lines.hash[which].view(np.int64)), pa.array(texts, pa.binary())], names=["hash", "text"])
 
     return run
 
 
 def _verify(least: float):
+    def keys(column: pa.Array) -> np.ndarray:
+        """Distinct (row, shingle) pairs of lines, as row << 32 | upper half of the shingle's hash."""
+        parts = column.to_pylist()
+        ends = np.cumsum([len(p) for p in parts])
+        tokens, begin = shingles(np.frombuffer(b"".join(parts), np.uint8), np.concatenate([[0], ends[:-1]]), ends)
+        return np.unique((np.repeat(np.arange(len(parts), dtype=U64), np.diff(begin)) << U64(32)) | (tokens >> U64(32)))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            sides = []
-            for name in ("x", "y"):
-                parts = batch.column(name).to_pylist()
-                row = np.repeat(np.arange(len(parts), dtype=U64), [len(p) // 4 for p in parts])
-                sides.append((row << U64(32)) | np.frombuffer(b"".join(parts), np.uint32))
-            both = np.concatenate(sides)
-            both.sort()
-            shared = np.bincount((both[1:][both[1:] == both[:-1]] >> U64(32)).astype(np.int64), minlength=batch.num_rows)
-            total = np.bincount((both >> U64(32)).astype(np.int64), minlength=batch.num_rows)
-            yield batch.select(["a", "b"]).filter(pa.array(shared >= least * (total - shared) - 1e-9))
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1000):
+                batch = whole.slice(at, 1000)
+                both = np.concatenate([keys(batch.column("x")), keys(batch.column("y"))])
+                both.sort()
+                shared = np.bincount((both[1:][both[1:] == both[:-1]] >> U64(32)).astype(np.int64), minlength=batch.num_rows)
+                total = np.bincount((both >> U64(32)).astype(np.int64), minlength=batch.num_rows)
+                yield batch.select(["a", "b"]).filter(pa.array(shared >= least * (total - shared) - 1e-9))
 
     return run
 
 
-def line_components(docs: DataFrame, least: float = 0.8, chars: int = 8, bands: int = 12, rows: int = 5, limit: int = 64, share: int = 20_000, bits: int = 26):
+def _verified(lines: DataFrame, rows: DataFrame, least: float, labelled: bool) -> DataFrame:
+    """The links (a, b) among the pairs that the rows of some buckets give."""
+    rows = rows.repartition("bucket").sortWithinPartitions("bucket", F.xxhash64("item"))
+    pairs = rows.mapInArrow(candidates(_close, 0.9 * least, least - 0.1, labelled), "a long, b long").filter("a <> b").distinct()
+    left = pairs.join(lines.select(F.col("hash").alias("a"), F.col("text").alias("x")), "a")
+    both = left.join(lines.select(F.col("hash").alias("b"), F.col("text").alias("y")), "b").select("a", "b", "x", "y")
+    return stored(both.mapInArrow(_verify(least), "a long, b long"), "verified")
+
+
+def line_components(
+    docs: DataFrame, least: float = 0.8, bands: int = 12, rows: int = 5, limit: int = 64, share: int = 20_000, bits: int = 26
+) -> tuple[DataFrame, DataFrame]:
     """(lines, labels): every visible line (doc_id, line, hash), and (node, component) of the lines that are linked to another."""
+    if bands * rows > BINS:
+        raise ValueError(f"bands * rows must be {BINS} at most")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id IS NOT NULL")
     send = docs.sparkSession.sparkContext.broadcast
-    lines = stored(texts.mapInArrow(_read(chars, bands, rows), LINES), "lines")
+    lines = stored(texts.mapInArrow(_read(bands, rows), LINES), "lines")
     signed = lines.filter("sketch IS NOT NULL")
-    keys = signed.select(F.explode("bands").alias("hash"), F.shiftright("hash", 32).cast("int").alias("line"))
-    keys = keys.groupBy("hash").agg(F.min("line").alias("low"), F.max("line").alias("high")).filter("low < high").select("hash")
-    flags = send(bitmap(keys, bits))
-    held = signed.select("bands", "hash", "size", "sketch").mapInArrow(_wanted(bits, flags), "bucket long, hash long, size int, sketch binary")
-    held = stored(held.dropDuplicates(["bucket", "hash"]), "held")
-    counts = stored(held.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("hash").alias("pivot")).filter("n > 1"), "counts")
+    shards = 1 << max(6, (lines.count() * bands // 1_000_000).bit_length())
+    keys = signed.select("bands", "hash").mapInArrow(_keys(shards), "shard long, keys binary, lines binary")
+    flags = send(bitmap(keys.groupBy("shard").applyInArrow(_shared_keys, "hash long"), bits))
+    held = signed.select("bands", "hash", "size", "sketch").mapInArrow(_wanted(bits, flags), "bucket long, item long, size int, sketch binary")
+    held = stored(held.dropDuplicates(["bucket", "item"]), "held")
+    counts = stored(held.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("item").alias("pivot")).filter("n > 1"), "counts")
     found = held.join(counts, "bucket")
     parts = F.ceil(F.col("n") / share).cast("int")
-    salt = F.when(F.col("hash") == F.col("pivot"), F.sequence(F.lit(0), parts - 1)).otherwise(F.array(F.pmod(F.hash("hash"), parts)))
-    found = found.withColumn("salt", F.explode(salt)).select(F.xxhash64("bucket", "salt").alias("bucket"), "hash", "size", (F.col("n") > limit).alias("big"), "sketch")
-    found = found.repartition("bucket").sortWithinPartitions("bucket", F.xxhash64("hash", "bucket"))
-    pairs = stored(found.mapInArrow(_pairs(least), "a long, b long").distinct(), "pairs")
-    ids = pairs.select(F.col("a").alias("hash")).union(pairs.select("b")).distinct()
-    asked = send(bitmap(ids.mapInArrow(_mixed, "hash long"), bits))
-    sets = stored(texts.select("text").mapInArrow(_texts(chars, bits, asked), "hash long, tokens binary").dropDuplicates(["hash"]), "sets")
-    left = pairs.join(sets.select(F.col("hash").alias("a"), F.col("tokens").alias("x")), "a")
-    both = left.join(sets.select(F.col("hash").alias("b"), F.col("tokens").alias("y")), "b").select("a", "b", "x", "y")
-    links = stored(both.mapInArrow(_verify(least), "a long, b long"), "verified")
-    return lines.select("doc_id", "line", "hash"), components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    salt = F.when(F.col("item") == F.col("pivot"), F.sequence(F.lit(0), parts - 1)).otherwise(F.array(F.pmod(F.hash("item"), parts)))
+    found = found.withColumn("salt", F.explode(salt))
+    everywhere = (parts > 1) & (F.col("item") == F.col("pivot"))
+    found = stored(found.select(F.xxhash64("bucket", "salt").alias("bucket"), "item", "size", (F.col("n") > limit).alias("big"), "sketch", everywhere.alias("everywhere")), "found")
+    asked = send(bitmap(found.select(F.col("item").alias("hash")).mapInArrow(_mixed, "hash long"), bits))
+    known = stored(texts.select("text").mapInArrow(_texts(bits, asked), "hash long, text binary").dropDuplicates(["hash"]), "texts")
+    columns = ("bucket", "item", "size", "label", "big", "sketch")
+    links = _verified(known, found.withColumn("label", F.col("item")).select(*columns), least, False)
+    labels = stored(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "labels")
+    found = found.join(labels.withColumnRenamed("node", "item"), "item", "left").withColumn("label", F.coalesce("component", "item")).select(*columns, "everywhere")
+    mixed = stored(found.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("bucket"), "mixed")
+    found = stored(found.join(mixed, "bucket", "left_semi"), "mixed")
+    held = found.groupBy("item").agg(F.collect_list(F.when(~F.col("everywhere"), F.col("bucket"))).alias("held"))  # one for each band at most
+    more = _verified(known, found.join(held, "item").select(*columns, "held"), least, True)
+    linked = labels.filter("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v"))
+    return lines.select("doc_id", "line", "hash"), components(linked.union(more.select(F.col("a").alias("u"), F.col("b").alias("v"))))
 
 
 def _mixed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
