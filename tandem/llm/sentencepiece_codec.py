@@ -16,9 +16,10 @@ traced back alone between its two states.
 
 No token runs over a cut, the place before a space that follows another
 character. From the first cut of a chunk to its last, all paths agree, so the
-matrix needs only the characters before the first and after the last, and the
-text between is encoded as a whole when it is traced back. A chunk without a cut
-is searched entirely. A document of one chunk has no inner boundary.
+matrix needs only the characters before the first and after the last; the text
+between is traced back from cut to cut, where each segment's encoding stands
+alone and is remembered. A chunk without a cut is searched entirely. A document
+of one chunk has no inner boundary.
 
 Only models of this kind are taken: BPE, identity normaliser with a space
 before the text, byte fallback. The library writes a space as U+2581, so that
@@ -32,6 +33,7 @@ are not read.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,7 +46,8 @@ from pyspark.sql import types as T
 from tandem.llm.storage import stored
 
 SPACE = "▁"
-BLOCK_CHARS = 1 << 21
+#: A segment: spaces, then what follows up to the next space.
+SEGMENT = re.compile(" +[^ ]*")
 
 
 def default_model() -> str:
@@ -54,6 +57,22 @@ def default_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+class Memo(dict):
+    """Ids of segments, as bytes; emptied when it has grown to ``most`` entries."""
+
+    def __init__(self, library, space: bytes, most: int = 100_000):
+        super().__init__()
+        self.library, self.space, self.most = library, space, most
+
+    def __missing__(self, segment: str) -> bytes:
+        found = np.array(self.library.encode(segment), np.int32).tobytes() if segment else self.space
+        if len(segment) < 64:
+            if len(self) >= self.most:
+                self.clear()
+            self[segment] = found
+        return found
+
+
 class Codec:
     """One vocabulary: the library's processor, and the graph's tokens and steps."""
 
@@ -68,6 +87,18 @@ class Codec:
         self.scores = {piece: lib.get_score(i) for piece, i in self.ids.items()}
         self.bytes = [lib.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.longest = max(map(len, self.ids))
+        self.known = Memo(lib, np.array(self.of([SPACE]), np.int32).tobytes())
+        raw = [lib.id_to_piece(i).replace(SPACE, " ").encode() for i in range(self.size)]
+        for i in range(self.size):
+            if lib.is_control(i):
+                raw[i] = b""
+            elif lib.is_unknown(i):
+                raw[i] = " \u2047 ".encode()
+        for b, i in enumerate(self.bytes):
+            raw[i] = bytes([b])
+        self.piece_size = np.array([len(x) for x in raw], np.int64)
+        self.piece_start = np.cumsum(self.piece_size) - self.piece_size
+        self.piece_bytes = np.frombuffer(b"".join(raw), np.uint8)
         self.whole: dict[str, bool] = {}
         self.joined: dict[tuple[str, str], bool] = {}
         if lib.encode("a  b ") != self.of(self.merge(SPACE + "a  b ".replace(" ", SPACE))) or lib.encode("\x00") != self.of([SPACE, "\x00"]):
@@ -140,9 +171,29 @@ class Codec:
             end = i
         return out[::-1]
 
-    def encode(self, text: str) -> list[int]:
-        """Ids of text between two cuts, in the written form (spaces as U+2581, one of them in front)."""
-        return self.library.encode(text[1:].replace(SPACE, " ")) if text else []
+    def segments(self, text: str) -> list[str]:
+        """A text that stands between two cuts, cut at all cuts; each part without the space in front that every part has."""
+        parts = text.split(" ")
+        if "" in parts or SPACE in text:  # runs of spaces belong to what follows them
+            parts = [x[1:] for x in SEGMENT.findall(" " + text.replace(SPACE, " "))] if text else []
+        return parts
+
+    def encode(self, text: str) -> bytes:
+        """Ids (int32) of a text that stands between two cuts; the space in front is left out."""
+        return b"".join(map(self.known.__getitem__, self.segments(text)))
+
+    def decode(self, ids: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """UTF-8 bytes and offsets of the texts of several lists of ids."""
+        size = self.piece_size[ids]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        at = np.arange(ends[-1]) + np.repeat(self.piece_start[ids] - ends[:-1], size)
+        out, edges = self.piece_bytes[at], ends[offsets]
+        full = np.flatnonzero(np.diff(edges))
+        front = edges[:-1][full]
+        front = front[out[front] == 0x20]  # the space before the text
+        keep = np.ones(len(out), bool)
+        keep[front] = False
+        return out[keep], edges - np.searchsorted(front, edges)
 
 
 class Chunk:
@@ -178,14 +229,23 @@ class Chunk:
         leave = np.array([0.0 if i >= self.last_cut and last[j - self.last_cut] == (i, j) else -np.inf for i, j in self.exits])
         return into[:, None] + leave[None, :]
 
-    def ids(self, entry: tuple[int, int], leave: tuple[int, int]) -> list[int]:
-        """The ids from the end of the entry token to the end of the exit token."""
+    def ids(self, entry: tuple[int, int], leave: tuple[int, int]) -> bytes:
+        """The ids (int32) from the end of the entry token to the end of the exit token."""
         codec, text, before = self.codec, self.text, self._before(entry)
-        if self.first_cut is None or entry == leave:
-            return codec.of(codec.trace(text, entry[1], leave[1], before)) if entry != leave else []
-        head = codec.of(codec.trace(text, entry[1], self.first_cut, before)) if entry[1] < self.first_cut else []
-        middle = codec.encode(text[self.first_cut : self.last_cut])
-        return head + middle + codec.of(codec.trace(text, self.last_cut, leave[1], None))
+        traced = lambda a, b, left: np.array(codec.of(codec.trace(text, a, b, left)), np.int32).tobytes()
+        if entry == leave:
+            return b""
+        if self.first_cut is None:
+            return traced(entry[1], leave[1], before)
+        middle = text[self.first_cut + 1 : self.last_cut].replace(SPACE, " ") if self.first_cut < self.last_cut else None
+        middle = b"" if middle is None else codec.encode(middle)
+        return traced(entry[1], self.first_cut, before) + middle + traced(self.last_cut, leave[1], None)
+
+
+def lists(parts: list[bytes]) -> pa.ListArray:
+    """Ids as an Arrow list array."""
+    offsets = np.concatenate([[0], np.cumsum([len(p) // 4 for p in parts])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(parts), np.int32)))
 
 
 def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -214,19 +274,19 @@ def _codec(sent) -> Codec:
     return _codecs[key]
 
 
+def small(batches: Iterator[pa.RecordBatch], rows: int = 128) -> Iterator[pa.RecordBatch]:
+    """Batches of a few rows: ids as Python numbers take many times their size."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def _short(sent, carry: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        library = _codec(sent).library
-        for batch in batches:
-            texts, ids, held, size = batch.column("text").to_pylist(), [], [], 0
-            for text in texts:
-                held.append(text or "")
-                size += len(held[-1])
-                if size > BLOCK_CHARS:
-                    ids += library.encode(held, num_threads=1)
-                    held, size = [], 0
-            ids += library.encode(held, num_threads=1) if held else []
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", *carry)), pa.array([1] * len(ids), pa.int32()), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", *carry, "n_chunks", "ids"])
+        codec = _codec(sent)
+        for batch in small(batches):
+            ids = lists([codec.encode(t) if t else b"" for t in batch.column("text").to_pylist()])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", *carry)), pa.array([1] * len(ids), pa.int32()), ids], names=["doc_id", *carry, "n_chunks", "ids"])
 
     return run
 
@@ -239,7 +299,7 @@ def _chunks(batch: pa.RecordBatch, codec: Codec) -> Iterator[tuple[int, Chunk]]:
 def _transfer(sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(sent)
-        for batch in batches:
+        for batch in small(batches, 32):
             out = [c.matrix() for _, c in _chunks(batch, codec)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("key"), batch.column("chunk"), pa.array([m.shape[0] for m in out], pa.int32()), pa.array([m.tobytes() for m in out], pa.binary())],
@@ -259,11 +319,11 @@ def _combine(rows: pd.DataFrame) -> pd.DataFrame:
 def _back(sent, carry: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(sent)
-        for batch in batches:
+        for batch in small(batches, 32):
             entry, leave = batch.column("entry").to_pylist(), batch.column("leave").to_pylist()
             ids = [c.ids(c.entries[entry[row]], c.exits[leave[row]]) for row, c in _chunks(batch, codec)]
             names = ["key", "chunk", "n_chunks", "doc_id", *carry]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(ids, pa.list_(pa.int32()))], names=[*names, "ids"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), lists(ids)], names=[*names, "ids"])
 
     return run
 
@@ -303,39 +363,61 @@ def encode(docs: DataFrame, model_path: str | None = None, chunk: int = 16_384,
     return short.unionByName(whole.select("doc_id", *carry, "n_chunks", F.flatten(F.transform("parts", lambda p: p["ids"])).alias("ids")))
 
 
+def flat(ids: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of a list array (null: none), and each list's offsets."""
+    held = ids.flatten().to_numpy().astype(np.int64)
+    sizes = ids.value_lengths().fill_null(0).to_numpy()
+    return held, np.concatenate([[0], np.cumsum(sizes)])
+
+
 def decode(encoded: DataFrame, model_path: str | None = None) -> DataFrame:
     """The rows of encoded with their ids' text in a column ``decoded``."""
     with open(model_path or default_model(), "rb") as f:
         sent = encoded.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        library = _codec(sent).library
-        for batch in batches:
-            texts = [library.decode(ids) if ids else "" for ids in batch.column("ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "decoded"])
+        codec = _codec(sent)
+        for batch in small(batches, 512):
+            held, offsets = flat(batch.column("ids"))
+            data, edges = codec.decode(held, offsets)
+            try:
+                str(data.data, "utf-8")
+                texts = pa.LargeStringArray.from_buffers(len(offsets) - 1, pa.py_buffer(edges.astype(np.int64)), pa.py_buffer(data)).cast(pa.string())
+            except UnicodeDecodeError:  # ids that no text gives
+                raw = data.tobytes()
+                texts = pa.array([raw[a:b].decode("utf-8", "replace") for a, b in zip(edges, edges[1:], strict=False)], pa.string())
+            yield pa.RecordBatch.from_arrays([*batch.columns, texts], names=[*batch.schema.names, "decoded"])
 
     return encoded.mapInArrow(run, T.StructType([*encoded.schema, T.StructField("decoded", T.StringType())]))
 
 
 def round_trips(docs: DataFrame, model_path: str | None = None, chunk: int = 16_384) -> DataFrame:
-    """One row per row of docs: doc_id, n_chunks, n_tokens, ids_sha256 (of the ids, comma-joined), decoded_sha256 and round_trip.
+    """One row per row of docs: doc_id, n_chunks, n_tokens, ids_sha256 (of the ids as little-endian 32-bit numbers), decoded_sha256 and round_trip.
 
     round_trip: the decoded text is the original (null: empty; U+2581 reads as a space).
     """
     original = F.sha2(F.replace(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(SPACE), F.lit(" ")).cast("binary"), 256)
     encoded = encode(docs.select("doc_id", "text", original.alias("original")), model_path, chunk, ("original",))
 
+    with open(model_path or default_model(), "rb") as f:
+        sent = docs.sparkSession.sparkContext.broadcast(f.read())
+
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column("ids").to_pylist()
-            decoded = [hashlib.sha256((t or "").encode()).hexdigest() for t in batch.column("decoded").to_pylist()]
+        """Decode and digest in one pass: each pass is a process beside the others of a task."""
+        codec = _codec(sent)
+        for batch in small(batches, 256):
+            held, offsets = flat(batch.column("ids"))
+            data, edges = codec.decode(held, offsets)
+            hashes = []
+            for raw, at in ((data.tobytes(), edges.tolist()), (held.astype("<i4").tobytes(), (4 * offsets).tolist())):
+                hashes.append([hashlib.sha256(raw[a:b]).hexdigest() for a, b in zip(at, at[1:], strict=False)])
+            decoded, ids = hashes
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("doc_id"), batch.column("n_chunks"), pa.array([len(i or ()) for i in ids], pa.int64()),
-                    pa.array([hashlib.sha256(",".join(map(str, i or ())).encode()).hexdigest() for i in ids]), pa.array(decoded),
+                    batch.column("doc_id"), batch.column("n_chunks"), pa.array(np.diff(offsets), pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string()),
                     pa.array([a == b for a, b in zip(decoded, batch.column("original").to_pylist(), strict=True)], pa.bool_()),
                 ],
                 names=["doc_id", "n_chunks", "n_tokens", "ids_sha256", "decoded_sha256", "round_trip"],
             )
 
-    return decode(encoded, model_path).mapInArrow(digest, "doc_id long, n_chunks int, n_tokens long, ids_sha256 string, decoded_sha256 string, round_trip boolean")
+    return encoded.mapInArrow(digest, "doc_id long, n_chunks int, n_tokens long, ids_sha256 string, decoded_sha256 string, round_trip boolean")
