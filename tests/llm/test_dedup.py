@@ -183,7 +183,7 @@ def expected_lines(rows):
 
 def test_lines(frame, spark):
     long = " ".join(words(40, 13))
-    rows = [(2, f"{long}\n\nshort\n{long} more"), (1, long.replace("w1", "w2", 1)), (3, "short\nother é line\n  \n" + long[5:]), (4, None), (5, ""), (6, "\n"), (7, "x\nx\nx"), (8, "ab"), (9, "\n".join(words(3000, 14, 90)))]
+    rows = [(2, f"{long}\n\nshort\n{long} more"), (1, long.replace("w1", "w2", 1)), (3, "short\nother é line\n  \n" + long[5:]), (4, None), (5, ""), (6, "\n"), (7, "x\nx\nx"), (8, "ab"), (9, "\n".join(words(3000, 14, 90))), (10, "again " * 20 + "\n" + "again " * 50)]
     got = {r.doc_id: (r.n_lines, r.removed) for r in line_dedup(frame(rows).repartition(3)).collect()}
     assert got == expected_lines(rows)
     cut = {r.doc_id: r.text for r in without_lines(frame(rows), line_dedup(frame(rows))).collect()}
