@@ -8,7 +8,7 @@ occurrence (smallest doc_id, then line number) stays.
 
 1. Each line gets a 64-bit hash (equal lines share it from here on), one
    permutation's minima in 256 bins, with empty bins filled from the next one,
-   a key for each of ``bands`` bands of ``rows`` bins, and a sketch of one bit of each
+   a key for each of ``bands`` bands of ``rows`` bins, and a sketch of four bits of each
    minimum. A pair at similarity 0.8 shares one of 12 bands of 5 with
    probability 0.99.
 2. Band keys that two different lines have are found shard by shard and kept as
@@ -97,7 +97,7 @@ def shingles(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np
 
 
 def signatures(tokens: np.ndarray, begin: np.ndarray, bands: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """Band keys (lines x bands) and sketches (lines x BINS / 8 bytes) from the minima in BINS bins."""
+    """Band keys (lines x bands) and sketches (lines x BINS / 2 bytes) from the minima in BINS bins."""
     n = len(begin) - 1
     line = np.repeat(np.arange(n) * BINS, np.diff(begin))
     low = np.full(n * BINS, 0xFFFFFFFF, np.uint32)
@@ -111,17 +111,17 @@ def signatures(tokens: np.ndarray, begin: np.ndarray, bands: int, rows: int) ->
     at = np.minimum.accumulate(at[:, ::-1], axis=1)[:, ::-1][:, :BINS]
     away = (at - np.arange(BINS, dtype=np.int16)).astype(np.uint32)
     value = np.take_along_axis(low, (at % BINS).astype(np.int64), 1) + away * np.uint32(0x9E3779B1)
-    bit = (value * np.uint32(0x85EBCA6B) >> np.uint32(31)).astype(np.uint8)
+    four = (value * np.uint32(0x85EBCA6B) >> np.uint32(28)).astype(np.uint8)
     # the bins of a band lie far apart
     step = BINS // (bands * rows)
     parts = value[:, : step * bands * rows : step].reshape(n, rows, bands).astype(U64)
     keys = np.repeat(np.arange(bands, dtype=U64)[None, :], n, 0)
     for r in range(rows):
         keys = mix(keys * U64(0x9E3779B97F4A7C15) + parts[:, r, :] + U64(1))
-    return keys, np.packbits(bit, axis=1)
+    return keys, four[:, ::2] << 4 | four[:, 1::2]
 
 
-LINES = "doc_id long, line int, hash long, size int, sketch binary, bands array<long>"
+LINES = "doc_id long, line int, hash long, sketch binary, bands array<long>"
 
 
 def _read(bands: int, rows: int):
@@ -139,17 +139,15 @@ def _read(bands: int, rows: int):
             first = at >= 0
             ends = np.zeros(n + 1, np.int32)
             np.cumsum(first * bands, out=ends[1:])
-            size = np.zeros(n, np.int32)
-            size[which] = np.diff(begin)
             held = np.zeros(n, object)
             held[:] = None
             held[which] = [x.tobytes() for x in sketch]
             yield pa.RecordBatch.from_arrays(
                 [
                     block.column("doc_id").take(pa.array(lines.doc)), pa.array(lines.number.astype(np.int32)), pa.array(lines.hash.view(np.int64)),
-                    pa.array(size), pa.array(held, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[at[first]].reshape(-1).view(np.int64))),
+                    pa.array(held, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[at[first]].reshape(-1).view(np.int64))),
                 ],
-                names=["doc_id", "line", "hash", "size", "sketch", "bands"],
+                names=["doc_id", "line", "hash", "sketch", "bands"],
             )
 
     return run
@@ -167,7 +165,7 @@ def _wanted(bits: int, flags):
             row = np.repeat(np.arange(n), np.diff(bands.offsets.to_numpy()))
             good = _hit(seen, keys, bits)
             at = pa.array(row[good])
-            yield pa.RecordBatch.from_arrays([pa.array(keys[good]), *(batch.column(c).take(at) for c in ("hash", "size", "sketch"))], names=["bucket", "hash", "size", "sketch"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys[good]), *(batch.column(c).take(at) for c in ("hash", "sketch"))], names=["bucket", "hash", "sketch"])
 
     return run
 
@@ -213,8 +211,10 @@ def _shared_keys(table: pa.Table) -> pa.Table:
 
 
 def _close(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Estimated Jaccard similarity from one-bit sketches."""
-    return 1 - 2 * np.bitwise_count(a ^ b).sum(-1) / BINS
+    """Estimated Jaccard similarity from sketches of four bits a bin, one in sixteen of which agree by chance."""
+    off = a ^ b
+    alike = ((off & 0xF0) == 0).sum(-1, dtype=np.int32) + ((off & 0x0F) == 0).sum(-1, dtype=np.int32)
+    return (alike / BINS - 1 / 16) * (16 / 15)
 
 
 def _texts(bits: int, flags):
@@ -234,22 +234,30 @@ def _texts(bits: int, flags):
 
 
 def _verify(least: float):
-    def keys(column: pa.Array) -> np.ndarray:
-        """Distinct (row, shingle) pairs of lines, as row << 32 | upper half of the shingle's hash."""
-        parts = column.to_pylist()
-        ends = np.cumsum([len(p) for p in parts])
-        tokens, begin = shingles(np.frombuffer(b"".join(parts), np.uint8), np.concatenate([[0], ends[:-1]]), ends)
-        return np.unique((np.repeat(np.arange(len(parts), dtype=U64), np.diff(begin)) << U64(32)) | (tokens >> U64(32)))
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                batch = whole.slice(at, 1000)
-                both = np.concatenate([keys(batch.column("x")), keys(batch.column("y"))])
-                both.sort()
-                shared = np.bincount((both[1:][both[1:] == both[:-1]] >> U64(32)).astype(np.int64), minlength=batch.num_rows)
-                total = np.bincount((both >> U64(32)).astype(np.int64), minlength=batch.num_rows)
-                yield batch.select(["a", "b"]).filter(pa.array(shared >= least * (total - shared) - 1e-9))
+            for at in range(0, whole.num_rows, 4000):
+                batch = whole.slice(at, 4000)
+                n = batch.num_rows
+                # each distinct line's shingles once, sorted and distinct
+                lines: dict[bytes, int] = {}
+                x, y = (np.array([lines.setdefault(t, len(lines)) for t in batch.column(c).to_pylist()]) for c in "xy")
+                ends = np.cumsum([len(t) for t in lines])
+                tokens, begin = shingles(np.frombuffer(b"".join(lines), np.uint8), np.concatenate([[0], ends[:-1]]), ends)
+                own = np.unique((np.repeat(np.arange(len(lines), dtype=U64), np.diff(begin)) << U64(32)) | (tokens >> U64(32)))
+                first = np.searchsorted(own, np.arange(len(lines) + 1, dtype=U64) << U64(32))
+                short = own & U64(0xFFFFFFFF)
+
+                def keys(which: np.ndarray, first=first, short=short) -> tuple[np.ndarray, np.ndarray]:
+                    """Pair and shingle of one side of all pairs, sorted."""
+                    size = first[which + 1] - first[which]
+                    place = np.arange(size.sum()) + np.repeat(first[which] - (np.cumsum(size) - size), size)
+                    return (np.repeat(np.arange(len(which), dtype=U64), size) << U64(32)) | short[place], size
+
+                (left, n_left), (right, n_right) = keys(x), keys(y)
+                found = np.minimum(np.searchsorted(right, left), len(right) - 1)
+                shared = np.bincount((left[right[found] == left] >> U64(32)).astype(np.int64), minlength=n)
+                yield batch.select(["a", "b"]).filter(pa.array(shared >= least * (n_left + n_right - shared) - 1e-9))
 
     return run
 
@@ -257,7 +265,7 @@ def _verify(least: float):
 def _verified(lines: DataFrame, rows: DataFrame, least: float, labelled: bool) -> DataFrame:
     """The links (a, b) among the pairs that the rows of some buckets give."""
     rows = rows.repartition("bucket").sortWithinPartitions("bucket", F.xxhash64("item"))
-    pairs = rows.mapInArrow(candidates(_close, 0.9 * least, least - 0.1, labelled), "a long, b long").filter("a <> b").distinct()
+    pairs = rows.mapInArrow(candidates(_close, least, least - 0.08, labelled), "a long, b long").filter("a <> b").distinct()
     left = pairs.join(lines.select(F.col("hash").alias("a"), F.col("text").alias("x")), "a")
     both = left.join(lines.select(F.col("hash").alias("b"), F.col("text").alias("y")), "b").select("a", "b", "x", "y")
     return stored(both.mapInArrow(_verify(least), "a long, b long"), "verified")
@@ -276,7 +284,7 @@ def line_components(
     shards = 1 << max(6, (lines.count() * bands // 1_000_000).bit_length())
     keys = signed.select("bands", "hash").mapInArrow(_keys(shards), "shard long, keys binary, lines binary")
     flags = send(bitmap(keys.groupBy("shard").applyInArrow(_shared_keys, "hash long"), bits))
-    held = signed.select("bands", "hash", "size", "sketch").mapInArrow(_wanted(bits, flags), "bucket long, item long, size int, sketch binary")
+    held = signed.select("bands", "hash", "sketch").mapInArrow(_wanted(bits, flags), "bucket long, item long, sketch binary")
     held = stored(held.dropDuplicates(["bucket", "item"]), "held")
     counts = stored(held.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("item").alias("pivot")).filter("n > 1"), "counts")
     found = held.join(counts, "bucket")
@@ -284,7 +292,8 @@ def line_components(
     salt = F.when(F.col("item") == F.col("pivot"), F.sequence(F.lit(0), parts - 1)).otherwise(F.array(F.pmod(F.hash("item"), parts)))
     found = found.withColumn("salt", F.explode(salt))
     everywhere = (parts > 1) & (F.col("item") == F.col("pivot"))
-    found = stored(found.select(F.xxhash64("bucket", "salt").alias("bucket"), "item", "size", (F.col("n") > limit).alias("big"), "sketch", everywhere.alias("everywhere")), "found")
+    # lines may repeat shingles, so their lengths bound nothing: all count as one size
+    found = stored(found.select(F.xxhash64("bucket", "salt").alias("bucket"), "item", F.lit(1).alias("size"), (F.col("n") > limit).alias("big"), "sketch", everywhere.alias("everywhere")), "found")
     asked = send(bitmap(found.select(F.col("item").alias("hash")).mapInArrow(_mixed, "hash long"), bits))
     known = stored(texts.select("text").mapInArrow(_texts(bits, asked), "hash long, text binary").dropDuplicates(["hash"]), "texts")
     columns = ("bucket", "item", "size", "label", "big", "sketch")
