@@ -38,6 +38,8 @@ from tandem.llm.hashing import LOWER, NON_ALNUM, cut, mix, owners, text_blocks,
 NON_SYMBOL = ~NON_ALNUM
 NON_SYMBOL[:0x21] = True
 NON_SYMBOL[0x7F] = True
+#: Bytes of text taken at once: two passes over the tokens hold many times that.
+BLOCK = 1 << 19
 #: Bounds between the classes of a share.
 SHARES = (0.001, 0.05, 0.1, 0.2, 0.3, 0.5, 0.8)
 
@@ -127,7 +129,7 @@ def fit(rated: DataFrame, sample_rows: int = 20_000, bits: int = 20, least_docs:
     chosen = rated.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < min(1.0, sample_rows / max(1, total)) * (1 << 20))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, offsets in text_blocks(batches, "text"):
+        for rows, data, offsets in text_blocks(batches, "text", BLOCK):
             doc, bucket = tokens(data, offsets, bits)
             pairs = np.unique((doc << bits) | bucket)
             ends = np.searchsorted(pairs >> bits, np.arange(rows.num_rows + 1)).tolist()
@@ -159,7 +161,7 @@ def graded(docs: DataFrame, model: Model, least: int, keep_at: float = 0.5) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = sent.value
-        for rows, data, offsets in text_blocks(batches, "text"):
+        for rows, data, offsets in text_blocks(batches, "text", BLOCK):
             n = rows.num_rows
             if len(known.grades):
                 tails = np.concatenate([np.ones((n, 1)), known.tails(data, offsets)], 1)
