@@ -44,7 +44,7 @@ def powers(n: int, base: int = BASES[0]) -> tuple[np.ndarray, np.ndarray]:
             np.multiply.accumulate(np.concatenate([[U64(1)], np.full(size - 1, b, U64)]))
             for b in (base, pow(base, -1, 1 << 64))
         )
-        if size <= 4 * BLOCK_BYTES:
+        if size <= BLOCK_BYTES + 16:  # workers live on and keep this
             _powers[base] = have
     return have
 

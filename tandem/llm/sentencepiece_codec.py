@@ -138,7 +138,7 @@ class Codec:
         """Whether the two tokens are the encoding of their concatenation."""
         key = left, right
         if key not in self.joined:
-            if len(self.joined) > 500_000:
+            if len(self.joined) > 50_000:
                 self.joined.clear()
             self.joined[key] = self.merge(left + right) == [left, right]
         return self.joined[key]
