@@ -18,13 +18,13 @@ class _Pairs:
         self.bucket, self.pivots = None, []
 
     def once(self, bucket, left, right, held):
-        """Whether this bucket is the smallest that both hold (or one does not list it), so that a pair leaves one bucket alone."""
+        """Whether this bucket is the smallest that both hold, so that a pair leaves one bucket alone."""
         out = np.ones(len(left), bool)
         for part in np.array_split(np.arange(len(left)), len(left) * held.shape[1] ** 2 // 20_000_000 + 1):
             a, b, own = held[left[part]], held[right[part]], bucket[left[part]]
             shared = (a[:, :, None] == b[:, None, :]).any(2)
             lowest = np.where(shared, a, LAST).min(1, initial=LAST)
-            out[part] = (lowest == own) | ~(a == own[:, None]).any(1) | ~(b == own[:, None]).any(1)
+            out[part] = lowest == own
         return out
 
     def small(self, bucket, item, size, sketch, label, held):
@@ -53,7 +53,7 @@ class _Pairs:
             left, right = left[best], right[best]
         return [(item[left], item[right])]
 
-    def big(self, bucket, item, size, sketch, label, lists):
+    def big(self, bucket, item, size, sketch, label):
         """One bucket's next rows against its pivots so far."""
         bucket = int(bucket)
         if bucket != self.bucket:
@@ -62,15 +62,12 @@ class _Pairs:
         best, partner = np.full(len(item), self.reach), np.full(len(item), -1)
         tried = 0
         while True:
-            for p_item, p_size, p_sketch, p_label, p_held in self.pivots[tried:]:
+            for p_item, p_size, p_sketch, p_label in self.pivots[tried:]:
                 ok = np.flatnonzero((np.minimum(size, p_size) >= self.least * np.maximum(size, p_size)) & (item != p_item))
                 like = self.likeness(sketch[ok], p_sketch)
                 alone[ok[like >= self.near]] = False
                 if self.labelled:
                     good = ok[(like >= self.reach) & (label[ok] != p_label)]
-                    if len(good) and bucket in p_held:
-                        shared = [[x for x in lists[i] if x in p_held] for i in good]
-                        good = good[[bucket not in x or min(x) == bucket for x in shared]]
                     out.append((np.full(len(good), p_item), item[good]))
                 else:
                     more = like > best[ok]
@@ -82,13 +79,13 @@ class _Pairs:
                 return [*out, (partner[good], item[good])]
             p = rest[0]
             alone[p] = False
-            self.pivots.append((item[p], size[p], sketch[p], label[p], frozenset(lists[p])))
+            self.pivots.append((item[p], size[p], sketch[p], label[p]))
 
 
 def candidates(likeness, least: float, reach: float, labelled: bool):
     """For mapInArrow, over rows (bucket, item, size, label, big, sketch, held) sorted by bucket: pairs (a, b) of items to verify.
 
-    held: with labels, the buckets that the item is in; those dealt out in parts need not be listed for the pivot of all parts.
+    held: with labels, the buckets that the item is in and that compare all their members, so no big ones.
     """
     names = ("bucket", "item", "size", "label", "big", "sketch")
 
@@ -125,7 +122,7 @@ def candidates(likeness, least: float, reach: float, labelled: bool):
             yield from out(pairs.small(bucket[less], item[less], size[less], sketch[less], label[less], padded(lists[less])))
             more = np.flatnonzero(big[:edge])
             for part in np.split(more, np.flatnonzero(np.diff(bucket[more])) + 1) if len(more) else []:
-                yield from out(pairs.big(bucket[part[0]], item[part], size[part], sketch[part], label[part], lists[part]))
+                yield from out(pairs.big(bucket[part[0]], item[part], size[part], sketch[part], label[part]))
         if held is not None and len(held[0]):
             bucket, item, size, label, _, sketch, lists = held
             yield from out(pairs.small(bucket, item, size, sketch, label, padded(lists)))

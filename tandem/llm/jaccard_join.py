@@ -156,7 +156,7 @@ def _split(flags, bits: int, depth: int):
 
 
 def _buckets(profiles: DataFrame, reps: DataFrame, depth: int, limit: int, share: int, bits: int = 20) -> DataFrame:
-    """(bucket, doc_id, big, everywhere): the nodes at which sets are compared."""
+    """(bucket, doc_id, big): the nodes at which sets are compared."""
     first = profiles.select("doc_id", F.explode(F.filter("leaves", lambda x: x["f0"] == 1)).alias("leaf")).select("doc_id", F.col("leaf.k0").alias("k0"))
     nodes = stored(first.join(reps, "doc_id", "left_semi"), "nodes")
     done = leaves = None
@@ -168,8 +168,7 @@ def _buckets(profiles: DataFrame, reps: DataFrame, depth: int, limit: int, share
         parts = F.ceil(F.col("n") / share).cast("int")
         salt = F.when(F.col("doc_id") == F.col("pivot"), F.sequence(F.lit(0), parts - 1)).otherwise(F.array(F.pmod(F.hash("doc_id"), parts)))
         here = here.withColumn("salt", F.explode(F.when(parts > 1, salt).otherwise(F.array(F.lit(0)))))
-        everywhere = (parts > 1) & (F.col("doc_id") == F.col("pivot"))
-        here = here.select(F.xxhash64(F.lit(level), key, "salt").alias("bucket"), "doc_id", (F.col("n") > limit).alias("big"), everywhere.alias("everywhere"))
+        here = here.select(F.xxhash64(F.lit(level), key, "salt").alias("bucket"), "doc_id", (F.col("n") > limit).alias("big"))
         done = here if done is None else done.union(here)
         if last:
             return stored(done, "buckets")
@@ -240,11 +239,11 @@ def jaccard_join(
     links = _verified(texts, rows, least, words, False, filter_bits)
     edges = links.select(F.col("a").alias("u"), F.col("b").alias("v"))
     labels = stored(components(edges), "labels")
-    labelled = buckets.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("bucket", "doc_id", "big", "everywhere", F.coalesce("component", "doc_id").alias("label"))
+    labelled = buckets.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("bucket", "doc_id", "big", F.coalesce("component", "doc_id").alias("label"))
     mixed = stored(labelled.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("bucket"), "mixed")
     rows = stored(labelled.join(mixed, "bucket", "left_semi"), "mixed")
     # a document is in a few buckets of each run
-    held = rows.groupBy("doc_id").agg(F.collect_list(F.when(~F.col("everywhere"), F.col("bucket"))).alias("held"))
+    held = rows.groupBy("doc_id").agg(F.collect_list(F.when(~F.col("big"), F.col("bucket"))).alias("held"))
     rows = rows.join(held.join(sketch, "doc_id"), "doc_id").select("bucket", "doc_id", "size", "label", "big", "sketch", "held")
     more = _verified(texts, rows, least, words, True, filter_bits)
     links = links.union(more)

@@ -291,18 +291,17 @@ def line_components(
     parts = F.ceil(F.col("n") / share).cast("int")
     salt = F.when(F.col("item") == F.col("pivot"), F.sequence(F.lit(0), parts - 1)).otherwise(F.array(F.pmod(F.hash("item"), parts)))
     found = found.withColumn("salt", F.explode(salt))
-    everywhere = (parts > 1) & (F.col("item") == F.col("pivot"))
     # lines may repeat shingles, so their lengths bound nothing: all count as one size
-    found = stored(found.select(F.xxhash64("bucket", "salt").alias("bucket"), "item", F.lit(1).alias("size"), (F.col("n") > limit).alias("big"), "sketch", everywhere.alias("everywhere")), "found")
+    found = stored(found.select(F.xxhash64("bucket", "salt").alias("bucket"), "item", F.lit(1).alias("size"), (F.col("n") > limit).alias("big"), "sketch"), "found")
     asked = send(bitmap(found.select(F.col("item").alias("hash")).mapInArrow(_mixed, "hash long"), bits))
     known = stored(texts.select("text").mapInArrow(_texts(bits, asked), "hash long, text binary").dropDuplicates(["hash"]), "texts")
     columns = ("bucket", "item", "size", "label", "big", "sketch")
     links = _verified(known, found.withColumn("label", F.col("item")).select(*columns), least, False)
     labels = stored(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "labels")
-    found = found.join(labels.withColumnRenamed("node", "item"), "item", "left").withColumn("label", F.coalesce("component", "item")).select(*columns, "everywhere")
+    found = found.join(labels.withColumnRenamed("node", "item"), "item", "left").withColumn("label", F.coalesce("component", "item")).select(*columns)
     mixed = stored(found.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("bucket"), "mixed")
     found = stored(found.join(mixed, "bucket", "left_semi"), "mixed")
-    held = found.groupBy("item").agg(F.collect_list(F.when(~F.col("everywhere"), F.col("bucket"))).alias("held"))  # one for each band at most
+    held = found.groupBy("item").agg(F.collect_list(F.when(~F.col("big"), F.col("bucket"))).alias("held"))  # one for each band at most
     more = _verified(known, found.join(held, "item").select(*columns, "held"), least, True)
     linked = labels.filter("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v"))
     return lines.select("doc_id", "line", "hash"), components(linked.union(more.select(F.col("a").alias("u"), F.col("b").alias("v"))))

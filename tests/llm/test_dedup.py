@@ -146,6 +146,30 @@ def test_jaccard_hot_group(frame):
     assert {r.doc_id: r.class_id for r in got} == want
 
 
+def edited(base, *places):
+    """The text with these words replaced; each replaced word costs five shingles."""
+    return " ".join(f"{w}x{i}" if i in places else w for i, w in enumerate(base))
+
+
+def bridges(n):
+    """Families of two clusters of near copies, linked by a single pair that is no cluster's centre."""
+    out = []
+    for s in range(n):
+        base = words(240, 700 + s, 10**6)
+        p, q = (10,), (20, 30, 40, 50, 60, 70)  # centres: 7 places apart; the pair (x, y) 5
+        texts = [edited(base, *p), edited(base), edited(base, *q[:5]), edited(base, *q)]
+        texts += [edited(base, *c, 80 + 10 * i + 5 * (c == q)) for c in (p, q) for i in range(5)]
+        out += [(100 * s + i, t) for i, t in enumerate(texts)]
+    return out
+
+
+def test_jaccard_small_and_big(frame):
+    """A pair that meets in a small bucket and, without being compared there, in big ones."""
+    rows = bridges(10)
+    want, _ = groups({d: shingles(t) for d, t in rows})
+    assert {r.doc_id: r.class_id for r in jaccard_join(frame(rows), limit=13, depth=1, runs=40).collect()} == want
+
+
 def test_jaccard_edges(frame):
     assert jaccard_join(frame([])).collect() == []
     got = jaccard_join(frame([(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (2, None)])).collect()
