@@ -28,7 +28,10 @@ class _Pairs:
         return out
 
     def small(self, bucket, item, size, sketch, label, held):
-        lefts, rights, likes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+        """All pairs of each bucket."""
+        none = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+        lefts, rights, likes = map(list, none)
+        waiting = 0
         for step in range(1, len(bucket)):
             at = np.flatnonzero(bucket[step:] == bucket[:-step])
             if not len(at):
@@ -41,51 +44,54 @@ class _Pairs:
                 lefts.append(part[good])
                 rights.append(part[good] + step)
                 likes.append(like[good])
+                waiting += int(good.sum())
+                if self.labelled and waiting > 500_000:
+                    yield self.firsts(bucket, item, np.concatenate(lefts), np.concatenate(rights), held)
+                    lefts, rights, likes = map(list, none)
+                    waiting = 0
         left, right, like = map(np.concatenate, (lefts, rights, likes))
         if self.labelled:
-            first = self.once(bucket, left, right, held)
-            left, right = left[first], right[first]
+            yield self.firsts(bucket, item, left, right, held)
         else:
             order = np.lexsort((left, -like, right))
             left, right = left[order], right[order]
             best = np.ones(len(right), bool)
             best[1:] = right[1:] != right[:-1]
-            left, right = left[best], right[best]
-        return [(item[left], item[right])]
+            yield item[left[best]], item[right[best]]
 
-    def big(self, bucket, item, size, sketch, label):
-        """One bucket's next rows against its pivots so far."""
+    def firsts(self, bucket, item, left, right, held):
+        first = self.once(bucket, left, right, held)
+        return item[left[first]], item[right[first]]
+
+    def big(self, bucket, item, size, sketch):
+        """Proposals alone: one bucket's next rows against its pivots so far."""
         bucket = int(bucket)
         if bucket != self.bucket:
             self.bucket, self.pivots = bucket, []
-        out, alone = [], np.ones(len(item), bool)
+        alone = np.ones(len(item), bool)
         best, partner = np.full(len(item), self.reach), np.full(len(item), -1)
         tried = 0
         while True:
-            for p_item, p_size, p_sketch, p_label in self.pivots[tried:]:
+            for p_item, p_size, p_sketch in self.pivots[tried:]:
                 ok = np.flatnonzero((np.minimum(size, p_size) >= self.least * np.maximum(size, p_size)) & (item != p_item))
                 like = self.likeness(sketch[ok], p_sketch)
                 alone[ok[like >= self.near]] = False
-                if self.labelled:
-                    good = ok[(like >= self.reach) & (label[ok] != p_label)]
-                    out.append((np.full(len(good), p_item), item[good]))
-                else:
-                    more = like > best[ok]
-                    best[ok[more]], partner[ok[more]] = like[more], p_item
+                more = like > best[ok]
+                best[ok[more]], partner[ok[more]] = like[more], p_item
             tried = len(self.pivots)
             rest = np.flatnonzero(alone)
             if not len(rest):
                 good = partner >= 0
-                return [*out, (partner[good], item[good])]
+                return [(partner[good], item[good])]
             p = rest[0]
             alone[p] = False
-            self.pivots.append((item[p], size[p], sketch[p], label[p]))
+            self.pivots.append((item[p], size[p], sketch[p]))
 
 
 def candidates(likeness, least: float, reach: float, labelled: bool):
     """For mapInArrow, over rows (bucket, item, size, label, big, sketch, held) sorted by bucket: pairs (a, b) of items to verify.
 
-    held: with labels, the buckets that the item is in and that compare all their members, so no big ones.
+    held: with labels, the buckets that the item is in. No bucket is big then: all pairs are compared.
     """
     names = ("bucket", "item", "size", "label", "big", "sketch")
 
@@ -122,7 +128,7 @@ def candidates(likeness, least: float, reach: float, labelled: bool):
             yield from out(pairs.small(bucket[less], item[less], size[less], sketch[less], label[less], padded(lists[less])))
             more = np.flatnonzero(big[:edge])
             for part in np.split(more, np.flatnonzero(np.diff(bucket[more])) + 1) if len(more) else []:
-                yield from out(pairs.big(bucket[part[0]], item[part], size[part], sketch[part], label[part]))
+                yield from out(pairs.big(bucket[part[0]], item[part], size[part], sketch[part]))
         if held is not None and len(held[0]):
             bucket, item, size, label, _, sketch, lists = held
             yield from out(pairs.small(bucket, item, size, sketch, label, padded(lists)))

@@ -14,15 +14,14 @@ of their sets is ``least`` (0.8) or more.
    0.67, 0.53, 0.44, 0.39 or more, so ``runs`` = 10 runs find it with 0.9999 to
    0.993; most buckets are small at depth 1.
 3. Buckets still larger at full depth hold sets that are alike in most tokens.
-   Their members are compared with the bucket's pivots (a member that is
-   nearly equal to none of them becomes one); beyond ``share`` members the bucket is
-   dealt out in parts that all hold its first pivot. No pair is dropped by
-   count.
+   For proposals their members are compared with the bucket's pivots (a member
+   that is nearly equal to none of them becomes one); beyond ``share`` members the
+   bucket is dealt out in parts that all hold its first pivot.
 4. In a bucket sets are compared by sketches of 256 bytes (one-permutation
    minima); pairs whose estimate is out of reach of the threshold are out. First
    each set proposes its likest partner among the sets before it; proposals are
    verified on the exact sets and joined to groups. Then all further pairs of a
-   bucket that are in different groups are verified. So a pair is only passed
+   bucket, of any size, that are in different groups are verified. So a pair is only passed
    over when its two texts are in one group already.
 5. Verified links are joined to groups by union-find.
 
@@ -243,8 +242,8 @@ def jaccard_join(
     mixed = stored(labelled.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("bucket"), "mixed")
     rows = stored(labelled.join(mixed, "bucket", "left_semi"), "mixed")
     # a document is in a few buckets of each run
-    held = rows.groupBy("doc_id").agg(F.collect_list(F.when(~F.col("big"), F.col("bucket"))).alias("held"))
-    rows = rows.join(held.join(sketch, "doc_id"), "doc_id").select("bucket", "doc_id", "size", "label", "big", "sketch", "held")
+    held = rows.groupBy("doc_id").agg(F.collect_list("bucket").alias("held"))
+    rows = rows.join(held.join(sketch, "doc_id"), "doc_id").select("bucket", "doc_id", "size", "label", F.lit(False).alias("big"), "sketch", "held")  # all pairs of different groups are compared
     more = _verified(texts, rows, least, words, True, filter_bits)
     links = links.union(more)
     known_links = labels.filter("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v"))

@@ -16,9 +16,9 @@ occurrence (smallest doc_id, then line number) stays.
 3. In a bucket pairs are compared by sketch. First each line proposes its
    likest partner among the lines before it; proposals are verified on the exact
    shingle sets and joined to groups. Then all further pairs of a bucket that
-   are in different groups are verified. Buckets of more than ``limit`` lines are
-   compared with their pivots instead, in parts of ``share`` lines that all hold
-   the first pivot.
+   are in different groups are verified, in buckets of any size. For proposals,
+   lines of buckets of more than ``limit`` are compared with the pivots alone, in
+   parts of ``share`` lines that all hold the first pivot.
 4. Union-find joins verified pairs to components.
 
 Defined results: null and empty texts have one empty line, which stays;
@@ -301,7 +301,8 @@ def line_components(
     found = found.join(labels.withColumnRenamed("node", "item"), "item", "left").withColumn("label", F.coalesce("component", "item")).select(*columns)
     mixed = stored(found.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("bucket"), "mixed")
     found = stored(found.join(mixed, "bucket", "left_semi"), "mixed")
-    held = found.groupBy("item").agg(F.collect_list(F.when(~F.col("big"), F.col("bucket"))).alias("held"))  # one for each band at most
+    found = found.withColumn("big", F.lit(False))  # all pairs of different groups are compared
+    held = found.groupBy("item").agg(F.collect_list("bucket").alias("held"))  # one for each band at most
     more = _verified(known, found.join(held, "item").select(*columns, "held"), least, True)
     linked = labels.filter("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v"))
     return lines.select("doc_id", "line", "hash"), components(linked.union(more.select(F.col("a").alias("u"), F.col("b").alias("v"))))

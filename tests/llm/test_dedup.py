@@ -170,6 +170,13 @@ def test_jaccard_small_and_big(frame):
     assert {r.doc_id: r.class_id for r in jaccard_join(frame(rows), limit=13, depth=1, runs=40).collect()} == want
 
 
+def test_jaccard_beside_pivots(frame):
+    """A link between two members of big buckets alone, each near a pivot that the other is not linked to."""
+    rows = bridges(10)
+    want, _ = groups({d: shingles(t) for d, t in rows})
+    assert {r.doc_id: r.class_id for r in jaccard_join(frame(rows), limit=3, depth=1).collect()} == want
+
+
 def test_jaccard_edges(frame):
     assert jaccard_join(frame([])).collect() == []
     got = jaccard_join(frame([(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (2, None)])).collect()
