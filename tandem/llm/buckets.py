@@ -6,10 +6,34 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 LAST = np.iinfo(np.int64).max
 
 
+def in_parts(rows: DataFrame, share: int) -> DataFrame:
+    """For proposals, over (bucket, item, n, pivot): buckets of more than ``share`` members dealt out in parts that all hold the pivot."""
+    parts = F.ceil(F.col("n") / share).cast("int")
+    salt = F.when(F.col("item") == F.col("pivot"), F.sequence(F.lit(0), parts - 1)).otherwise(F.array(F.pmod(F.hash("item"), parts)))
+    rows = rows.withColumn("salt", F.explode(F.when(parts > 1, salt).otherwise(F.array(F.lit(0)))))
+    return rows.withColumn("bucket", F.when(parts > 1, F.xxhash64("bucket", "salt")).otherwise(F.col("bucket"))).drop("salt")
+
+
+def in_cells(rows: DataFrame, share: int) -> DataFrame:
+    """For all pairs, over (bucket, item, n): as base the bucket, as bucket a cell for each two parts of ``share`` members.
+
+    side: the part in a cell of two parts, of which only pairs between the two are wanted; else -1.
+    """
+    parts = F.ceil(F.col("n") / share).cast("int")
+    own = F.pmod(F.hash("item"), parts)
+    rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    cell = F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other"))
+    side = F.when(F.col("own") == F.col("other"), -1).otherwise(F.col("own"))
+    rows = rows.withColumn("base", F.col("bucket")).withColumn("side", side)
+    return rows.withColumn("bucket", F.when(parts > 1, cell).otherwise(F.col("bucket"))).drop("own", "other")
+
+
 class _Pairs:
     """Pairs to verify, from rows sorted by bucket. With labels, all pairs with different labels; else one partner for each row."""
 
@@ -27,7 +51,7 @@ class _Pairs:
             out[part] = lowest == own
         return out
 
-    def small(self, bucket, item, size, sketch, label, held):
+    def small(self, bucket, item, size, sketch, label, base, side, held):
         """All pairs of each bucket."""
         none = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
         lefts, rights, likes = map(list, none)
@@ -37,7 +61,7 @@ class _Pairs:
             if not len(at):
                 break
             a, b = size[at], size[at + step]
-            at = at[(np.minimum(a, b) >= self.least * np.maximum(a, b)) & (label[at] != label[at + step])]
+            at = at[(np.minimum(a, b) >= self.least * np.maximum(a, b)) & (label[at] != label[at + step]) & ((side[at] < 0) | (side[at] != side[at + step]))]
             for part in np.array_split(at, len(at) // 50_000 + 1):
                 like = self.likeness(sketch[part], sketch[part + step])
                 good = like >= self.reach
@@ -46,12 +70,12 @@ class _Pairs:
                 likes.append(like[good])
                 waiting += int(good.sum())
                 if self.labelled and waiting > 500_000:
-                    yield self.firsts(bucket, item, np.concatenate(lefts), np.concatenate(rights), held)
+                    yield self.firsts(base, item, np.concatenate(lefts), np.concatenate(rights), held)
                     lefts, rights, likes = map(list, none)
                     waiting = 0
         left, right, like = map(np.concatenate, (lefts, rights, likes))
         if self.labelled:
-            yield self.firsts(bucket, item, left, right, held)
+            yield self.firsts(base, item, left, right, held)
         else:
             order = np.lexsort((left, -like, right))
             left, right = left[order], right[order]
@@ -59,8 +83,8 @@ class _Pairs:
             best[1:] = right[1:] != right[:-1]
             yield item[left[best]], item[right[best]]
 
-    def firsts(self, bucket, item, left, right, held):
-        first = self.once(bucket, left, right, held)
+    def firsts(self, base, item, left, right, held):
+        first = self.once(base, left, right, held)
         return item[left[first]], item[right[first]]
 
     def big(self, bucket, item, size, sketch):
@@ -89,9 +113,10 @@ class _Pairs:
 
 
 def candidates(likeness, least: float, reach: float, labelled: bool):
-    """For mapInArrow, over rows (bucket, item, size, label, big, sketch, held) sorted by bucket: pairs (a, b) of items to verify.
+    """For mapInArrow, over rows (bucket, item, size, label, big, sketch; base, side, held) sorted by bucket: pairs (a, b) of items to verify.
 
-    held: with labels, the buckets that the item is in. No bucket is big then: all pairs are compared.
+    With labels, base and side are those of in_cells() and held the bases that the
+    item is in. No bucket is big then: all pairs are compared.
     """
     names = ("bucket", "item", "size", "label", "big", "sketch")
 
@@ -117,20 +142,22 @@ def candidates(likeness, least: float, reach: float, labelled: bool):
             own = [batch.column(n).to_numpy(zero_copy_only=False) for n in names[:-1]]
             own.append(np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint8).reshape(batch.num_rows, -1))
             lists = batch.column("held").to_pylist() if labelled else [()] * batch.num_rows
+            for name in ("base", "side"):
+                own.append(batch.column(name).to_numpy() if labelled else np.full(batch.num_rows, -1))
             own.append(np.fromiter(lists, object, batch.num_rows))
             if held is not None:
                 own = [np.concatenate(x) for x in zip(held, own, strict=True)]
-            bucket, item, size, label, big, sketch, lists = own
+            bucket, item, size, label, big, sketch, base, side, lists = own
             # the last bucket may go on: its rows wait, unless it is big and can be taken piece by piece
             edge = len(bucket) if big[-1] else int(np.flatnonzero(bucket != bucket[-1])[-1]) + 1 if bucket[0] != bucket[-1] else 0
             held = [x[edge:] for x in own]
             less = np.flatnonzero(~big[:edge])
-            yield from out(pairs.small(bucket[less], item[less], size[less], sketch[less], label[less], padded(lists[less])))
+            yield from out(pairs.small(bucket[less], item[less], size[less], sketch[less], label[less], base[less], side[less], padded(lists[less])))
             more = np.flatnonzero(big[:edge])
             for part in np.split(more, np.flatnonzero(np.diff(bucket[more])) + 1) if len(more) else []:
                 yield from out(pairs.big(bucket[part[0]], item[part], size[part], sketch[part]))
         if held is not None and len(held[0]):
-            bucket, item, size, label, _, sketch, lists = held
-            yield from out(pairs.small(bucket, item, size, sketch, label, padded(lists)))
+            bucket, item, size, label, _, sketch, base, side, lists = held
+            yield from out(pairs.small(bucket, item, size, sketch, label, base, side, padded(lists)))
 
     return run

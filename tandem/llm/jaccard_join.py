@@ -16,7 +16,8 @@ of their sets is ``least`` (0.8) or more.
 3. Buckets still larger at full depth hold sets that are alike in most tokens.
    For proposals their members are compared with the bucket's pivots (a member
    that is nearly equal to none of them becomes one); beyond ``share`` members the
-   bucket is dealt out in parts that all hold its first pivot.
+   bucket is dealt out in parts that all hold its first pivot. For all pairs,
+   each two parts meet in a cell.
 4. In a bucket sets are compared by sketches of 256 bytes (one-permutation
    minima); pairs whose estimate is out of reach of the threshold are out. First
    each set proposes its likest partner among the sets before it; proposals are
@@ -41,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tandem.llm.buckets import candidates
+from tandem.llm.buckets import candidates, in_cells, in_parts
 from tandem.llm.components import components
 from tandem.llm.hashing import SPACE, cut, mix, prefix_sums, span_hashes, text_blocks, word_hashes
 from tandem.llm.storage import stored
@@ -154,8 +155,8 @@ def _split(flags, bits: int, depth: int):
     return run, "doc_id long, " + ", ".join([*(f"k{i} long" for i in range(depth)), *(f"f{i} tinyint" for i in range(depth))])
 
 
-def _buckets(profiles: DataFrame, reps: DataFrame, depth: int, limit: int, share: int, bits: int = 20) -> DataFrame:
-    """(bucket, doc_id, big): the nodes at which sets are compared."""
+def _buckets(profiles: DataFrame, reps: DataFrame, depth: int, limit: int, bits: int = 20) -> DataFrame:
+    """(bucket, item, n, pivot, big): the nodes at which sets are compared."""
     first = profiles.select("doc_id", F.explode(F.filter("leaves", lambda x: x["f0"] == 1)).alias("leaf")).select("doc_id", F.col("leaf.k0").alias("k0"))
     nodes = stored(first.join(reps, "doc_id", "left_semi"), "nodes")
     done = leaves = None
@@ -164,10 +165,7 @@ def _buckets(profiles: DataFrame, reps: DataFrame, depth: int, limit: int, share
         rows = nodes if not level else leaves.filter(f"{flag} = 1").select("doc_id", key)
         counts = stored(rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("pivot")).filter("n > 1"), "counts")
         here = rows.join(counts if last else counts.filter(f"n <= {limit}"), key)
-        parts = F.ceil(F.col("n") / share).cast("int")
-        salt = F.when(F.col("doc_id") == F.col("pivot"), F.sequence(F.lit(0), parts - 1)).otherwise(F.array(F.pmod(F.hash("doc_id"), parts)))
-        here = here.withColumn("salt", F.explode(F.when(parts > 1, salt).otherwise(F.array(F.lit(0)))))
-        here = here.select(F.xxhash64(F.lit(level), key, "salt").alias("bucket"), "doc_id", (F.col("n") > limit).alias("big"))
+        here = here.select(F.xxhash64(F.lit(level), key).alias("bucket"), F.col("doc_id").alias("item"), "n", "pivot", (F.col("n") > limit).alias("big"))
         done = here if done is None else done.union(here)
         if last:
             return stored(done, "buckets")
@@ -210,7 +208,7 @@ def _verify(least: float):
 
 def _verified(texts: DataFrame, rows: DataFrame, least: float, words: int, labelled: bool, bits: int) -> DataFrame:
     """The links (a, b) among the pairs that the rows of some buckets give."""
-    rows = rows.withColumnRenamed("doc_id", "item").repartition("bucket").sortWithinPartitions("bucket", F.xxhash64("item"))
+    rows = rows.repartition("bucket").sortWithinPartitions("bucket", F.xxhash64("item"))
     pairs = stored(rows.mapInArrow(candidates(likeness, least, least - 0.07, labelled), "a long, b long").filter("a <> b").distinct(), "pairs")
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b"))
     flags = texts.sparkSession.sparkContext.broadcast(bitmap(ids.select(F.xxhash64("doc_id").alias("hash")), bits))
@@ -232,18 +230,18 @@ def jaccard_join(
     classes = stored(known.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep")), "classes")
     members = profiles.select("doc_id", "size", "h1", "h2").join(classes, ["h1", "h2"], "left")
     members = members.select("doc_id", F.when(F.col("doc_id").isNotNull() & (F.col("size") > 0), F.col("rep")).otherwise(F.col("doc_id")).alias("rep"))
-    buckets = _buckets(known, classes.select(F.col("rep").alias("doc_id")), depth, limit, share)
-    sketch = known.select("doc_id", "size", "sketch")
-    rows = buckets.join(sketch, "doc_id").select("bucket", "doc_id", "size", F.col("doc_id").alias("label"), "big", "sketch")
+    buckets = _buckets(known, classes.select(F.col("rep").alias("doc_id")), depth, limit)
+    sketch = known.select(F.col("doc_id").alias("item"), "size", "sketch")
+    rows = in_parts(buckets, share).join(sketch, "item").select("bucket", "item", "size", F.col("item").alias("label"), "big", "sketch")
     links = _verified(texts, rows, least, words, False, filter_bits)
     edges = links.select(F.col("a").alias("u"), F.col("b").alias("v"))
     labels = stored(components(edges), "labels")
-    labelled = buckets.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("bucket", "doc_id", "big", F.coalesce("component", "doc_id").alias("label"))
+    labelled = buckets.join(labels.withColumnRenamed("node", "item"), "item", "left").select("bucket", "item", "n", F.coalesce("component", "item").alias("label"))
     mixed = stored(labelled.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("bucket"), "mixed")
     rows = stored(labelled.join(mixed, "bucket", "left_semi"), "mixed")
     # a document is in a few buckets of each run
-    held = rows.groupBy("doc_id").agg(F.collect_list("bucket").alias("held"))
-    rows = rows.join(held.join(sketch, "doc_id"), "doc_id").select("bucket", "doc_id", "size", "label", F.lit(False).alias("big"), "sketch", "held")  # all pairs of different groups are compared
+    held = rows.groupBy("item").agg(F.collect_list("bucket").alias("held"))
+    rows = in_cells(rows, share).join(held.join(sketch, "item"), "item").select("bucket", "item", "size", "label", F.lit(False).alias("big"), "sketch", "base", "side", "held")  # all pairs of different groups are compared
     more = _verified(texts, rows, least, words, True, filter_bits)
     links = links.union(more)
     known_links = labels.filter("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v"))

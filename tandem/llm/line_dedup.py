@@ -18,7 +18,8 @@ occurrence (smallest doc_id, then line number) stays.
    shingle sets and joined to groups. Then all further pairs of a bucket that
    are in different groups are verified, in buckets of any size. For proposals,
    lines of buckets of more than ``limit`` are compared with the pivots alone, in
-   parts of ``share`` lines that all hold the first pivot.
+   parts of ``share`` lines that all hold the first pivot; for all pairs, each two
+   parts meet in a cell.
 4. Union-find joins verified pairs to components.
 
 Defined results: null and empty texts have one empty line, which stays;
@@ -36,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tandem.llm.buckets import candidates
+from tandem.llm.buckets import candidates, in_cells, in_parts
 from tandem.llm.components import components
 from tandem.llm.hashing import LINE_END, SPACE, cut, mix, owners, prefix_sums, span_hashes, text_blocks
 from tandem.llm.storage import stored
@@ -288,22 +289,19 @@ def line_components(
     held = stored(held.dropDuplicates(["bucket", "item"]), "held")
     counts = stored(held.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("item").alias("pivot")).filter("n > 1"), "counts")
     found = held.join(counts, "bucket")
-    parts = F.ceil(F.col("n") / share).cast("int")
-    salt = F.when(F.col("item") == F.col("pivot"), F.sequence(F.lit(0), parts - 1)).otherwise(F.array(F.pmod(F.hash("item"), parts)))
-    found = found.withColumn("salt", F.explode(salt))
     # lines may repeat shingles, so their lengths bound nothing: all count as one size
-    found = stored(found.select(F.xxhash64("bucket", "salt").alias("bucket"), "item", F.lit(1).alias("size"), (F.col("n") > limit).alias("big"), "sketch"), "found")
+    found = stored(found.select("bucket", "item", "n", "pivot", F.lit(1).alias("size"), (F.col("n") > limit).alias("big"), "sketch"), "found")
     asked = send(bitmap(found.select(F.col("item").alias("hash")).mapInArrow(_mixed, "hash long"), bits))
     known = stored(texts.select("text").mapInArrow(_texts(bits, asked), "hash long, text binary").dropDuplicates(["hash"]), "texts")
     columns = ("bucket", "item", "size", "label", "big", "sketch")
-    links = _verified(known, found.withColumn("label", F.col("item")).select(*columns), least, False)
+    links = _verified(known, in_parts(found, share).withColumn("label", F.col("item")).select(*columns), least, False)
     labels = stored(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "labels")
-    found = found.join(labels.withColumnRenamed("node", "item"), "item", "left").withColumn("label", F.coalesce("component", "item")).select(*columns)
+    found = found.join(labels.withColumnRenamed("node", "item"), "item", "left").withColumn("label", F.coalesce("component", "item")).select(*columns, "n")
     mixed = stored(found.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("bucket"), "mixed")
     found = stored(found.join(mixed, "bucket", "left_semi"), "mixed")
     found = found.withColumn("big", F.lit(False))  # all pairs of different groups are compared
     held = found.groupBy("item").agg(F.collect_list("bucket").alias("held"))  # one for each band at most
-    more = _verified(known, found.join(held, "item").select(*columns, "held"), least, True)
+    more = _verified(known, in_cells(found.join(held, "item"), share).select(*columns, "base", "side", "held"), least, True)
     linked = labels.filter("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v"))
     return lines.select("doc_id", "line", "hash"), components(linked.union(more.select(F.col("a").alias("u"), F.col("b").alias("v"))))
 

@@ -177,6 +177,14 @@ def test_jaccard_beside_pivots(frame):
     assert {r.doc_id: r.class_id for r in jaccard_join(frame(rows), limit=3, depth=1).collect()} == want
 
 
+def test_jaccard_parts(frame):
+    """Chains of texts, each near the next ones alone, in buckets that are all dealt out in parts."""
+    texts = [words(104 + 11 * 60, s, 10**6) for s in range(4)]
+    rows = [(100 * s + i, " ".join(w[11 * i : 11 * i + 104])) for s, w in enumerate(texts) for i in range(60)]
+    want, _ = groups({d: shingles(t) for d, t in rows})
+    assert {r.doc_id: r.class_id for r in jaccard_join(frame(rows), limit=4, depth=2, share=5).collect()} == want
+
+
 def test_jaccard_edges(frame):
     assert jaccard_join(frame([])).collect() == []
     got = jaccard_join(frame([(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (2, None)])).collect()
