@@ -37,7 +37,7 @@ def in_cells(rows: DataFrame, share: int) -> DataFrame:
 class _Pairs:
     """Pairs to verify, from rows sorted by bucket. With labels, all pairs with different labels; else one partner for each row."""
 
-    def __init__(self, likeness, least: float, reach: float, labelled: bool):
+    def __init__(self, likeness, least: float, reach, labelled: bool):
         self.likeness, self.least, self.reach, self.near, self.labelled = likeness, least, reach, least + 0.1, labelled
         self.bucket, self.pivots = None, []
 
@@ -60,11 +60,12 @@ class _Pairs:
             at = np.flatnonzero(bucket[step:] == bucket[:-step])
             if not len(at):
                 break
-            a, b = size[at], size[at + step]
-            at = at[(np.minimum(a, b) >= self.least * np.maximum(a, b)) & (label[at] != label[at + step]) & ((side[at] < 0) | (side[at] != side[at + step]))]
-            for part in np.array_split(at, len(at) // 50_000 + 1):
+            at = at[(label[at] != label[at + step]) & ((side[at] < 0) | (side[at] != side[at + step]))]
+            bound = self.reach(size[at], size[at + step])
+            at, bound = at[bound <= 1], bound[bound <= 1]
+            for part, low in zip(*(np.array_split(x, len(at) // 50_000 + 1) for x in (at, bound)), strict=True):
                 like = self.likeness(sketch[part], sketch[part + step])
-                good = like >= self.reach
+                good = like >= low
                 lefts.append(part[good])
                 rights.append(part[good] + step)
                 likes.append(like[good])
@@ -93,14 +94,15 @@ class _Pairs:
         if bucket != self.bucket:
             self.bucket, self.pivots = bucket, []
         alone = np.ones(len(item), bool)
-        best, partner = np.full(len(item), self.reach), np.full(len(item), -1)
+        best, partner = np.full(len(item), -np.inf), np.full(len(item), -1)
         tried = 0
         while True:
             for p_item, p_size, p_sketch in self.pivots[tried:]:
-                ok = np.flatnonzero((np.minimum(size, p_size) >= self.least * np.maximum(size, p_size)) & (item != p_item))
+                bound = self.reach(size, p_size)
+                ok = np.flatnonzero((bound <= 1) & (item != p_item))
                 like = self.likeness(sketch[ok], p_sketch)
                 alone[ok[like >= self.near]] = False
-                more = like > best[ok]
+                more = (like > best[ok]) & (like >= bound[ok])
                 best[ok[more]], partner[ok[more]] = like[more], p_item
             tried = len(self.pivots)
             rest = np.flatnonzero(alone)
@@ -112,9 +114,10 @@ class _Pairs:
             self.pivots.append((item[p], size[p], sketch[p]))
 
 
-def candidates(likeness, least: float, reach: float, labelled: bool):
+def candidates(likeness, least: float, reach, labelled: bool):
     """For mapInArrow, over rows (bucket, item, size, label, big, sketch; base, side, held) sorted by bucket: pairs (a, b) of items to verify.
 
+    reach: from the sizes of pairs, the estimate that each must have; above 1 for pairs that cannot be linked.
     With labels, base and side are those of in_cells() and held the bases that the
     item is in. No bucket is big then: all pairs are compared.
     """

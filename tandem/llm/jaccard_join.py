@@ -206,10 +206,14 @@ def _verify(least: float):
     return run
 
 
+def _reach(least: float):
+    return lambda a, b: np.where(np.minimum(a, b) >= least * np.maximum(a, b), least - 0.07, 2.0)
+
+
 def _verified(texts: DataFrame, rows: DataFrame, least: float, words: int, labelled: bool, bits: int) -> DataFrame:
     """The links (a, b) among the pairs that the rows of some buckets give."""
     rows = rows.repartition("bucket").sortWithinPartitions("bucket", F.xxhash64("item"))
-    pairs = stored(rows.mapInArrow(candidates(likeness, least, least - 0.07, labelled), "a long, b long").filter("a <> b").distinct(), "pairs")
+    pairs = stored(rows.mapInArrow(candidates(likeness, least, _reach(least), labelled), "a long, b long").filter("a <> b").distinct(), "pairs")
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b"))
     flags = texts.sparkSession.sparkContext.broadcast(bitmap(ids.select(F.xxhash64("doc_id").alias("hash")), bits))
     indexed = texts.filter("doc_id IS NOT NULL").withColumn("index", F.shiftrightunsigned(F.xxhash64("doc_id"), 64 - bits))

@@ -13,7 +13,8 @@ occurrence (smallest doc_id, then line number) stays.
    probability 0.99.
 2. Band keys that two different lines have are found shard by shard and kept as
    a bitmap of fixed size; only lines that hit it are shuffled to their buckets.
-3. In a bucket pairs are compared by sketch. First each line proposes its
+3. In a bucket pairs are compared by sketch; the fewer bins a line fills, the
+   further below ``least`` a pair is still verified. First each line proposes its
    likest partner among the lines before it; proposals are verified on the exact
    shingle sets and joined to groups. Then all further pairs of a bucket that
    are in different groups are verified, in buckets of any size. For proposals,
@@ -97,8 +98,8 @@ def shingles(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np
     return value, np.searchsorted(span, np.arange(len(starts) + 1))
 
 
-def signatures(tokens: np.ndarray, begin: np.ndarray, bands: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """Band keys (lines x bands) and sketches (lines x BINS / 2 bytes) from the minima in BINS bins."""
+def signatures(tokens: np.ndarray, begin: np.ndarray, bands: int, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Band keys (lines x bands), sketches (lines x BINS / 2 bytes) and filled bins from the minima in BINS bins."""
     n = len(begin) - 1
     line = np.repeat(np.arange(n) * BINS, np.diff(begin))
     low = np.full(n * BINS, 0xFFFFFFFF, np.uint32)
@@ -119,10 +120,10 @@ def signatures(tokens: np.ndarray, begin: np.ndarray, bands: int, rows: int) ->
     keys = np.repeat(np.arange(bands, dtype=U64)[None, :], n, 0)
     for r in range(rows):
         keys = mix(keys * U64(0x9E3779B97F4A7C15) + parts[:, r, :] + U64(1))
-    return keys, four[:, ::2] << 4 | four[:, 1::2]
+    return keys, four[:, ::2] << 4 | four[:, 1::2], BINS - empty.sum(1)
 
 
-LINES = "doc_id long, line int, hash long, sketch binary, bands array<long>"
+LINES = "doc_id long, line int, hash long, sketch binary, filled int, bands array<long>"
 
 
 def _read(bands: int, rows: int):
@@ -134,7 +135,9 @@ def _read(bands: int, rows: int):
                 continue
             which = np.unique(lines.hash, return_index=True)[1]
             tokens, begin = lines.shingles(which)
-            keys, sketch = signatures(tokens, begin, bands, rows)
+            keys, sketch, filled = signatures(tokens, begin, bands, rows)
+            bins = np.zeros(n, np.int32)
+            bins[which] = filled
             at = np.full(n, -1)
             at[which] = np.arange(len(which))
             first = at >= 0
@@ -146,9 +149,9 @@ def _read(bands: int, rows: int):
             yield pa.RecordBatch.from_arrays(
                 [
                     block.column("doc_id").take(pa.array(lines.doc)), pa.array(lines.number.astype(np.int32)), pa.array(lines.hash.view(np.int64)),
-                    pa.array(held, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[at[first]].reshape(-1).view(np.int64))),
+                    pa.array(held, pa.binary()), pa.array(bins), pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[at[first]].reshape(-1).view(np.int64))),
                 ],
-                names=["doc_id", "line", "hash", "sketch", "bands"],
+                names=["doc_id", "line", "hash", "sketch", "filled", "bands"],
             )
 
     return run
@@ -166,7 +169,7 @@ def _wanted(bits: int, flags):
             row = np.repeat(np.arange(n), np.diff(bands.offsets.to_numpy()))
             good = _hit(seen, keys, bits)
             at = pa.array(row[good])
-            yield pa.RecordBatch.from_arrays([pa.array(keys[good]), *(batch.column(c).take(at) for c in ("hash", "sketch"))], names=["bucket", "hash", "sketch"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys[good]), *(batch.column(c).take(at) for c in ("hash", "filled", "sketch"))], names=["bucket", "hash", "filled", "sketch"])
 
     return run
 
@@ -218,6 +221,19 @@ def _close(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (alike / BINS - 1 / 16) * (16 / 15)
 
 
+def _reach(least: float):
+    """The estimate that a pair must have, from the filled bins of its sketches: 3.5 standard deviations under the threshold.
+
+    Copies weigh the f filled bins unequally, which leaves about f / (2 - f / BINS) samples.
+    """
+
+    def run(a, b):
+        filled = np.minimum(a, b)
+        return least - np.maximum(0.08, 3.5 * np.sqrt(least * (1 - least) * (2 - filled / BINS) / np.maximum(filled, 1)))
+
+    return run
+
+
 def _texts(bits: int, flags):
     """The texts of the lines that pairs ask for."""
 
@@ -266,7 +282,7 @@ def _verify(least: float):
 def _verified(lines: DataFrame, rows: DataFrame, least: float, labelled: bool) -> DataFrame:
     """The links (a, b) among the pairs that the rows of some buckets give."""
     rows = rows.repartition("bucket").sortWithinPartitions("bucket", F.xxhash64("item"))
-    pairs = rows.mapInArrow(candidates(_close, least, least - 0.08, labelled), "a long, b long").filter("a <> b").distinct()
+    pairs = rows.mapInArrow(candidates(_close, least, _reach(least), labelled), "a long, b long").filter("a <> b").distinct()
     left = pairs.join(lines.select(F.col("hash").alias("a"), F.col("text").alias("x")), "a")
     both = left.join(lines.select(F.col("hash").alias("b"), F.col("text").alias("y")), "b").select("a", "b", "x", "y")
     return stored(both.mapInArrow(_verify(least), "a long, b long"), "verified")
@@ -285,12 +301,11 @@ def line_components(
     shards = 1 << max(6, (lines.count() * bands // 1_000_000).bit_length())
     keys = signed.select("bands", "hash").mapInArrow(_keys(shards), "shard long, keys binary, lines binary")
     flags = send(bitmap(keys.groupBy("shard").applyInArrow(_shared_keys, "hash long"), bits))
-    held = signed.select("bands", "hash", "sketch").mapInArrow(_wanted(bits, flags), "bucket long, item long, sketch binary")
+    held = signed.select("bands", "hash", "filled", "sketch").mapInArrow(_wanted(bits, flags), "bucket long, item long, size int, sketch binary")
     held = stored(held.dropDuplicates(["bucket", "item"]), "held")
     counts = stored(held.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("item").alias("pivot")).filter("n > 1"), "counts")
     found = held.join(counts, "bucket")
-    # lines may repeat shingles, so their lengths bound nothing: all count as one size
-    found = stored(found.select("bucket", "item", "n", "pivot", F.lit(1).alias("size"), (F.col("n") > limit).alias("big"), "sketch"), "found")
+    found = stored(found.select("bucket", "item", "n", "pivot", "size", (F.col("n") > limit).alias("big"), "sketch"), "found")
     asked = send(bitmap(found.select(F.col("item").alias("hash")).mapInArrow(_mixed, "hash long"), bits))
     known = stored(texts.select("text").mapInArrow(_texts(bits, asked), "hash long, text binary").dropDuplicates(["hash"]), "texts")
     columns = ("bucket", "item", "size", "label", "big", "sketch")
