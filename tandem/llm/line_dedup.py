@@ -9,8 +9,9 @@ occurrence (smallest doc_id, then line number) stays.
 1. Each line gets a 64-bit hash (equal lines share it from here on), one
    permutation's minima in 256 bins, with empty bins filled from the next one,
    a key for each of ``bands`` bands of ``rows`` bins, and a sketch of four bits of each
-   minimum. A pair at similarity 0.8 shares one of 12 bands of 5 with
-   probability 0.99.
+   minimum. Lines that fill half of the bins or less have bands of real
+   permutations, so a pair at similarity 0.8 shares one of 12 bands of 5 with
+   probability 0.99 at every length.
 2. Band keys that two different lines have are found shard by shard and kept as
    a bitmap of fixed size; only lines that hit it are shuffled to their buckets.
 3. In a bucket pairs are compared by sketch; the fewer bins a line fills, the
@@ -47,6 +48,9 @@ from tandem.llm.substring_dedup import bitmap
 U64 = np.uint64
 #: Bytes of a shingle, bins of a signature.
 WIDTH, BINS = 8, 256
+#: Lines that fill at most SHORT bins have bands of real permutations, those of LONG or more have bands of bins. Lines
+#: between have both: a pair at similarity 0.8 differs by a quarter of the smaller line, so it has one kind in common.
+SHORT, LONG = 128, 90
 
 
 def _hit(flags: np.ndarray, hashes: np.ndarray, bits: int) -> np.ndarray:
@@ -114,7 +118,7 @@ def signatures(tokens: np.ndarray, begin: np.ndarray, bands: int, rows: int) ->
     away = (at - np.arange(BINS, dtype=np.int16)).astype(np.uint32)
     value = np.take_along_axis(low, (at % BINS).astype(np.int64), 1) + away * np.uint32(0x9E3779B1)
     four = (value * np.uint32(0x85EBCA6B) >> np.uint32(28)).astype(np.uint8)
-    # the bins of a band lie far apart
+    # the bins of a band are spread over the signature
     step = BINS // (bands * rows)
     parts = value[:, : step * bands * rows : step].reshape(n, rows, bands).astype(U64)
     keys = np.repeat(np.arange(bands, dtype=U64)[None, :], n, 0)
@@ -123,6 +127,36 @@ def signatures(tokens: np.ndarray, begin: np.ndarray, bands: int, rows: int) ->
     return keys, four[:, ::2] << 4 | four[:, 1::2], BINS - empty.sum(1)
 
 
+def short_keys(tokens: np.ndarray, begin: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """Band keys (lines x bands) from the minima of bands * rows permutations of the shingles."""
+    n = len(begin) - 1
+    keys = np.repeat(np.arange(bands, dtype=U64)[None, :] + U64(1 << 32), n, 0)  # not those of bins
+    if not n:
+        return keys
+    half = (tokens >> U64(32)).astype(np.uint32)
+    factors = (mix(np.arange(1, bands * rows + 1, dtype=U64)).astype(np.uint32) | np.uint32(1)).reshape(bands, rows)
+    for band in range(bands):
+        for factor in factors[band]:
+            turned = half * factor
+            turned ^= turned >> np.uint32(15)
+            turned *= np.uint32(0x2C1B3C6D)
+            low = np.minimum.reduceat(turned, begin[:-1])
+            keys[:, band] = mix(keys[:, band] * U64(0x9E3779B97F4A7C15) + low.astype(U64) + U64(1))
+    return keys
+
+
+def band_keys(tokens: np.ndarray, begin: np.ndarray, filled: np.ndarray, keys: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """The band keys of all lines in a row, of one kind or both, and where each line's begin; keys are those of bins."""
+    bands = keys.shape[1]
+    short = np.flatnonzero(filled <= SHORT)
+    size = np.diff(begin)
+    own = np.repeat(filled <= SHORT, size)
+    both = np.concatenate([keys, np.zeros_like(keys)], 1)
+    both[short, bands:] = short_keys(tokens[own], np.concatenate([[0], np.cumsum(size[short])]), bands, rows)
+    used = np.repeat(np.stack([filled >= LONG, filled <= SHORT], 1), bands, 1)
+    return both[used], np.concatenate([[0], np.cumsum(used.sum(1))])
+
+
 LINES = "doc_id long, line int, hash long, sketch binary, filled int, bands array<long>"
 
 
@@ -138,18 +172,21 @@ def _read(bands: int, rows: int):
             keys, sketch, filled = signatures(tokens, begin, bands, rows)
             bins = np.zeros(n, np.int32)
             bins[which] = filled
-            at = np.full(n, -1)
-            at[which] = np.arange(len(which))
-            first = at >= 0
+            keys, edge = band_keys(tokens, begin, filled, keys, rows)
+            count = np.zeros(n, np.int64)
+            count[which] = np.diff(edge)
             ends = np.zeros(n + 1, np.int32)
-            np.cumsum(first * bands, out=ends[1:])
+            np.cumsum(count, out=ends[1:])
+            place = np.zeros(n, np.int64)
+            place[which] = edge[:-1]
+            at = np.arange(ends[-1]) + np.repeat(place - ends[:-1], count)
             held = np.zeros(n, object)
             held[:] = None
             held[which] = [x.tobytes() for x in sketch]
             yield pa.RecordBatch.from_arrays(
                 [
                     block.column("doc_id").take(pa.array(lines.doc)), pa.array(lines.number.astype(np.int32)), pa.array(lines.hash.view(np.int64)),
-                    pa.array(held, pa.binary()), pa.array(bins), pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[at[first]].reshape(-1).view(np.int64))),
+                    pa.array(held, pa.binary()), pa.array(bins), pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[at].view(np.int64))),
                 ],
                 names=["doc_id", "line", "hash", "sketch", "filled", "bands"],
             )
@@ -298,7 +335,7 @@ def line_components(
     send = docs.sparkSession.sparkContext.broadcast
     lines = stored(texts.mapInArrow(_read(bands, rows), LINES), "lines")
     signed = lines.filter("sketch IS NOT NULL")
-    shards = 1 << max(6, (lines.count() * bands // 1_000_000).bit_length())
+    shards = 1 << max(6, (lines.count() * 2 * bands // 1_000_000).bit_length())
     keys = signed.select("bands", "hash").mapInArrow(_keys(shards), "shard long, keys binary, lines binary")
     flags = send(bitmap(keys.groupBy("shard").applyInArrow(_shared_keys, "hash long"), bits))
     held = signed.select("bands", "hash", "filled", "sketch").mapInArrow(_wanted(bits, flags), "bucket long, item long, size int, sketch binary")

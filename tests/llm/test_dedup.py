@@ -7,7 +7,7 @@ import pytest
 from tandem.llm.components import components
 from tandem.llm.exact_dedup import exact_dedup
 from tandem.llm.jaccard_join import jaccard_join
-from tandem.llm.line_dedup import _close, _reach, line_dedup, signatures, without_lines
+from tandem.llm.line_dedup import _close, _reach, band_keys, line_dedup, signatures, without_lines
 from tandem.llm.queries import op1_line_dedup, op3_exact_dedup, op6_jaccard_join
 from tandem.llm.substring_dedup import substring_dedup
 
@@ -243,21 +243,32 @@ def test_line_table(spark, sf):
     assert op1_line_dedup(spark, sf).count() == spark.read.parquet(f"{sf}/documents.parquet").count()
 
 
-def line_pairs(size, n=4000):
-    """Signatures of both sides of n pairs of sets: of size shingles one side lacks a fifth, at similarity 0.8."""
+def line_sets(size, n=4000):
+    """Both sides of n pairs of sets: of size shingles one side lacks a fifth, at similarity 0.8."""
     rng = np.random.default_rng(size)
     whole = rng.integers(0, 2**64, (n, size), np.uint64)
     part = whole[:, : -(-4 * size // 5)]
-    return [signatures(np.ascontiguousarray(x).reshape(-1), np.arange(n + 1) * x.shape[1], 12, 5) for x in (whole, part)]
+    return [(np.ascontiguousarray(x).reshape(-1), np.arange(n + 1) * x.shape[1]) for x in (whole, part)]
 
 
 @pytest.mark.parametrize("size", [10, 20, 40, 60, 100, 200, 1000])
 def test_line_sketch_recall(size):
     """At every length the sketch lets nearly all pairs at the threshold through."""
-    a, b = line_pairs(size)
+    a, b = (signatures(*x, 12, 5) for x in line_sets(size))
     assert (_close(a[1], b[1]) >= _reach(0.8)(a[2], b[2])).mean() >= 0.995
 
 
+@pytest.mark.parametrize("size", [10, 20, 40, 60, 100, 125, 150, 200, 1000])
+def test_line_band_recall(size):
+    """At every length pairs at the threshold share a band with the probability of independent bands."""
+    sides = []
+    for tokens, begin in line_sets(size):
+        keys, _, filled = signatures(tokens, begin, 12, 5)
+        keys, edge = band_keys(tokens, begin, filled, keys, 5)
+        sides.append([set(keys[a:b].tolist()) for a, b in zip(edge[:-1], edge[1:], strict=True)])
+    assert np.mean([bool(x & y) for x, y in zip(*sides, strict=True)]) >= 0.98
+
+
 def test_components(spark):
     rng = random.Random(15)
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, 100 + i) for i in range(1, 200)] + [(rng.randrange(1000, 1200), rng.randrange(1000, 1200)) for _ in range(150)] + [(7, 7)]
