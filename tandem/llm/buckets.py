@@ -1,166 +1,277 @@
-"""Pairs of likely similar items within the buckets of a locality-sensitive split."""
+"""Verified links between the sets that share a bucket of a locality-sensitive split.
+
+A set is an array of distinct hashes, sorted. Two sets are linked when their
+Jaccard similarity is ``least`` or more. Buckets are compared exactly: what comes
+out of a bucket joins all its members that a chain of links inside it joins, with
+fewer links than members, and no pair leaves a bucket unverified.
+
+In a bucket:
+
+1. Members of which less than ``least`` of the hashes are held by any other member
+   have no link there and are out, again and again until none is.
+2. A member without a link becomes a pivot and is compared with all members, until
+   every member is a pivot or linked to one.
+3. What is left are pairs of two members that are linked to different pivots and not
+   yet joined. By the triangle inequality of the Jaccard distance such a pair can
+   only be linked where each is within twice the distance of the other's pivot; these
+   are compared.
+
+A bucket of more than ``share`` members is first dealt out in parts that hold its
+first member in common, which joins each part's members; ``cells()`` then brings
+together all pairs of members that are still apart, by the groups so far: members of
+the bucket's largest group meet the others, and the others one another.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LAST = np.iinfo(np.int64).max
+from tandem.llm.hashing import release
+from tandem.llm.storage import stored
 
+EPSILON = 1e-9
+#: Bits of the table of a bucket's members and hashes; a larger one is searched by its rarest hashes instead.
+TABLE_BITS = 1 << 28
 
-def in_parts(rows: DataFrame, share: int) -> DataFrame:
-    """For proposals, over (bucket, item, n, pivot): buckets of more than ``share`` members dealt out in parts that all hold the pivot."""
-    parts = F.ceil(F.col("n") / share).cast("int")
-    salt = F.when(F.col("item") == F.col("pivot"), F.sequence(F.lit(0), parts - 1)).otherwise(F.array(F.pmod(F.hash("item"), parts)))
-    rows = rows.withColumn("salt", F.explode(F.when(parts > 1, salt).otherwise(F.array(F.lit(0)))))
-    return rows.withColumn("bucket", F.when(parts > 1, F.xxhash64("bucket", "salt")).otherwise(F.col("bucket"))).drop("salt")
 
+class Bucket:
+    """The sets of one bucket and the groups that they are in so far."""
 
-def in_cells(rows: DataFrame, share: int) -> DataFrame:
-    """For all pairs, over (bucket, item, n): as base the bucket, as bucket a cell for each two parts of ``share`` members.
+    def __init__(self, sets: list[np.ndarray], groups: np.ndarray, least: float, table_bits: int = TABLE_BITS):
+        self.least, self.low = least, 2 * least - 1
+        self.group = np.unique(groups, return_inverse=True)[1]
+        self.links: list[tuple[int, int]] = []
+        self.size = np.array([len(s) for s in sets])
+        self.owner = np.repeat(np.arange(len(sets)), self.size)
+        ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
+        live = self.size > 0
+        while True:
+            times = np.bincount(ids[live[self.owner]], minlength=int(ids.max(initial=-1)) + 1)
+            held = times[ids] > 1
+            good = live & (np.bincount(self.owner, held, len(sets)) >= least * self.size - EPSILON)
+            if good.sum() == live.sum():
+                break
+            live = good
+        self.live = np.flatnonzero(live)
+        held &= live[self.owner]
+        names = np.cumsum(times > 1) - 1
+        self.owner, self.ids, self.names = self.owner[held], names[ids[held]], int((times > 1).sum())
+        self.begin = np.searchsorted(self.owner, np.arange(len(sets) + 1))
+        self.bits = self.postings = None
+        if len(self.live) > 1:
+            if len(sets) * self.names <= table_bits:
+                self._table()
+            else:
+                self.times = np.bincount(self.ids, minlength=self.names)
+                self.postings = self.owner[np.argsort(self.ids, kind="stable")]
+                self.ends = np.cumsum(self.times)
 
-    side: the part in a cell of two parts, of which only pairs between the two are wanted; else -1.
-    """
-    parts = F.ceil(F.col("n") / share).cast("int")
-    own = F.pmod(F.hash("item"), parts)
-    rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-    cell = F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other"))
-    side = F.when(F.col("own") == F.col("other"), -1).otherwise(F.col("own"))
-    rows = rows.withColumn("base", F.col("bucket")).withColumn("side", side)
-    return rows.withColumn("bucket", F.when(parts > 1, cell).otherwise(F.col("bucket"))).drop("own", "other")
-
-
-class _Pairs:
-    """Pairs to verify, from rows sorted by bucket. With labels, all pairs with different labels; else one partner for each row."""
-
-    def __init__(self, likeness, least: float, reach, labelled: bool):
-        self.likeness, self.least, self.reach, self.near, self.labelled = likeness, least, reach, least + 0.1, labelled
-        self.bucket, self.pivots = None, []
-
-    def once(self, bucket, left, right, held):
-        """Whether this bucket is the smallest that both hold, so that a pair leaves one bucket alone."""
-        out = np.ones(len(left), bool)
-        for part in np.array_split(np.arange(len(left)), len(left) * held.shape[1] ** 2 // 20_000_000 + 1):
-            a, b, own = held[left[part]], held[right[part]], bucket[left[part]]
-            shared = (a[:, :, None] == b[:, None, :]).any(2)
-            lowest = np.where(shared, a, LAST).min(1, initial=LAST)
-            out[part] = lowest == own
-        return out
+    def _table(self) -> None:
+        n, width = len(self.size), -(-self.names // 64) * 64
+        self.bits = np.zeros((n, width // 64), np.uint64)
+        step = max(1, (1 << 24) // max(width, 1))
+        for a in range(0, n, step):
+            part = slice(self.begin[a], self.begin[min(a + step, n)])
+            flags = np.zeros((min(step, n - a), width), np.uint8)
+            flags[self.owner[part] - a, self.ids[part]] = 1
+            self.bits[a : a + step] = np.packbits(flags, axis=1, bitorder="little").view(np.uint64)
 
-    def small(self, bucket, item, size, sketch, label, base, side, held):
-        """All pairs of each bucket."""
-        none = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
-        lefts, rights, likes = map(list, none)
-        waiting = 0
-        for step in range(1, len(bucket)):
-            at = np.flatnonzero(bucket[step:] == bucket[:-step])
-            if not len(at):
-                break
-            at = at[(label[at] != label[at + step]) & ((side[at] < 0) | (side[at] != side[at + step]))]
-            bound = self.reach(size[at], size[at + step])
-            at, bound = at[bound <= 1], bound[bound <= 1]
-            for part, low in zip(*(np.array_split(x, len(at) // 50_000 + 1) for x in (at, bound)), strict=True):
-                like = self.likeness(sketch[part], sketch[part + step])
-                good = like >= low
-                lefts.append(part[good])
-                rights.append(part[good] + step)
-                likes.append(like[good])
-                waiting += int(good.sum())
-                if self.labelled and waiting > 500_000:
-                    yield self.firsts(base, item, np.concatenate(lefts), np.concatenate(rights), held)
-                    lefts, rights, likes = map(list, none)
-                    waiting = 0
-        left, right, like = map(np.concatenate, (lefts, rights, likes))
-        if self.labelled:
-            yield self.firsts(base, item, left, right, held)
+    def likeness(self, one: int, others: np.ndarray) -> np.ndarray:
+        """Exact similarity of a member to others; 0 may stand for less than ``low``."""
+        if self.bits is not None:
+            shared = np.bitwise_count(self.bits[others] & self.bits[one]).sum(1, dtype=np.int64)
         else:
-            order = np.lexsort((left, -like, right))
-            left, right = left[order], right[order]
-            best = np.ones(len(right), bool)
-            best[1:] = right[1:] != right[:-1]
-            yield item[left[best]], item[right[best]]
-
-    def firsts(self, base, item, left, right, held):
-        first = self.once(base, left, right, held)
-        return item[left[first]], item[right[first]]
-
-    def big(self, bucket, item, size, sketch):
-        """Proposals alone: one bucket's next rows against its pivots so far."""
-        bucket = int(bucket)
-        if bucket != self.bucket:
-            self.bucket, self.pivots = bucket, []
-        alone = np.ones(len(item), bool)
-        best, partner = np.full(len(item), -np.inf), np.full(len(item), -1)
-        tried = 0
-        while True:
-            for p_item, p_size, p_sketch in self.pivots[tried:]:
-                bound = self.reach(size, p_size)
-                ok = np.flatnonzero((bound <= 1) & (item != p_item))
-                like = self.likeness(sketch[ok], p_sketch)
-                alone[ok[like >= self.near]] = False
-                more = (like > best[ok]) & (like >= bound[ok])
-                best[ok[more]], partner[ok[more]] = like[more], p_item
-            tried = len(self.pivots)
-            rest = np.flatnonzero(alone)
-            if not len(rest):
-                good = partner >= 0
-                return [(partner[good], item[good])]
-            p = rest[0]
-            alone[p] = False
-            self.pivots.append((item[p], size[p], sketch[p]))
-
-
-def candidates(likeness, least: float, reach, labelled: bool):
-    """For mapInArrow, over rows (bucket, item, size, label, big, sketch; base, side, held) sorted by bucket: pairs (a, b) of items to verify.
-
-    reach: from the sizes of pairs, the estimate that each must have; above 1 for pairs that cannot be linked.
-    With labels, base and side are those of in_cells() and held the bases that the
-    item is in. No bucket is big then: all pairs are compared.
-    """
-    names = ("bucket", "item", "size", "label", "big", "sketch")
+            # who shares low of one's hashes shares one of any of them but so many
+            own = self.ids[self.begin[one] : self.begin[one + 1]]
+            rare = own[np.argsort(self.times[own], kind="stable")]
+            alone = self.size[one] - len(own)  # hashes that no other member has come first
+            rare = rare[: max(0, self.size[one] - int(np.ceil(self.low * self.size[one] - EPSILON)) + 1 - alone)]
+            hit = np.zeros(len(self.size), bool)
+            for x in rare:
+                hit[self.postings[self.ends[x] - self.times[x] : self.ends[x]]] = True
+            near = np.flatnonzero(hit[others])
+            flags = np.zeros(self.names, bool)
+            flags[own] = True
+            shared = np.zeros(len(others), np.int64)
+            for k in near:
+                member = others[k]
+                shared[k] = flags[self.ids[self.begin[member] : self.begin[member + 1]]].sum()
+        return shared / (self.size[others] + self.size[one] - shared)
+
+    def join(self, one: int, others: np.ndarray) -> None:
+        """Links of one to others, as far as they join groups."""
+        groups, at = np.unique(self.group[others], return_index=True)
+        new = groups != self.group[one]
+        if new.any():
+            self.links += [(one, int(x)) for x in others[at[new]]]
+            self.group[np.isin(self.group, groups[new])] = self.group[one]
+
+    def linked(self) -> list[tuple[int, int]]:
+        """Pairs of members that are linked and join all groups that links in this bucket join."""
+        live = self.live
+        if len(live) < 2:
+            return []
+        open_, by = np.zeros(len(self.size), bool), np.full(len(self.size), -1)
+        open_[live] = True  # no pivot yet
+        pivots: list[tuple[int, np.ndarray]] = []
+        sizes = np.bincount(self.group[live])
+        for one in live[np.argsort(sizes[self.group[live]], kind="stable")].tolist():
+            if by[one] >= 0:
+                continue
+            waiting = self.group[live[open_[live]]]
+            if (waiting == waiting[0]).all():  # only pairs of one group are left: pivots have been compared with all
+                return self.links
+            like = self.likeness(one, live)
+            open_[one] = False
+            hits = live[(like >= self.least - EPSILON) & (live != one)]
+            by[hits[by[hits] < 0]] = one
+            pivots.append((one, live[like >= self.low - EPSILON].astype(np.int32)))
+            self.join(one, hits)
+        done = ~open_
+        for one, ring in pivots:
+            mine = live[by[live] == one]
+            mine = mine[open_[mine]]
+            done[mine] = True
+            ring = ring[~done[ring]]
+            ring = ring[self.group[ring] != self.group[one]]
+            few, many = (mine, ring) if len(mine) <= len(ring) else (ring, mine)
+            for x in few.tolist():
+                rest = many[self.group[many] != self.group[x]]
+                if len(rest):
+                    self.join(x, rest[self.likeness(x, rest) >= self.least - EPSILON])
+        return self.links
+
+
+    def degrees(self, side: np.ndarray) -> np.ndarray:
+        """Of each member the number of members that it is linked to; of members with a side, those of the other side alone."""
+        out = np.zeros(len(self.size), np.int64)
+        for one in self.live.tolist() if len(self.live) > 1 else ():
+            others = self.live[(side[self.live] != side[one]) | ((side[self.live] < 0) & (self.live != one))]
+            out[one] = (self.likeness(one, others) >= self.least - EPSILON).sum()
+        return out
+
+
+def _alike(held: list[np.ndarray], least: float) -> bool:
+    """Whether two sets are linked."""
+    both = np.concatenate(held)
+    both.sort()
+    shared = int((both[1:] == both[:-1]).sum())
+    return shared > 0 and shared >= least * (len(both) - shared) - EPSILON
+
+
+def _by_bucket(sets: Callable[[pa.RecordBatch], list[np.ndarray]], column: str, work: Callable, names: list[str]):
+    """For mapInArrow, over rows (bucket, item, column, ...) sorted by bucket: what work(items, values, sets) gives for each bucket, two columns of numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs, held = _Pairs(likeness, least, reach, labelled), None
+        waiting: list[tuple[np.ndarray, np.ndarray, list[np.ndarray]]] = []
+        last = None
 
-        def out(found):
-            for a, b in found:
-                if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+        def closed() -> list[np.ndarray]:
+            items, values = (np.concatenate([w[i] for w in waiting]) for i in (0, 1))
+            held = [s for w in waiting for s in w[2]]
+            waiting.clear()
+            return [np.array(work(items, values, held), np.int64).reshape(-1, 2)] if len(items) > 1 else []
 
-        def padded(lists):
-            width = max(map(len, lists), default=0)
-            rows = np.repeat(np.arange(len(lists), dtype=np.int64)[:, None], width, 1)  # what fills up is never shared: see once()
-            rows = -1 - rows
-            for i, x in enumerate(lists):
-                rows[i, : len(x)] = x
-            return rows
+        def out(found: list[np.ndarray]) -> pa.RecordBatch:
+            a, b = np.concatenate([np.zeros((0, 2), np.int64), *found]).T
+            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in (a, b)], names=names)
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            own = [batch.column(n).to_numpy(zero_copy_only=False) for n in names[:-1]]
-            own.append(np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint8).reshape(batch.num_rows, -1))
-            lists = batch.column("held").to_pylist() if labelled else [()] * batch.num_rows
-            for name in ("base", "side"):
-                own.append(batch.column(name).to_numpy() if labelled else np.full(batch.num_rows, -1))
-            own.append(np.fromiter(lists, object, batch.num_rows))
-            if held is not None:
-                own = [np.concatenate(x) for x in zip(held, own, strict=True)]
-            bucket, item, size, label, big, sketch, base, side, lists = own
-            # the last bucket may go on: its rows wait, unless it is big and can be taken piece by piece
-            edge = len(bucket) if big[-1] else int(np.flatnonzero(bucket != bucket[-1])[-1]) + 1 if bucket[0] != bucket[-1] else 0
-            held = [x[edge:] for x in own]
-            less = np.flatnonzero(~big[:edge])
-            yield from out(pairs.small(bucket[less], item[less], size[less], sketch[less], label[less], base[less], side[less], padded(lists[less])))
-            more = np.flatnonzero(big[:edge])
-            for part in np.split(more, np.flatnonzero(np.diff(bucket[more])) + 1) if len(more) else []:
-                yield from out(pairs.big(bucket[part[0]], item[part], size[part], sketch[part]))
-        if held is not None and len(held[0]):
-            bucket, item, size, label, _, sketch, base, side, lists = held
-            yield from out(pairs.small(bucket, item, size, sketch, label, base, side, padded(lists)))
+            bucket, items, values = (batch.column(c).to_numpy() for c in ("bucket", "item", column))
+            held, found = sets(batch), []
+            edges = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(bucket)]
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                if waiting and bucket[a] != last:
+                    found += closed()
+                waiting.append((items[a:b], values[a:b], held[a:b]))
+                last = bucket[a]
+            yield out(found)
+        if waiting:
+            yield out(closed())
+        release()
 
     return run
+
+
+def compared(rows: DataFrame, sets: Callable, least: float) -> DataFrame:
+    """The links (a, b) that the buckets of rows (bucket, item, label, ...) give; label: the group that an item is in so far.
+
+    sets: for a batch of rows the set of each.
+    """
+
+    def work(items, labels, held):
+        if len(items) == 2:
+            pairs = [(0, 1)] if labels[0] != labels[1] and _alike(held, least) else []
+        else:
+            pairs = Bucket(held, labels, least).linked()
+        return np.sort(items[np.array(pairs, np.int64).reshape(-1, 2)], axis=1)
+
+    rows = rows.repartition("bucket").sortWithinPartitions("bucket")
+    return rows.mapInArrow(_by_bucket(sets, "label", work, ["a", "b"]), "a long, b long").distinct()
+
+
+def degrees(groups: DataFrame, payload: DataFrame, sets: Callable, least: float, share: int) -> DataFrame:
+    """(item, n): the number of links of each item of groups (item, component) to others of its component, each pair of parts of a component in one cell.
+
+    payload: (item, ...), what sets() makes the items' sets of.
+    """
+    counts = groups.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
+    half = max(1, share // 2)
+    rows = groups.join(counts, "component").withColumn("number", F.when(F.col("n") > share, F.ceil(F.col("n") / half)).otherwise(1).cast("int"))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("item"), "number").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("number") - 1)))
+    cell = F.xxhash64("component", F.least("own", "other"), F.greatest("own", "other"))
+    rows = rows.select(cell.alias("bucket"), "item", F.when(F.col("own") == F.col("other"), -1).otherwise(F.col("own")).cast("long").alias("side"))
+
+    def work(items, side, held):
+        if len(items) == 2:
+            n = np.full(2, _alike(held, least) and (side[0] < 0 or side[0] != side[1]))
+        else:
+            n = Bucket(held, items, least).degrees(side)
+        return np.stack([items, n.astype(np.int64)], 1)
+
+    rows = rows.join(payload, "item").repartition("bucket").sortWithinPartitions("bucket")
+    found = rows.mapInArrow(_by_bucket(sets, "side", work, ["item", "n"]), "item long, n long")
+    return found.groupBy("item").agg(F.sum("n").alias("n"))
+
+
+def parts(rows: DataFrame, share: int) -> DataFrame:
+    """(bucket, item) of rows (bucket, item, n, pivot): buckets of more than share members dealt out in parts that all hold the pivot."""
+    number = F.ceil(F.col("n") / share).cast("int")
+    own = F.pmod(F.xxhash64("item", "bucket"), number).cast("int")
+    salt = F.when(F.col("item") == F.col("pivot"), F.sequence(F.lit(0), number - 1)).otherwise(F.array(own))
+    large = rows.filter(F.col("n") > share).withColumn("salt", F.explode(salt))
+    small = rows.filter(F.col("n") <= share).select("bucket", "item")
+    return small.union(large.select(F.xxhash64("bucket", "salt").alias("bucket"), "item"))
+
+
+def cells(rows: DataFrame, share: int) -> DataFrame:
+    """(bucket, item, label) of rows (bucket, item, label): a cell for each two parts whose members are in different groups.
+
+    Buckets of one group give none. The largest group of a bucket is dealt out
+    apart from the others, so that a few strays in a bucket of any size cost a
+    copy of each stray for each part, and no copy of the rest.
+    """
+    counts = rows.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
+    most = counts.groupBy("bucket").agg(F.max_by("label", "n").alias("main"), F.max("n").alias("n_main"), F.sum("n").alias("n"))
+    half = max(1, share // 2)
+    most = stored(
+        most.filter("n_main < n").select("bucket", "main", F.ceil(F.col("n_main") / half).cast("int").alias("p"), F.ceil((F.col("n") - F.col("n_main")) / half).cast("int").alias("q")), "mixed"
+    )
+    rows = rows.join(most, "bucket")
+    main = F.col("label") == F.col("main")
+    own = F.pmod(F.xxhash64("item", "bucket"), F.when(main, F.col("p")).otherwise(F.col("q"))).cast("int")
+    rows = rows.withColumn("own", own)
+    pair = lambda kind, a, b: F.xxhash64("bucket", F.lit(kind), a, b)
+    to_main = F.transform(F.sequence(F.lit(0), F.col("q") - 1), lambda j: pair("main", F.col("own"), j))
+    to_rest = F.transform(F.sequence(F.lit(0), F.col("p") - 1), lambda i: pair("main", i, F.col("own")))
+    rest = F.transform(F.sequence(F.lit(0), F.col("q") - 1), lambda j: pair("rest", F.least(F.col("own"), j), F.greatest(F.col("own"), j)))
+    # where all others fit in one part they meet beside the main group already
+    others = F.when(F.col("q") > 1, F.concat(to_rest, rest)).otherwise(to_rest)
+    return rows.select(F.explode(F.when(main, to_main).otherwise(others)).alias("bucket"), "item", "label")

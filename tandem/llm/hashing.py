@@ -10,6 +10,7 @@ hash follows from two prefix sums), put through a bit mixer.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -49,6 +50,15 @@ def powers(n: int, base: int = BASES[0]) -> tuple[np.ndarray, np.ndarray]:
     return have
 
 
+def release() -> None:
+    """Give freed memory back to the system: Python workers wait idle between stages and would keep it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        pass
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Spread every input bit over all output bits (a 64-bit finaliser)."""
     h = h ^ (h >> U64(33))
@@ -91,6 +101,7 @@ def text_blocks(
             to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + max_bytes, "right")) - 1)
             yield batch.slice(at, to - at), data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]
             at = to
+    release()
 
 
 def cut(data: np.ndarray, offsets: np.ndarray, between: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

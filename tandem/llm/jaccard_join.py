@@ -4,37 +4,36 @@ Texts are sets of shingles of five words (``[^\\x20\\x09-\\x0D]+``, unchanged; a
 shorter text is one shingle). Two texts are linked when the Jaccard similarity
 of their sets is ``least`` (0.8) or more.
 
-1. Texts with equal sets form a class; its smallest id represents it.
-2. In each run a set follows paths: at a node it takes each of its tokens with
-   probability 1 / (least * size), by a hash of run, path and token, so sets
-   that share a token take it together. Sets at one node are a bucket. A
-   bucket of at most ``limit`` sets is compared by brute force; a larger one is
-   split at the next token of the path, down to ``depth`` tokens. A pair at the
-   threshold stays together at a node of depth 1, 2, 3, 4 with probability
-   0.67, 0.53, 0.44, 0.39 or more, so ``runs`` = 10 runs find it with 0.9999 to
-   0.993; most buckets are small at depth 1.
-3. Buckets still larger at full depth hold sets that are alike in most tokens.
-   For proposals their members are compared with the bucket's pivots (a member
-   that is nearly equal to none of them becomes one); beyond ``share`` members the
-   bucket is dealt out in parts that all hold its first pivot. For all pairs,
-   each two parts meet in a cell.
-4. In a bucket sets are compared by sketches of 256 bytes (one-permutation
-   minima); pairs whose estimate is out of reach of the threshold are out. First
-   each set proposes its likest partner among the sets before it; proposals are
-   verified on the exact sets and joined to groups. Then all further pairs of a
-   bucket, of any size, that are in different groups are verified. So a pair is only passed
-   over when its two texts are in one group already.
+1. Texts with equal sets form a class, of which one row stands for all from here on.
+2. In each run a set follows paths: at a node it takes each of its shingles with
+   probability 1 / (least * size), by a hash of run, path and shingle, so sets
+   that share a shingle take it together. Sets at one node are a bucket. A pair at
+   the threshold shares 1 / least branches a node on average, and 1 if one set
+   contains the other, so it is still together at a node of depth 1, 2, 3 with
+   probability 0.63, 0.47, 0.37 at least; ``runs`` follows from ``recall`` (0.99) for
+   the largest depth (10 runs), and most nodes are small at depth 1 (recall 0.9999).
+3. A node of at most ``limit`` sets is compared by brute force on the exact sets (see
+   buckets.py: nothing that could be linked is passed over).
+4. A larger node is first collapsed: it is dealt out in parts, and what is linked
+   in a part is one group. A node of one group is done. One with few sets outside
+   its largest group is compared in cells, each part of the group with all these
+   sets; any other is split at the next shingle of the path, down to ``depth``
+   shingles, where the nodes left are compared in cells.
 5. Verified links are joined to groups by union-find.
 
-Defined results: class_id is the smallest id of the group; n_links counts the
-verified links of the text's class (0: no link to another text). A text
-without words (null or empty too) is alone; repeated rows of one id are one
-document; a row with a null id has null as class and no links. Columns other
-than id and text are not read.
+Defined results: class_id is the smallest id of the group; n_links is the number
+of other sets (classes of equal sets) in the group that the document's own is
+linked to, with count_links False it is left out. Counting compares all sets of a
+group and so costs the square of a group's size in bit operations, though rows
+only in proportion to its number of parts. A text without words (null or empty
+too) is alone; repeated rows of one id are one document, and if their texts
+differ they stand for the id with each of these texts; a row with a null id has
+null as class and no links. Columns other than id and text are not read.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,15 +41,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tandem.llm.buckets import candidates, in_cells, in_parts
+from tandem.llm.buckets import cells, compared, degrees, parts
 from tandem.llm.components import components
-from tandem.llm.hashing import SPACE, cut, mix, prefix_sums, span_hashes, text_blocks, word_hashes
+from tandem.llm.hashing import SPACE, cut, mix, prefix_sums, release, span_hashes, text_blocks, word_hashes
 from tandem.llm.storage import stored
-from tandem.llm.substring_dedup import bitmap
 
 U64 = np.uint64
-BINS = 256
-SALT = U64(0xA0761D6478BD642F)
+
+
+def runs_for(recall: float, depth: int) -> int:
+    """Runs that find a pair at the threshold with this probability, even if one set contains the other and only nodes of the last depth are compared."""
+    together = 1.0
+    for _ in range(depth):
+        together = 1 - math.exp(-together)
+    return math.ceil(math.log(1 - recall) / math.log(1 - together))
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -65,21 +69,6 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.
     return (np.concatenate(out) if out else np.zeros(0, U64)), np.concatenate([[0], np.cumsum(sizes)])
 
 
-def sketches(tokens: np.ndarray, begin: np.ndarray) -> np.ndarray:
-    """256 bytes for each set: of the smallest hash in each bin a byte from 1 to 255; 0 for an empty bin."""
-    n = len(begin) - 1
-    doc = np.repeat(np.arange(n), np.diff(begin))
-    h = mix(tokens ^ SALT)
-    low = np.full(n * BINS, 1 << 62, U64)
-    np.minimum.at(low, doc * BINS + (h >> U64(56)).astype(np.int64), h & U64(0xFFFFFFFFFFFFFF))
-    return np.where(low == 1 << 62, 0, low % U64(255) + U64(1)).astype(np.uint8).reshape(n, BINS)
-
-
-def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Estimated Jaccard similarity of sketches."""
-    return ((a == b) & (a > 0)).sum(-1) / np.maximum(((a > 0) | (b > 0)).sum(-1), 1)
-
-
 def paths(tokens: np.ndarray, begin: np.ndarray, run: int, depth: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The leaves of each set's paths in a run: set, keys of the nodes (n x depth, 0 beyond the end), and first-of-its-node flags."""
     size = np.diff(begin)
@@ -91,7 +80,7 @@ def paths(tokens: np.ndarray, begin: np.ndarray, run: int, depth: int, least: fl
         n = size[doc]
         owner = np.repeat(np.arange(len(doc)), n)
         at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - begin[doc], n)
-        token = tokens[at]
+        token = tokens[at].astype(U64)
         taken = np.flatnonzero(mix(token ^ key[owner]) < limit[doc[owner]])
         owner = owner[taken]
         ended = np.ones(len(doc), bool)
@@ -111,147 +100,120 @@ def paths(tokens: np.ndarray, begin: np.ndarray, run: int, depth: int, least: fl
     return doc, keys, first & (keys != 0)
 
 
-def _profiles(words: int, runs: int, depth: int, least: float):
-    node = pa.list_(pa.struct([*((f"k{i}", pa.int64()) for i in range(depth)), *((f"f{i}", pa.int8()) for i in range(depth))]))
+def _profiles(words: int, runs: int, least: float):
+    """Of each text: its set (lower halves of the hashes), two hashes of it, and the nodes of depth 1 of all runs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, offsets in text_blocks(batches, "text"):
+        for rows, data, offsets in text_blocks(batches, "text", 1 << 20):
             tokens, begin = shingle_sets(data, offsets, words)
-            found = [paths(tokens, begin, r, depth, least) for r in range(runs)]
-            doc, keys, first = (np.concatenate(x) for x in zip(*found, strict=True))
-            order = np.argsort(doc, kind="stable")
-            doc, keys, first = doc[order], keys[order].view(np.int64), first[order].astype(np.int8)
-            flat = pa.StructArray.from_arrays([*(pa.array(np.ascontiguousarray(keys[:, i])) for i in range(depth)), *(pa.array(np.ascontiguousarray(first[:, i])) for i in range(depth))], fields=list(node.value_type))
-            ends = np.searchsorted(doc, np.arange(rows.num_rows + 1)).astype(np.int32)
             sums = [np.concatenate([[U64(0)], np.cumsum(mix(tokens ^ U64(s)))]) for s in (1, 2)]
             h1, h2 = ((s[begin[1:]] - s[begin[:-1]]).view(np.int64) for s in sums)
+            short = (tokens >> U64(32)).astype(np.uint32)
+            fresh = np.ones(len(short), bool)
+            fresh[1:] = short[1:] != short[:-1]
+            fresh[begin[begin < len(short)]] = True
+            short, begin = short[fresh], np.concatenate([[0], np.cumsum(fresh)])[begin]
+            found = [paths(short, begin, r, 1, least)[:2] for r in range(runs)]
+            doc, keys = (np.concatenate(x) for x in zip(*found, strict=True))
+            order = np.argsort(doc, kind="stable")
+            ends = np.searchsorted(doc[order], np.arange(rows.num_rows + 1)).astype(np.int32)
+            raw = short.tobytes()
             yield pa.RecordBatch.from_arrays(
                 [
-                    rows.column("doc_id"), pa.array(np.diff(begin).astype(np.int32)), pa.array(h1), pa.array(h2),
-                    pa.array([x.tobytes() for x in sketches(tokens, begin)], pa.binary()),
-                    pa.ListArray.from_arrays(pa.array(ends), flat),
+                    rows.column("doc_id"), pa.array(np.diff(begin)), pa.array(h1), pa.array(h2),
+                    pa.array([raw[4 * a : 4 * b] for a, b in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)], pa.binary()),
+                    pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[order, 0].view(np.int64))),
                 ],
-                names=["doc_id", "size", "h1", "h2", "sketch", "leaves"],
+                names=["doc_id", "size", "h1", "h2", "tokens", "nodes"],
             )
 
-    keys = ",".join([*(f"k{i}:long" for i in range(depth)), *(f"f{i}:tinyint" for i in range(depth))])
-    return run, f"doc_id long, size int, h1 long, h2 long, sketch binary, leaves array<struct<{keys}>>"
-
+    return run
 
-def _split(flags, bits: int, depth: int):
-    """The leaves below the nodes that a bitmap holds, with the keys from the second on."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = flags.value
-        for batch in batches:
-            leaves = batch.column("leaves")
-            flat = leaves.flatten()
-            row = np.repeat(np.arange(batch.num_rows), np.diff(leaves.offsets.to_numpy()))
-            index = (flat.field("k0").to_numpy().view(U64) >> U64(64 - bits)).astype(np.int64)
-            at = pa.array(np.flatnonzero((seen[index >> 3] >> (7 - (index & 7)).astype(np.uint8)) & 1 == 1))
-            names = [f"{c}{i}" for c in "kf" for i in range(depth)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(row).take(at)), *(flat.field(n).take(at) for n in names)], names=["doc_id", *names])
+def _sets(batch: pa.RecordBatch) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_buffer(), np.uint32) for x in batch.column("tokens")]
 
-    return run, "doc_id long, " + ", ".join([*(f"k{i} long" for i in range(depth)), *(f"f{i} tinyint" for i in range(depth))])
 
+def _leaves(runs: int, depth: int, least: float):
+    """The paths of sets (item, tokens) below depth 1, a row for each leaf."""
 
-def _buckets(profiles: DataFrame, reps: DataFrame, depth: int, limit: int, bits: int = 20) -> DataFrame:
-    """(bucket, item, n, pivot, big): the nodes at which sets are compared."""
-    first = profiles.select("doc_id", F.explode(F.filter("leaves", lambda x: x["f0"] == 1)).alias("leaf")).select("doc_id", F.col("leaf.k0").alias("k0"))
-    nodes = stored(first.join(reps, "doc_id", "left_semi"), "nodes")
-    done = leaves = None
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for a in range(0, whole.num_rows, 500):
+                batch = whole.slice(a, 500)
+                held = _sets(batch)
+                begin = np.concatenate([[0], np.cumsum([len(x) for x in held])])
+                tokens = np.concatenate(held)
+                for r in range(runs):
+                    doc, keys, first = paths(tokens, begin, r, depth, least)
+                    columns = [pa.array(np.ascontiguousarray(keys[:, i]).view(np.int64)) for i in range(depth)]
+                    columns += [pa.array(np.ascontiguousarray(first[:, i])) for i in range(depth)]
+                    yield pa.RecordBatch.from_arrays([batch.column("item").take(pa.array(doc)), *columns], names=["item", *(f"{c}{i}" for c in "kf" for i in range(depth))])
+        release()
+
+    return run, "item long, " + ", ".join([*(f"k{i} long" for i in range(depth)), *(f"f{i} boolean" for i in range(depth))])
+
+
+def _nodes_of_groups(large: DataFrame, payload: DataFrame, runs: int, depth: int, least: float, limit: int) -> DataFrame:
+    """(bucket, item, label): the nodes at which the sets of large nodes (bucket, item, label) of depth 1 are compared further."""
+    done, rows, leaves = None, large, None
     for level in range(depth):
-        key, flag, last = f"k{level}", f"f{level}", level == depth - 1
-        rows = nodes if not level else leaves.filter(f"{flag} = 1").select("doc_id", key)
-        counts = stored(rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("pivot")).filter("n > 1"), "counts")
-        here = rows.join(counts if last else counts.filter(f"n <= {limit}"), key)
-        here = here.select(F.xxhash64(F.lit(level), key).alias("bucket"), F.col("doc_id").alias("item"), "n", "pivot", (F.col("n") > limit).alias("big"))
+        last = level == depth - 1
+        if level:
+            rows = leaves.filter(f"f{level}").select(F.col(f"k{level}").alias("bucket"), "item", "label")
+        counts = rows.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket").agg(F.max("n").alias("main"), F.sum("n").alias("n"))
+        apart = F.col("n") - F.col("main")
+        counts = stored(counts.filter(apart > 0).select("bucket", ((F.col("n") <= limit) | (apart <= limit // 2) | F.lit(last)).alias("ready")), "mixed")
+        here = rows.join(counts.filter("ready"), "bucket", "left_semi")
+        here = here.select(F.xxhash64(F.lit(level), "bucket").alias("bucket"), "item", "label")
         done = here if done is None else done.union(here)
-        if last:
-            return stored(done, "buckets")
-        large = counts.filter(f"n > {limit}").select(key)
+        down = counts.filter("NOT ready").select("bucket")
+        if last or down.isEmpty():
+            return done
         if not level:
-            flags = profiles.sparkSession.sparkContext.broadcast(bitmap(large.select(F.col(key).alias("hash")), bits))
-            run, schema = _split(flags, bits, depth)
-            leaves = profiles.select("doc_id", "leaves").mapInArrow(run, schema).join(reps, "doc_id", "left_semi")
-        leaves = stored(leaves.join(large, key, "left_semi").drop(key, flag), "leaves")
-
-
-def _sets(words: int, bits: int, flags):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = flags.value
-        for batch in batches:
-            index = batch.column("index").to_numpy()
-            rows = batch.filter(pa.array((seen[index >> 3] >> (7 - (index & 7)).astype(np.uint8)) & 1 == 1))
-            for part, data, offsets in text_blocks([rows], "text"):
-                tokens, begin = shingle_sets(data, offsets, words)
-                short = [np.sort((tokens[a:b] >> U64(32)).astype(np.uint32)).tobytes() for a, b in zip(begin, begin[1:], strict=False)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(short, pa.binary())], names=["doc_id", "tokens"])
-
-    return run
-
-
-def _verify(least: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good = []
-            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-                x, y = (np.frombuffer(v.as_buffer(), np.uint32) for v in (x, y))
-                both = np.concatenate([x, y])
-                both.sort()
-                shared = int((both[1:] == both[:-1]).sum())
-                good.append(shared >= least * (len(both) - shared) - 1e-9)
-            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
-
-    return run
-
-
-def _reach(least: float):
-    return lambda a, b: np.where(np.minimum(a, b) >= least * np.maximum(a, b), least - 0.07, 2.0)
-
-
-def _verified(texts: DataFrame, rows: DataFrame, least: float, words: int, labelled: bool, bits: int) -> DataFrame:
-    """The links (a, b) among the pairs that the rows of some buckets give."""
-    rows = rows.repartition("bucket").sortWithinPartitions("bucket", F.xxhash64("item"))
-    pairs = stored(rows.mapInArrow(candidates(likeness, least, _reach(least), labelled), "a long, b long").filter("a <> b").distinct(), "pairs")
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b"))
-    flags = texts.sparkSession.sparkContext.broadcast(bitmap(ids.select(F.xxhash64("doc_id").alias("hash")), bits))
-    indexed = texts.filter("doc_id IS NOT NULL").withColumn("index", F.shiftrightunsigned(F.xxhash64("doc_id"), 64 - bits))
-    sets = stored(indexed.mapInArrow(_sets(words, bits, flags), "doc_id long, tokens binary"), "sets").dropDuplicates(["doc_id"])
-    left = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("tokens").alias("x")), "a")
-    both = left.join(sets.select(F.col("doc_id").alias("b"), F.col("tokens").alias("y")), "b").select("a", "b", "x", "y")
-    return stored(both.mapInArrow(_verify(least), "a long, b long"), "verified")
+            down = rows.join(down, "bucket", "left_semi")
+            run, schema = _leaves(runs, depth, least)
+            leaves = payload.join(down.select("item").distinct(), "item", "left_semi").mapInArrow(run, schema)
+            leaves = stored(leaves.join(down.withColumnRenamed("bucket", "k0"), ["item", "k0"]), "leaves")
+        else:
+            leaves = stored(leaves.join(down.withColumnRenamed("bucket", f"k{level}"), f"k{level}", "left_semi"), "leaves")
+    raise ValueError("depth must be 1 or more")
 
 
 def jaccard_join(
-    docs: DataFrame, least: float = 0.8, words: int = 5, runs: int = 10, depth: int = 4, limit: int = 64, share: int = 20_000, filter_bits: int = 24
+    docs: DataFrame, least: float = 0.8, words: int = 5, recall: float = 0.99, depth: int = 3, limit: int = 4096, runs: int | None = None, count_links: bool = True
 ) -> DataFrame:
-    """One row per row of docs: doc_id, class_id, n_links."""
+    """One row per row of docs: doc_id, class_id, n_links (unless count_links is False). limit: the most sets that are compared at once."""
+    runs = runs or runs_for(recall, depth)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    run, schema = _profiles(words, runs, depth, least)
-    profiles = stored(texts.mapInArrow(run, schema), "profiles")
+    schema = "doc_id long, size long, h1 long, h2 long, tokens binary, nodes array<long>"
+    profiles = stored(texts.mapInArrow(_profiles(words, runs, least), schema).withColumn("row", F.monotonically_increasing_id()), "profiles")
     known = profiles.filter("doc_id IS NOT NULL AND size > 0")
-    classes = stored(known.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep")), "classes")
-    members = profiles.select("doc_id", "size", "h1", "h2").join(classes, ["h1", "h2"], "left")
-    members = members.select("doc_id", F.when(F.col("doc_id").isNotNull() & (F.col("size") > 0), F.col("rep")).otherwise(F.col("doc_id")).alias("rep"))
-    buckets = _buckets(known, classes.select(F.col("rep").alias("doc_id")), depth, limit)
-    sketch = known.select(F.col("doc_id").alias("item"), "size", "sketch")
-    rows = in_parts(buckets, share).join(sketch, "item").select("bucket", "item", "size", F.col("item").alias("label"), "big", "sketch")
-    links = _verified(texts, rows, least, words, False, filter_bits)
-    edges = links.select(F.col("a").alias("u"), F.col("b").alias("v"))
-    labels = stored(components(edges), "labels")
-    labelled = buckets.join(labels.withColumnRenamed("node", "item"), "item", "left").select("bucket", "item", "n", F.coalesce("component", "item").alias("label"))
-    mixed = stored(labelled.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("bucket"), "mixed")
-    rows = stored(labelled.join(mixed, "bucket", "left_semi"), "mixed")
-    # a document is in a few buckets of each run
-    held = rows.groupBy("item").agg(F.collect_list("bucket").alias("held"))
-    rows = in_cells(rows, share).join(held.join(sketch, "item"), "item").select("bucket", "item", "size", "label", F.lit(False).alias("big"), "sketch", "base", "side", "held")  # all pairs of different groups are compared
-    more = _verified(texts, rows, least, words, True, filter_bits)
-    links = links.union(more)
-    known_links = labels.filter("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v"))
-    groups = components(known_links.union(more.select(F.col("a").alias("u"), F.col("b").alias("v"))))
-    ends = links.select(F.col("a").alias("node")).union(links.select("b"))
-    counts = ends.groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
-    labels = stored(groups.join(counts, "node", "left"), "labels")
-    out = members.join(labels, members["rep"] == labels["node"], "left")
-    return out.select("doc_id", F.coalesce("component", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    classes = stored(known.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.min("row").alias("item")), "classes")
+    payload = profiles.select(F.col("row").alias("item"), "tokens")
+    nodes = known.select(F.col("row").alias("item"), "nodes").join(classes.select("item"), "item", "left_semi").select(F.explode("nodes").alias("bucket"), "item")
+    nodes = stored(nodes, "nodes")
+    counts = nodes.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("item").alias("pivot")).filter("n > 1")
+    nodes = stored(nodes.join(stored(counts, "counts"), "bucket"), "nodes")
+    rows = parts(nodes, limit).join(payload, "item").withColumn("label", F.col("item"))
+    links = stored(compared(rows, _sets, least), "links")
+    groups = stored(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "groups")
+    large = nodes.filter(F.col("n") > limit)
+    if not large.isEmpty():
+        large = large.join(groups.withColumnRenamed("node", "item"), "item", "left").select("bucket", "item", F.coalesce("component", "item").alias("label"))
+        apart = stored(_nodes_of_groups(stored(large, "large"), payload, runs, depth, least, limit), "apart")
+        more = compared(cells(apart, limit).join(payload, "item"), _sets, least)
+        joined = groups.filter("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v"))
+        groups = stored(components(joined.union(more.select(F.col("a").alias("u"), F.col("b").alias("v")))), "groups")
+    groups = groups.select(F.col("node").alias("item"), "component")
+    ids = groups.join(classes.select("item", "rep"), "item").groupBy("component").agg(F.min("rep").alias("first"))
+    labels = groups.join(ids, "component").select("item", "first", "component")
+    if count_links:
+        labels = labels.join(degrees(groups, payload, _sets, least, limit), "item", "left").withColumnRenamed("n", "n_links")
+    labels = classes.join(stored(labels.drop("component"), "labels"), "item", "left")
+    members = profiles.select("doc_id", "size", "h1", "h2").join(labels, ["h1", "h2"], "left")
+    alone = F.col("doc_id").isNull() | (F.col("size") == 0)
+    out = [F.when(alone, F.col("doc_id")).otherwise(F.coalesce("first", "rep")).alias("class_id")]
+    if count_links:
+        out.append(F.when(alone, 0).otherwise(F.coalesce("n_links", F.lit(0))).cast("long").alias("n_links"))
+    return members.select("doc_id", *out)

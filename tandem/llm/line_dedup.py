@@ -6,28 +6,25 @@ sets of shingles is ``least`` or more; a shingle is the eight UTF-8 bytes from a
 character on (a shorter line is one shingle). Of each connected component of lines, equal lines included, the first
 occurrence (smallest doc_id, then line number) stays.
 
-1. Each line gets a 64-bit hash (equal lines share it from here on), one
-   permutation's minima in 256 bins, with empty bins filled from the next one,
-   a key for each of ``bands`` bands of ``rows`` bins, and a sketch of four bits of each
-   minimum. Lines that fill half of the bins or less have bands of real
-   permutations, so a pair at similarity 0.8 shares one of 12 bands of 5 with
-   probability 0.99 at every length.
+1. Each line gets a 64-bit hash (equal lines share it from here on) and a key for
+   each of ``bands`` bands of ``rows`` minima: of one permutation in 256 bins, with
+   empty bins filled from the next one, or, for lines that fill half of the bins
+   or less, of real permutations. So a pair at similarity 0.8 shares one of 12
+   bands of 5 with probability 0.99 at every length.
 2. Band keys that two different lines have are found shard by shard and kept as
    a bitmap of fixed size; only lines that hit it are shuffled to their buckets.
-3. In a bucket pairs are compared by sketch; the fewer bins a line fills, the
-   further below ``least`` a pair is still verified. First each line proposes its
-   likest partner among the lines before it; proposals are verified on the exact
-   shingle sets and joined to groups. Then all further pairs of a bucket that
-   are in different groups are verified, in buckets of any size. For proposals,
-   lines of buckets of more than ``limit`` are compared with the pivots alone, in
-   parts of ``share`` lines that all hold the first pivot; for all pairs, each two
-   parts meet in a cell.
-4. Union-find joins verified pairs to components.
+3. The lines of a bucket go there once, with their texts, and are compared on
+   their exact shingle sets (see buckets.py: nothing that could be linked is
+   passed over, and no pair is emitted that isn't linked). Buckets of more than
+   ``share`` lines are dealt out in parts first, whose linked lines become groups;
+   then lines of different groups meet in cells.
+4. Union-find joins the links to components.
 
 Defined results: null and empty texts have one empty line, which stays;
-repeated rows of one id are one document (the lines of each are the same lines);
-a row with a null id keeps all its lines. Columns other than id and text are
-not read.
+repeated rows of one id and text are one document (the lines of each are the same
+lines); rows of one id with different texts are documents of their own, in the
+order of a hash of the text; a row with a null id keeps all its lines. Columns
+other than id and text are not read.
 """
 
 from __future__ import annotations
@@ -39,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tandem.llm.buckets import candidates, in_cells, in_parts
+from tandem.llm.buckets import cells, compared, parts
 from tandem.llm.components import components
 from tandem.llm.hashing import LINE_END, SPACE, cut, mix, owners, prefix_sums, span_hashes, text_blocks
 from tandem.llm.storage import stored
@@ -102,8 +99,8 @@ def shingles(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np
     return value, np.searchsorted(span, np.arange(len(starts) + 1))
 
 
-def signatures(tokens: np.ndarray, begin: np.ndarray, bands: int, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Band keys (lines x bands), sketches (lines x BINS / 2 bytes) and filled bins from the minima in BINS bins."""
+def signatures(tokens: np.ndarray, begin: np.ndarray, bands: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Band keys (lines x bands) and filled bins from the minima in BINS bins."""
     n = len(begin) - 1
     line = np.repeat(np.arange(n) * BINS, np.diff(begin))
     low = np.full(n * BINS, 0xFFFFFFFF, np.uint32)
@@ -117,14 +114,13 @@ def signatures(tokens: np.ndarray, begin: np.ndarray, bands: int, rows: int) ->
     at = np.minimum.accumulate(at[:, ::-1], axis=1)[:, ::-1][:, :BINS]
     away = (at - np.arange(BINS, dtype=np.int16)).astype(np.uint32)
     value = np.take_along_axis(low, (at % BINS).astype(np.int64), 1) + away * np.uint32(0x9E3779B1)
-    four = (value * np.uint32(0x85EBCA6B) >> np.uint32(28)).astype(np.uint8)
     # the bins of a band are spread over the signature
     step = BINS // (bands * rows)
-    parts = value[:, : step * bands * rows : step].reshape(n, rows, bands).astype(U64)
+    taken = value[:, : step * bands * rows : step].reshape(n, rows, bands).astype(U64)
     keys = np.repeat(np.arange(bands, dtype=U64)[None, :], n, 0)
     for r in range(rows):
-        keys = mix(keys * U64(0x9E3779B97F4A7C15) + parts[:, r, :] + U64(1))
-    return keys, four[:, ::2] << 4 | four[:, 1::2], BINS - empty.sum(1)
+        keys = mix(keys * U64(0x9E3779B97F4A7C15) + taken[:, r, :] + U64(1))
+    return keys, BINS - empty.sum(1)
 
 
 def short_keys(tokens: np.ndarray, begin: np.ndarray, bands: int, rows: int) -> np.ndarray:
@@ -157,7 +153,7 @@ def band_keys(tokens: np.ndarray, begin: np.ndarray, filled: np.ndarray, keys: n
     return both[used], np.concatenate([[0], np.cumsum(used.sum(1))])
 
 
-LINES = "doc_id long, line int, hash long, sketch binary, filled int, bands array<long>"
+LINES = "doc_id long, text_hash long, line int, hash long, bands array<long>"
 
 
 def _read(bands: int, rows: int):
@@ -169,9 +165,7 @@ def _read(bands: int, rows: int):
                 continue
             which = np.unique(lines.hash, return_index=True)[1]
             tokens, begin = lines.shingles(which)
-            keys, sketch, filled = signatures(tokens, begin, bands, rows)
-            bins = np.zeros(n, np.int32)
-            bins[which] = filled
+            keys, filled = signatures(tokens, begin, bands, rows)
             keys, edge = band_keys(tokens, begin, filled, keys, rows)
             count = np.zeros(n, np.int64)
             count[which] = np.diff(edge)
@@ -180,15 +174,13 @@ def _read(bands: int, rows: int):
             place = np.zeros(n, np.int64)
             place[which] = edge[:-1]
             at = np.arange(ends[-1]) + np.repeat(place - ends[:-1], count)
-            held = np.zeros(n, object)
-            held[:] = None
-            held[which] = [x.tobytes() for x in sketch]
+            doc = pa.array(lines.doc)
             yield pa.RecordBatch.from_arrays(
                 [
-                    block.column("doc_id").take(pa.array(lines.doc)), pa.array(lines.number.astype(np.int32)), pa.array(lines.hash.view(np.int64)),
-                    pa.array(held, pa.binary()), pa.array(bins), pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[at].view(np.int64))),
+                    block.column("doc_id").take(doc), block.column("text_hash").take(doc), pa.array(lines.number.astype(np.int32)),
+                    pa.array(lines.hash.view(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[at].view(np.int64))),
                 ],
-                names=["doc_id", "line", "hash", "sketch", "filled", "bands"],
+                names=["doc_id", "text_hash", "line", "hash", "bands"],
             )
 
     return run
@@ -200,13 +192,11 @@ def _wanted(bits: int, flags):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = flags.value
         for batch in batches:
-            n = batch.num_rows
             bands = batch.column("bands")
             keys = bands.flatten().to_numpy()
-            row = np.repeat(np.arange(n), np.diff(bands.offsets.to_numpy()))
+            row = np.repeat(np.arange(batch.num_rows), np.diff(bands.offsets.to_numpy()))
             good = _hit(seen, keys, bits)
-            at = pa.array(row[good])
-            yield pa.RecordBatch.from_arrays([pa.array(keys[good]), *(batch.column(c).take(at) for c in ("hash", "filled", "sketch"))], names=["bucket", "hash", "filled", "sketch"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys[good]), batch.column("hash").take(pa.array(row[good]))], names=["bucket", "item"])
 
     return run
 
@@ -251,26 +241,6 @@ def _shared_keys(table: pa.Table) -> pa.Table:
     return pa.table({"hash": keys[begin][good].view(np.int64)})
 
 
-def _close(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Estimated Jaccard similarity from sketches of four bits a bin, one in sixteen of which agree by chance."""
-    off = a ^ b
-    alike = ((off & 0xF0) == 0).sum(-1, dtype=np.int32) + ((off & 0x0F) == 0).sum(-1, dtype=np.int32)
-    return (alike / BINS - 1 / 16) * (16 / 15)
-
-
-def _reach(least: float):
-    """The estimate that a pair must have, from the filled bins of its sketches: 3.5 standard deviations under the threshold.
-
-    Copies weigh the f filled bins unequally, which leaves about f / (2 - f / BINS) samples.
-    """
-
-    def run(a, b):
-        filled = np.minimum(a, b)
-        return least - np.maximum(0.08, 3.5 * np.sqrt(least * (1 - least) * (2 - filled / BINS) / np.maximum(filled, 1)))
-
-    return run
-
-
 def _texts(bits: int, flags):
     """The texts of the lines that pairs ask for."""
 
@@ -287,75 +257,44 @@ def _texts(bits: int, flags):
     return run
 
 
-def _verify(least: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 4000):
-                batch = whole.slice(at, 4000)
-                n = batch.num_rows
-                # each distinct line's shingles once, sorted and distinct
-                lines: dict[bytes, int] = {}
-                x, y = (np.array([lines.setdefault(t, len(lines)) for t in batch.column(c).to_pylist()]) for c in "xy")
-                ends = np.cumsum([len(t) for t in lines])
-                tokens, begin = shingles(np.frombuffer(b"".join(lines), np.uint8), np.concatenate([[0], ends[:-1]]), ends)
-                own = np.unique((np.repeat(np.arange(len(lines), dtype=U64), np.diff(begin)) << U64(32)) | (tokens >> U64(32)))
-                first = np.searchsorted(own, np.arange(len(lines) + 1, dtype=U64) << U64(32))
-                short = own & U64(0xFFFFFFFF)
-
-                def keys(which: np.ndarray, first=first, short=short) -> tuple[np.ndarray, np.ndarray]:
-                    """Pair and shingle of one side of all pairs, sorted."""
-                    size = first[which + 1] - first[which]
-                    place = np.arange(size.sum()) + np.repeat(first[which] - (np.cumsum(size) - size), size)
-                    return (np.repeat(np.arange(len(which), dtype=U64), size) << U64(32)) | short[place], size
-
-                (left, n_left), (right, n_right) = keys(x), keys(y)
-                found = np.minimum(np.searchsorted(right, left), len(right) - 1)
-                shared = np.bincount((left[right[found] == left] >> U64(32)).astype(np.int64), minlength=n)
-                yield batch.select(["a", "b"]).filter(pa.array(shared >= least * (n_left + n_right - shared) - 1e-9))
-
-    return run
-
-
-def _verified(lines: DataFrame, rows: DataFrame, least: float, labelled: bool) -> DataFrame:
-    """The links (a, b) among the pairs that the rows of some buckets give."""
-    rows = rows.repartition("bucket").sortWithinPartitions("bucket", F.xxhash64("item"))
-    pairs = rows.mapInArrow(candidates(_close, least, _reach(least), labelled), "a long, b long").filter("a <> b").distinct()
-    left = pairs.join(lines.select(F.col("hash").alias("a"), F.col("text").alias("x")), "a")
-    both = left.join(lines.select(F.col("hash").alias("b"), F.col("text").alias("y")), "b").select("a", "b", "x", "y")
-    return stored(both.mapInArrow(_verify(least), "a long, b long"), "verified")
+def _sets(batch: pa.RecordBatch) -> list[np.ndarray]:
+    """The distinct shingles (lower halves of their hashes) of the lines of a batch."""
+    out = []
+    for _, data, offsets in text_blocks([batch], "text", 1 << 20):
+        tokens, begin = shingles(data, offsets[:-1], offsets[1:])
+        own = np.unique((np.repeat(np.arange(len(begin) - 1, dtype=U64), np.diff(begin)) << U64(32)) | (tokens >> U64(32)))
+        first = np.searchsorted(own, np.arange(len(begin), dtype=U64) << U64(32))
+        out += np.split(own.astype(np.uint32), first[1:-1])
+    return out
 
 
-def line_components(
-    docs: DataFrame, least: float = 0.8, bands: int = 12, rows: int = 5, limit: int = 64, share: int = 20_000, bits: int = 26
-) -> tuple[DataFrame, DataFrame]:
-    """(lines, labels): every visible line (doc_id, line, hash), and (node, component) of the lines that are linked to another."""
+def line_components(docs: DataFrame, least: float = 0.8, bands: int = 12, rows: int = 5, share: int = 4096, bits: int = 26) -> tuple[DataFrame, DataFrame]:
+    """(lines, labels): every visible line (doc_id, text_hash, line, hash), and (node, component) of the lines that are linked to another."""
     if bands * rows > BINS:
         raise ValueError(f"bands * rows must be {BINS} at most")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id IS NOT NULL")
+    text = F.col("text").cast("string")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text")).filter("doc_id IS NOT NULL")
     send = docs.sparkSession.sparkContext.broadcast
     lines = stored(texts.mapInArrow(_read(bands, rows), LINES), "lines")
-    signed = lines.filter("sketch IS NOT NULL")
+    signed = lines.filter(F.size("bands") > 0).select("bands", "hash")
     shards = 1 << max(6, (lines.count() * 2 * bands // 1_000_000).bit_length())
-    keys = signed.select("bands", "hash").mapInArrow(_keys(shards), "shard long, keys binary, lines binary")
+    keys = signed.mapInArrow(_keys(shards), "shard long, keys binary, lines binary")
     flags = send(bitmap(keys.groupBy("shard").applyInArrow(_shared_keys, "hash long"), bits))
-    held = signed.select("bands", "hash", "filled", "sketch").mapInArrow(_wanted(bits, flags), "bucket long, item long, size int, sketch binary")
-    held = stored(held.dropDuplicates(["bucket", "item"]), "held")
+    held = stored(signed.mapInArrow(_wanted(bits, flags), "bucket long, item long").distinct(), "held")
     counts = stored(held.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("item").alias("pivot")).filter("n > 1"), "counts")
-    found = held.join(counts, "bucket")
-    found = stored(found.select("bucket", "item", "n", "pivot", "size", (F.col("n") > limit).alias("big"), "sketch"), "found")
+    found = stored(held.join(counts, "bucket"), "found")
     asked = send(bitmap(found.select(F.col("item").alias("hash")).mapInArrow(_mixed, "hash long"), bits))
-    known = stored(texts.select("text").mapInArrow(_texts(bits, asked), "hash long, text binary").dropDuplicates(["hash"]), "texts")
-    columns = ("bucket", "item", "size", "label", "big", "sketch")
-    links = _verified(known, in_parts(found, share).withColumn("label", F.col("item")).select(*columns), least, False)
+    known = texts.select("text").mapInArrow(_texts(bits, asked), "hash long, text binary").dropDuplicates(["hash"])
+    known = stored(known.withColumnRenamed("hash", "item"), "texts")
+    links = stored(compared(parts(found, share).join(known, "item").withColumn("label", F.col("item")), _sets, least), "links")
     labels = stored(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "labels")
-    found = found.join(labels.withColumnRenamed("node", "item"), "item", "left").withColumn("label", F.coalesce("component", "item")).select(*columns, "n")
-    mixed = stored(found.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("bucket"), "mixed")
-    found = stored(found.join(mixed, "bucket", "left_semi"), "mixed")
-    found = found.withColumn("big", F.lit(False))  # all pairs of different groups are compared
-    held = found.groupBy("item").agg(F.collect_list("bucket").alias("held"))  # one for each band at most
-    more = _verified(known, in_cells(found.join(held, "item"), share).select(*columns, "base", "side", "held"), least, True)
-    linked = labels.filter("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v"))
-    return lines.select("doc_id", "line", "hash"), components(linked.union(more.select(F.col("a").alias("u"), F.col("b").alias("v"))))
+    large = found.filter(F.col("n") > share)
+    if not large.isEmpty():
+        large = large.join(labels.withColumnRenamed("node", "item"), "item", "left").select("bucket", "item", F.coalesce("component", "item").alias("label"))
+        more = compared(cells(stored(large, "large"), share).join(known, "item"), _sets, least)
+        joined = labels.filter("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v"))
+        labels = stored(components(joined.union(more.select(F.col("a").alias("u"), F.col("b").alias("v")))), "labels")
+    return lines.drop("bands"), labels
 
 
 def _mixed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -366,21 +305,21 @@ def _mixed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def line_dedup(docs: DataFrame, **options) -> DataFrame:
     """One row per row of docs: doc_id, n_lines, n_removed, removed (line numbers from 0, ascending); options as line_components()."""
     lines, labels = line_components(docs, **options)
-    labels = stored(labels, "labels")
     grouped = lines.join(labels.withColumnRenamed("node", "hash"), "hash", "left")
-    grouped = stored(grouped.select("doc_id", "line", F.coalesce("component", "hash").alias("group")), "grouped")
-    at = F.struct("doc_id", "line")
+    grouped = stored(grouped.select("doc_id", "text_hash", "line", F.coalesce("component", "hash").alias("group")), "grouped")
+    at = F.struct("doc_id", "text_hash", "line")
     first = stored(grouped.groupBy("group").agg(F.min(at).alias("first"), F.max(at).alias("last")).filter("first < last").drop("last"), "first")
-    gone = grouped.join(first, "group").filter(at != F.col("first")).groupBy("doc_id").agg(F.array_sort(F.collect_set("line")).alias("removed"))
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    n_lines = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), n_lines.cast("long").alias("n_lines"))
+    gone = grouped.join(first, "group").filter(at != F.col("first")).groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set("line")).alias("removed"))
+    text = F.col("text").cast("string")
+    whole = F.coalesce(text, F.lit(""))
+    n_lines = F.length(whole) - F.length(F.replace(whole, F.lit("\n"), F.lit(""))) + 1
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), n_lines.cast("long").alias("n_lines"))
     removed = F.coalesce("removed", F.array().cast("array<int>"))
-    return rows.join(gone, "doc_id", "left").select("doc_id", "n_lines", F.size(removed).cast("long").alias("n_removed"), removed.alias("removed"))
+    return rows.join(gone, ["doc_id", "text_hash"], "left").select("doc_id", "n_lines", F.size(removed).cast("long").alias("n_removed"), removed.alias("removed"))
 
 
 def without_lines(docs: DataFrame, removed: DataFrame) -> DataFrame:
-    """docs with the lines of line_dedup()'s result cut from their texts."""
+    """docs, each id with one text, with the lines of line_dedup()'s result cut from their texts."""
     rows = docs.join(removed.select("doc_id", "removed").dropDuplicates(["doc_id"]), "doc_id", "left")
     kept = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains(F.col("removed"), i))
     return rows.withColumn("text", F.when(F.size("removed") > 0, F.array_join(kept, "\n")).otherwise(F.col("text"))).select(docs.columns)
