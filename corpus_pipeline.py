@@ -39,7 +39,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates (five-word shingles, Jaccard 0.8 or more), the document with the smallest id."""
     ship(spark)
-    gone = stored(jaccard_join(docs).filter("class_id < doc_id").select("doc_id").distinct(), "gone")
+    gone = stored(jaccard_join(docs, count_links=False).filter("class_id < doc_id").select("doc_id").distinct(), "gone")
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
 
