@@ -7,6 +7,9 @@ fewer links than members, and no pair leaves a bucket unverified.
 
 In a bucket:
 
+Before that, ``hopeful()`` leaves out the members of a bucket that have no partner there by a
+small signature (one-permutation minima of ``BINS`` bins, a bit each), so that the sets of few are shuffled.
+
 1. Members of which less than ``least`` of the hashes are held by any other member
    have no link there and are out, again and again until none is.
 2. A member without a link becomes a pivot and is compared with all members, until
@@ -31,10 +34,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tandem.llm.hashing import release
+from tandem.llm.hashing import mix, release
 from tandem.llm.storage import stored
 
 EPSILON = 1e-9
+#: Bins of a signature, and how many standard deviations a linked pair's signatures may lie from their mean.
+BINS, DEVIATIONS = 128, 5
 #: Bits of the table of a bucket's members and hashes; a larger one is searched by its rarest hashes instead.
 TABLE_BITS = 1 << 28
 
@@ -164,8 +169,42 @@ def _alike(held: list[np.ndarray], least: float) -> bool:
     return shared > 0 and shared >= least * (len(both) - shared) - EPSILON
 
 
+def signatures(sets: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """Five numbers for each set: which bins hold a hash, a bit of the smallest in each, and the set's size."""
+    n = len(begin) - 1
+    owner = np.repeat(np.arange(n) * BINS, np.diff(begin))
+    h = mix(sets.astype(np.uint64) ^ np.uint64(0xA0761D6478BD642F))
+    low = np.full(n * BINS, 1 << 62, np.uint64)
+    np.minimum.at(low, owner + (h >> np.uint64(57)).astype(np.int64), h & np.uint64((1 << 57) - 1))
+    flags = np.stack([low != 1 << 62, (low & np.uint64(1) == 1) & (low != 1 << 62)]).reshape(2, n, BINS)
+    held, bits = np.packbits(flags, axis=2).view(np.uint64)
+    return np.concatenate([held, bits, np.diff(begin).astype(np.uint64)[:, None]], 1)
+
+
+def hopeful_members(sign: np.ndarray, groups: np.ndarray, least: float) -> np.ndarray:
+    """Whether each member of a bucket may be linked to one of another group.
+
+    Of the bins that either set fills, the share of which the minima differ has
+    the mean 1 - least at the threshold; bins in which the signatures differ are
+    among them.
+    """
+    held, bits, size = sign[:, :2], sign[:, 2:4], sign[:, 4].astype(np.float64)
+    good = np.zeros(len(sign), bool)
+    for one in range(len(sign)):
+        if not good[one]:
+            other = groups != groups[one]
+            other &= (size >= least * size[one] - EPSILON) & (size * least <= size[one] + EPSILON)
+            at = np.flatnonzero(other)
+            filled = np.bitwise_count(held[at] | held[one]).sum(1, dtype=np.int64)
+            differ = np.bitwise_count((held[at] ^ held[one]) | ((bits[at] ^ bits[one]) & held[at] & held[one])).sum(1, dtype=np.int64)
+            at = at[differ <= (1 - least) * filled + DEVIATIONS * np.sqrt(least * (1 - least) * filled)]
+            if len(at):
+                good[at] = good[one] = True
+    return good
+
+
 def _by_bucket(sets: Callable[[pa.RecordBatch], list[np.ndarray]], column: str, work: Callable, names: list[str]):
-    """For mapInArrow, over rows (bucket, item, column, ...) sorted by bucket: what work(items, values, sets) gives for each bucket, two columns of numbers."""
+    """For mapInArrow, over rows (bucket, item, column, ...) sorted by bucket: what work(items, values, sets, bucket) gives for each bucket, columns of numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[tuple[np.ndarray, np.ndarray, list[np.ndarray]]] = []
@@ -175,11 +214,11 @@ def _by_bucket(sets: Callable[[pa.RecordBatch], list[np.ndarray]], column: str,
             items, values = (np.concatenate([w[i] for w in waiting]) for i in (0, 1))
             held = [s for w in waiting for s in w[2]]
             waiting.clear()
-            return [np.array(work(items, values, held), np.int64).reshape(-1, 2)] if len(items) > 1 else []
+            return [work(items, values, held, last)] if len(items) > 1 else []
 
         def out(found: list[np.ndarray]) -> pa.RecordBatch:
-            a, b = np.concatenate([np.zeros((0, 2), np.int64), *found]).T
-            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in (a, b)], names=names)
+            columns = np.concatenate([np.zeros((0, len(names)), np.int64), *found]).T
+            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in columns], names=names)
 
         for batch in batches:
             if not batch.num_rows:
@@ -200,13 +239,27 @@ def _by_bucket(sets: Callable[[pa.RecordBatch], list[np.ndarray]], column: str,
     return run
 
 
+def hopeful(rows: DataFrame, least: float) -> DataFrame:
+    """The rows (bucket, item, label) of rows (bucket, item, label, sign) that may be linked to one of another group in their bucket."""
+
+    def sign(batch):
+        return list(np.frombuffer(b"".join(batch.column("sign").to_pylist()), np.uint64).reshape(batch.num_rows, -1))
+
+    def work(items, labels, held, bucket):
+        good = hopeful_members(np.array(held), labels, least)
+        return np.stack([np.full(good.sum(), bucket), items[good], labels[good]], 1)
+
+    rows = rows.repartition("bucket").sortWithinPartitions("bucket")
+    return rows.mapInArrow(_by_bucket(sign, "label", work, ["bucket", "item", "label"]), "bucket long, item long, label long")
+
+
 def compared(rows: DataFrame, sets: Callable, least: float) -> DataFrame:
     """The links (a, b) that the buckets of rows (bucket, item, label, ...) give; label: the group that an item is in so far.
 
     sets: for a batch of rows the set of each.
     """
 
-    def work(items, labels, held):
+    def work(items, labels, held, _):
         if len(items) == 2:
             pairs = [(0, 1)] if labels[0] != labels[1] and _alike(held, least) else []
         else:
@@ -217,10 +270,10 @@ def compared(rows: DataFrame, sets: Callable, least: float) -> DataFrame:
     return rows.mapInArrow(_by_bucket(sets, "label", work, ["a", "b"]), "a long, b long").distinct()
 
 
-def degrees(groups: DataFrame, payload: DataFrame, sets: Callable, least: float, share: int) -> DataFrame:
+def degrees(groups: DataFrame, with_sets: Callable[[DataFrame], DataFrame], sets: Callable, least: float, share: int) -> DataFrame:
     """(item, n): the number of links of each item of groups (item, component) to others of its component, each pair of parts of a component in one cell.
 
-    payload: (item, ...), what sets() makes the items' sets of.
+    with_sets: adds to rows what sets() makes their items' sets of.
     """
     counts = groups.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
     half = max(1, share // 2)
@@ -229,14 +282,14 @@ def degrees(groups: DataFrame, payload: DataFrame, sets: Callable, least: float,
     cell = F.xxhash64("component", F.least("own", "other"), F.greatest("own", "other"))
     rows = rows.select(cell.alias("bucket"), "item", F.when(F.col("own") == F.col("other"), -1).otherwise(F.col("own")).cast("long").alias("side"))
 
-    def work(items, side, held):
+    def work(items, side, held, _):
         if len(items) == 2:
             n = np.full(2, _alike(held, least) and (side[0] < 0 or side[0] != side[1]))
         else:
             n = Bucket(held, items, least).degrees(side)
         return np.stack([items, n.astype(np.int64)], 1)
 
-    rows = rows.join(payload, "item").repartition("bucket").sortWithinPartitions("bucket")
+    rows = with_sets(rows).repartition("bucket").sortWithinPartitions("bucket")
     found = rows.mapInArrow(_by_bucket(sets, "side", work, ["item", "n"]), "item long, n long")
     return found.groupBy("item").agg(F.sum("n").alias("n"))
 

@@ -12,8 +12,11 @@ of their sets is ``least`` (0.8) or more.
    contains the other, so it is still together at a node of depth 1, 2, 3 with
    probability 0.63, 0.47, 0.37 at least; ``runs`` follows from ``recall`` (0.99) for
    the largest depth (10 runs), and most nodes are small at depth 1 (recall 0.9999).
-3. A node of at most ``limit`` sets is compared by brute force on the exact sets (see
-   buckets.py: nothing that could be linked is passed over).
+   The runs are repeated in two rounds: the first ``early`` runs join most of what is
+   linked, so that in the others only sets of different groups are compared.
+3. A node of at most ``limit`` sets is compared by brute force: sets without a
+   partner by a signature of 40 bytes are out, the others are compared exactly (see
+   buckets.py: a linked pair is passed over with a probability below one in a million).
 4. A larger node is first collapsed: it is dealt out in parts, and what is linked
    in a part is one group. A node of one group is done. One with few sets outside
    its largest group is compared in cells, each part of the group with all these
@@ -41,10 +44,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tandem.llm.buckets import cells, compared, degrees, parts
+from tandem.llm.buckets import cells, compared, degrees, hopeful, parts, signatures
 from tandem.llm.components import components
 from tandem.llm.hashing import SPACE, cut, mix, prefix_sums, release, span_hashes, text_blocks, word_hashes
 from tandem.llm.storage import stored
+from tandem.llm.substring_dedup import bitmap
 
 U64 = np.uint64
 
@@ -101,7 +105,8 @@ def paths(tokens: np.ndarray, begin: np.ndarray, run: int, depth: int, least: fl
 
 
 def _profiles(words: int, runs: int, least: float):
-    """Of each text: its set (lower halves of the hashes), two hashes of it, and the nodes of depth 1 of all runs."""
+    """Of each text: its set (upper halves of the hashes), two hashes of it, its signature, and the nodes of depth 1 of all runs, run by run."""
+    node = pa.struct([("run", pa.int32()), ("key", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in text_blocks(batches, "text", 1 << 20):
@@ -115,21 +120,43 @@ def _profiles(words: int, runs: int, least: float):
             short, begin = short[fresh], np.concatenate([[0], np.cumsum(fresh)])[begin]
             found = [paths(short, begin, r, 1, least)[:2] for r in range(runs)]
             doc, keys = (np.concatenate(x) for x in zip(*found, strict=True))
+            number = np.repeat(np.arange(runs, dtype=np.int32), [len(x[0]) for x in found])
             order = np.argsort(doc, kind="stable")
             ends = np.searchsorted(doc[order], np.arange(rows.num_rows + 1)).astype(np.int32)
+            flat = pa.StructArray.from_arrays([pa.array(number[order]), pa.array(keys[order, 0].view(np.int64))], fields=list(node))
             raw = short.tobytes()
             yield pa.RecordBatch.from_arrays(
                 [
                     rows.column("doc_id"), pa.array(np.diff(begin)), pa.array(h1), pa.array(h2),
                     pa.array([raw[4 * a : 4 * b] for a, b in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)], pa.binary()),
-                    pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[order, 0].view(np.int64))),
+                    pa.array([x.tobytes() for x in signatures(short, begin)], pa.binary()), pa.ListArray.from_arrays(pa.array(ends), flat),
                 ],
-                names=["doc_id", "size", "h1", "h2", "tokens", "nodes"],
+                names=["doc_id", "size", "h1", "h2", "tokens", "sign", "nodes"],
             )
 
+    return run, "doc_id long, size long, h1 long, h2 long, tokens binary, sign binary, nodes array<struct<run:int,key:long>>"
+
+
+def _held(bits: int, flags):
+    """The rows whose hash the bitmap holds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = flags.value
+        for batch in batches:
+            index = (batch.column("hash").to_numpy().view(U64) >> U64(64 - bits)).astype(np.int64)
+            yield batch.filter(pa.array((seen[index >> 3] >> (7 - (index & 7)).astype(np.uint8)) & 1 == 1)).select(["item", "tokens"])
+        release()
+
     return run
 
 
+def _with_sets(rows: DataFrame, payload: DataFrame, bits: int) -> DataFrame:
+    """rows with their items' sets; the sets of other items are left out before the shuffle."""
+    hashed = F.xxhash64("item").alias("hash")
+    flags = rows.sparkSession.sparkContext.broadcast(bitmap(rows.select(hashed), bits))
+    return rows.join(payload.select(hashed, "item", "tokens").mapInArrow(_held(bits, flags), "item long, tokens binary"), "item")
+
+
 def _sets(batch: pa.RecordBatch) -> list[np.ndarray]:
     return [np.frombuffer(x.as_buffer(), np.uint32) for x in batch.column("tokens")]
 
@@ -181,39 +208,64 @@ def _nodes_of_groups(large: DataFrame, payload: DataFrame, runs: int, depth: int
 
 
 def jaccard_join(
-    docs: DataFrame, least: float = 0.8, words: int = 5, recall: float = 0.99, depth: int = 3, limit: int = 4096, runs: int | None = None, count_links: bool = True
-) -> DataFrame:
-    """One row per row of docs: doc_id, class_id, n_links (unless count_links is False). limit: the most sets that are compared at once."""
+    docs: DataFrame, least: float = 0.8, words: int = 5, recall: float = 0.99, depth: int = 3, limit: int = 4096, runs: int | None = None,
+    early: int = 3, filter_bits: int = 24, count_links: bool = True,
+) -> DataFrame:
+    """One row per row of docs: doc_id, class_id, n_links (unless count_links is False).
+
+    limit: the most sets that are compared at once; filter_bits: of the bitmap of items whose sets are sent, which changes no result.
+    """
     runs = runs or runs_for(recall, depth)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    schema = "doc_id long, size long, h1 long, h2 long, tokens binary, nodes array<long>"
-    profiles = stored(texts.mapInArrow(_profiles(words, runs, least), schema).withColumn("row", F.monotonically_increasing_id()), "profiles")
+    run, schema = _profiles(words, runs, least)
+    profiles = stored(texts.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()), "profiles")
     known = profiles.filter("doc_id IS NOT NULL AND size > 0")
     classes = stored(known.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.min("row").alias("item")), "classes")
     payload = profiles.select(F.col("row").alias("item"), "tokens")
-    nodes = known.select(F.col("row").alias("item"), "nodes").join(classes.select("item"), "item", "left_semi").select(F.explode("nodes").alias("bucket"), "item")
-    nodes = stored(nodes, "nodes")
+    nodes = known.select(F.col("row").alias("item"), "sign", "nodes").join(classes.select("item"), "item", "left_semi")
+    signs = stored(nodes, "signs")
+    nodes = stored(signs.select(F.explode("nodes").alias("node"), "item").select(F.col("node.run").alias("run"), F.col("node.key").alias("bucket"), "item"), "nodes")
     counts = nodes.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("item").alias("pivot")).filter("n > 1")
     nodes = stored(nodes.join(stored(counts, "counts"), "bucket"), "nodes")
-    rows = parts(nodes, limit).join(payload, "item").withColumn("label", F.col("item"))
-    links = stored(compared(rows, _sets, least), "links")
-    groups = stored(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "groups")
+    groups = None
+    for of_round in (F.col("run") < early, F.col("run") >= early):
+        rows = parts(nodes.filter(of_round), limit)
+        if groups is None:
+            rows = rows.withColumn("label", F.col("item"))
+        else:
+            rows = _labelled(rows, groups)
+        rows = stored(hopeful(rows.join(signs.select("item", "sign"), "item"), least), "hopeful")
+        groups = _joined(groups, compared(_with_sets(rows, payload, filter_bits), _sets, least))
     large = nodes.filter(F.col("n") > limit)
     if not large.isEmpty():
-        large = large.join(groups.withColumnRenamed("node", "item"), "item", "left").select("bucket", "item", F.coalesce("component", "item").alias("label"))
-        apart = stored(_nodes_of_groups(stored(large, "large"), payload, runs, depth, least, limit), "apart")
-        more = compared(cells(apart, limit).join(payload, "item"), _sets, least)
-        joined = groups.filter("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v"))
-        groups = stored(components(joined.union(more.select(F.col("a").alias("u"), F.col("b").alias("v")))), "groups")
+        large = stored(_labelled(large.select("bucket", "item"), groups), "large")
+        apart = stored(_nodes_of_groups(large, payload, runs, depth, least, limit), "apart")
+        rows = stored(hopeful(cells(apart, limit).join(signs.select("item", "sign"), "item"), least), "hopeful")
+        groups = _joined(groups, compared(_with_sets(rows, payload, filter_bits), _sets, least))
     groups = groups.select(F.col("node").alias("item"), "component")
     ids = groups.join(classes.select("item", "rep"), "item").groupBy("component").agg(F.min("rep").alias("first"))
-    labels = groups.join(ids, "component").select("item", "first", "component")
+    labels = groups.join(ids, "component").select("item", "first")
     if count_links:
-        labels = labels.join(degrees(groups, payload, _sets, least, limit), "item", "left").withColumnRenamed("n", "n_links")
-    labels = classes.join(stored(labels.drop("component"), "labels"), "item", "left")
+        found = degrees(groups, lambda rows: _with_sets(rows, payload, filter_bits), _sets, least, limit)
+        labels = labels.join(found.withColumnRenamed("n", "n_links"), "item", "left")
+    labels = classes.join(stored(labels, "labels"), "item", "left")
     members = profiles.select("doc_id", "size", "h1", "h2").join(labels, ["h1", "h2"], "left")
     alone = F.col("doc_id").isNull() | (F.col("size") == 0)
     out = [F.when(alone, F.col("doc_id")).otherwise(F.coalesce("first", "rep")).alias("class_id")]
     if count_links:
         out.append(F.when(alone, 0).otherwise(F.coalesce("n_links", F.lit(0))).cast("long").alias("n_links"))
     return members.select("doc_id", *out)
+
+
+def _labelled(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """rows (bucket, item) with each item's group as label."""
+    rows = rows.join(groups.withColumnRenamed("node", "item"), "item", "left")
+    return rows.select("bucket", "item", F.coalesce("component", "item").alias("label"))
+
+
+def _joined(groups: DataFrame | None, links: DataFrame) -> DataFrame:
+    """The groups (node, component) after these links (a, b)."""
+    edges = links.select(F.col("a").alias("u"), F.col("b").alias("v"))
+    if groups is not None:
+        edges = edges.union(groups.filter("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v")))
+    return stored(components(edges), "groups")

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tandem.llm.buckets import Bucket, cells, compared, degrees, parts
+from tandem.llm.buckets import Bucket, cells, compared, degrees, hopeful_members, parts, signatures
 from tandem.llm.components import components
 from tandem.llm.jaccard_join import _sets
 
@@ -71,6 +71,22 @@ def test_bucket(case, table_bits):
     assert same(label, brute(sets, groups)[0])
 
 
+@pytest.mark.parametrize("size", [5, 12, 30, 100, 300, 3000])
+def test_hopeful(size):
+    """A linked pair is never left out at any size; unlike sets nearly always are."""
+    rng = np.random.default_rng(size)
+    kept = {"linked": 0, "contained": 0, "unlike": 0}
+    n, one = 300, -(-size // 9)
+    for _ in range(n):
+        whole = rng.integers(0, 2**32, 3 * size, np.uint32)
+        for name, a, b in (("linked", whole[: size], whole[one // 2 : size + one // 2]), ("contained", whole[:size], whole[: -(-4 * size // 5)]), ("unlike", whole[:size], whole[size - 1 : 2 * size - 1])):
+            alike = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
+            sign = signatures(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]))
+            good = hopeful_members(sign, np.arange(2), 0.8).all()
+            kept[name] += good or (name == "linked" and alike < 0.8)
+    assert kept["linked"] == kept["contained"] == n and (size < 30 or kept["unlike"] < 0.05 * n)
+
+
 def frame_of(spark, sets):
     return spark.createDataFrame([(i, s.tobytes()) for i, s in enumerate(sets)], "item long, tokens binary")
 
@@ -93,7 +109,7 @@ def test_parts_and_cells(spark, records):
         groups = components(edges.union(more))
         found = {r.node: r.component for r in groups.collect()}
         assert same([found.get(i, i) for i in range(len(sets))], want)
-        counted = {r.item: r.n for r in degrees(groups.withColumnRenamed("node", "item"), payload, _sets, 0.8, 16).collect()}
+        counted = {r.item: r.n for r in degrees(groups.withColumnRenamed("node", "item"), lambda x: x.join(payload, "item"), _sets, 0.8, 16).collect()}
         assert [counted.get(i, 0) for i in range(len(sets))] == links
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
