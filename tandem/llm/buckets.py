@@ -34,16 +34,39 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tandem.llm.components import components
 from tandem.llm.hashing import mix, release
 from tandem.llm.storage import stored
 
 EPSILON = 1e-9
 #: Bins of a signature, and how many standard deviations a linked pair's signatures may lie from their mean.
 BINS, DEVIATIONS = 128, 5
+#: Members up to which a bucket is compared pair by pair.
+FEW = 8
 #: Bits of the table of a bucket's members and hashes; a larger one is searched by its rarest hashes instead.
 TABLE_BITS = 1 << 28
 
 
+def _numbered(hashes: np.ndarray) -> np.ndarray:
+    """Equal hashes of 32 bits get equal numbers from 0 on."""
+    keys = np.sort(hashes.astype(np.uint64) << np.uint64(32) | np.arange(len(hashes), dtype=np.uint64))
+    value = keys >> np.uint64(32)
+    out = np.zeros(len(hashes), np.int64)
+    out[(keys & np.uint64(0xFFFFFFFF)).astype(np.int64)[1:]] = np.cumsum(value[1:] != value[:-1])
+    return out
+
+
+def _few(sets: list[np.ndarray], groups: list[int], least: float) -> list[tuple[int, int]]:
+    """As Bucket.linked(), pair by pair."""
+    out, groups = [], list(groups)
+    for i in range(1, len(sets)):
+        for j in range(i):
+            if groups[i] != groups[j] and _alike([sets[i], sets[j]], least):
+                out.append((j, i))
+                groups = [groups[j] if g == groups[i] else g for g in groups]
+    return out
+
+
 class Bucket:
     """The sets of one bucket and the groups that they are in so far."""
 
@@ -53,7 +76,7 @@ class Bucket:
         self.links: list[tuple[int, int]] = []
         self.size = np.array([len(s) for s in sets])
         self.owner = np.repeat(np.arange(len(sets)), self.size)
-        ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
+        ids = _numbered(np.concatenate(sets))
         live = self.size > 0
         while True:
             times = np.bincount(ids[live[self.owner]], minlength=int(ids.max(initial=-1)) + 1)
@@ -163,6 +186,9 @@ class Bucket:
 
 def _alike(held: list[np.ndarray], least: float) -> bool:
     """Whether two sets are linked."""
+    small, large = sorted(map(len, held))
+    if small < least * large - EPSILON:
+        return False
     both = np.concatenate(held)
     both.sort()
     shared = int((both[1:] == both[:-1]).sum())
@@ -260,10 +286,7 @@ def compared(rows: DataFrame, sets: Callable, least: float) -> DataFrame:
     """
 
     def work(items, labels, held, _):
-        if len(items) == 2:
-            pairs = [(0, 1)] if labels[0] != labels[1] and _alike(held, least) else []
-        else:
-            pairs = Bucket(held, labels, least).linked()
+        pairs = _few(held, labels.tolist(), least) if len(items) <= FEW else Bucket(held, labels, least).linked()
         return np.sort(items[np.array(pairs, np.int64).reshape(-1, 2)], axis=1)
 
     rows = rows.repartition("bucket").sortWithinPartitions("bucket")
@@ -294,6 +317,26 @@ def degrees(groups: DataFrame, with_sets: Callable[[DataFrame], DataFrame], sets
     return found.groupBy("item").agg(F.sum("n").alias("n"))
 
 
+def mixed(rows: DataFrame) -> DataFrame:
+    """The rows (bucket, item, label) of buckets with members of different groups."""
+    apart = rows.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high")
+    return rows.join(stored(apart.select("bucket"), "mixed"), "bucket", "left_semi")
+
+
+def labelled(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """rows (bucket, item) with each item's group of groups (node, component) as label."""
+    rows = rows.join(groups.withColumnRenamed("node", "item"), "item", "left")
+    return rows.select("bucket", "item", F.coalesce("component", "item").alias("label"))
+
+
+def joined(groups: DataFrame | None, links: DataFrame) -> DataFrame:
+    """The groups (node, component) after these links (a, b)."""
+    edges = links.select(F.col("a").alias("u"), F.col("b").alias("v"))
+    if groups is not None:
+        edges = edges.union(groups.filter("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v")))
+    return stored(components(edges), "groups")
+
+
 def parts(rows: DataFrame, share: int) -> DataFrame:
     """(bucket, item) of rows (bucket, item, n, pivot): buckets of more than share members dealt out in parts that all hold the pivot."""
     number = F.ceil(F.col("n") / share).cast("int")

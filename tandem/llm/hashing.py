@@ -69,6 +69,14 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """The distinct values, sorted (by a plain sort, which is far faster on mostly different hashes than a hash table)."""
+    values = np.sort(values)
+    fresh = np.ones(len(values), bool)
+    fresh[1:] = values[1:] != values[:-1]
+    return values[fresh]
+
+
 def prefix_sums(values: np.ndarray, base: int = BASES[0]) -> np.ndarray:
     """``P[i] = sum(values[j] * base**j for j < i)``, one longer than values."""
     out = np.zeros(len(values) + 1, U64)

@@ -44,9 +44,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tandem.llm.buckets import cells, compared, degrees, hopeful, parts, signatures
-from tandem.llm.components import components
-from tandem.llm.hashing import SPACE, cut, mix, prefix_sums, release, span_hashes, text_blocks, word_hashes
+from tandem.llm.buckets import cells, compared, degrees, hopeful, joined, labelled, mixed, parts, signatures
+from tandem.llm.hashing import SPACE, cut, distinct, mix, prefix_sums, release, span_hashes, text_blocks, word_hashes
 from tandem.llm.storage import stored
 from tandem.llm.substring_dedup import bitmap
 
@@ -68,7 +67,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.
     out = []
     for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
         at = np.arange(a, max(b - words, a) + 1) if b > a else np.zeros(0, np.int64)
-        out.append(np.unique(span_hashes(sums, at, np.minimum(at + words, b))))
+        out.append(distinct(span_hashes(sums, at, np.minimum(at + words, b))))
     sizes = np.array([len(x) for x in out])
     return (np.concatenate(out) if out else np.zeros(0, U64)), np.concatenate([[0], np.cumsum(sizes)])
 
@@ -230,18 +229,15 @@ def jaccard_join(
     groups = None
     for of_round in (F.col("run") < early, F.col("run") >= early):
         rows = parts(nodes.filter(of_round), limit)
-        if groups is None:
-            rows = rows.withColumn("label", F.col("item"))
-        else:
-            rows = _labelled(rows, groups)
+        rows = rows.withColumn("label", F.col("item")) if groups is None else mixed(stored(labelled(rows, groups), "labelled"))
         rows = stored(hopeful(rows.join(signs.select("item", "sign"), "item"), least), "hopeful")
-        groups = _joined(groups, compared(_with_sets(rows, payload, filter_bits), _sets, least))
+        groups = joined(groups, compared(_with_sets(rows, payload, filter_bits), _sets, least))
     large = nodes.filter(F.col("n") > limit)
     if not large.isEmpty():
-        large = stored(_labelled(large.select("bucket", "item"), groups), "large")
+        large = stored(labelled(large.select("bucket", "item"), groups), "large")
         apart = stored(_nodes_of_groups(large, payload, runs, depth, least, limit), "apart")
         rows = stored(hopeful(cells(apart, limit).join(signs.select("item", "sign"), "item"), least), "hopeful")
-        groups = _joined(groups, compared(_with_sets(rows, payload, filter_bits), _sets, least))
+        groups = joined(groups, compared(_with_sets(rows, payload, filter_bits), _sets, least))
     groups = groups.select(F.col("node").alias("item"), "component")
     ids = groups.join(classes.select("item", "rep"), "item").groupBy("component").agg(F.min("rep").alias("first"))
     labels = groups.join(ids, "component").select("item", "first")
@@ -255,17 +251,3 @@ def jaccard_join(
     if count_links:
         out.append(F.when(alone, 0).otherwise(F.coalesce("n_links", F.lit(0))).cast("long").alias("n_links"))
     return members.select("doc_id", *out)
-
-
-def _labelled(rows: DataFrame, groups: DataFrame) -> DataFrame:
-    """rows (bucket, item) with each item's group as label."""
-    rows = rows.join(groups.withColumnRenamed("node", "item"), "item", "left")
-    return rows.select("bucket", "item", F.coalesce("component", "item").alias("label"))
-
-
-def _joined(groups: DataFrame | None, links: DataFrame) -> DataFrame:
-    """The groups (node, component) after these links (a, b)."""
-    edges = links.select(F.col("a").alias("u"), F.col("b").alias("v"))
-    if groups is not None:
-        edges = edges.union(groups.filter("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v")))
-    return stored(components(edges), "groups")

@@ -15,7 +15,9 @@ occurrence (smallest doc_id, then line number) stays.
    a bitmap of fixed size; only lines that hit it are shuffled to their buckets.
 3. The lines of a bucket go there once, with their texts, and are compared on
    their exact shingle sets (see buckets.py: nothing that could be linked is
-   passed over, and no pair is emitted that isn't linked). Buckets of more than
+   passed over, and no pair is emitted that isn't linked). ``early`` of ``bands`` band
+   keys come first and join most of what is linked; of the others only buckets
+   with lines of different groups are compared. Buckets of more than
    ``share`` lines are dealt out in parts first, whose linked lines become groups;
    then lines of different groups meet in cells.
 4. Union-find joins the links to components.
@@ -36,9 +38,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tandem.llm.buckets import cells, compared, parts
-from tandem.llm.components import components
-from tandem.llm.hashing import LINE_END, SPACE, cut, mix, owners, prefix_sums, span_hashes, text_blocks
+from tandem.llm.buckets import cells, compared, joined, labelled, mixed, parts
+from tandem.llm.hashing import LINE_END, SPACE, cut, distinct, mix, owners, prefix_sums, span_hashes, text_blocks
 from tandem.llm.storage import stored
 from tandem.llm.substring_dedup import bitmap
 
@@ -262,13 +263,14 @@ def _sets(batch: pa.RecordBatch) -> list[np.ndarray]:
     out = []
     for _, data, offsets in text_blocks([batch], "text", 1 << 20):
         tokens, begin = shingles(data, offsets[:-1], offsets[1:])
-        own = np.unique((np.repeat(np.arange(len(begin) - 1, dtype=U64), np.diff(begin)) << U64(32)) | (tokens >> U64(32)))
-        first = np.searchsorted(own, np.arange(len(begin), dtype=U64) << U64(32))
-        out += np.split(own.astype(np.uint32), first[1:-1])
+        own = distinct((np.repeat(np.arange(len(begin) - 1, dtype=U64), np.diff(begin)) << U64(32)) | (tokens >> U64(32)))
+        first = np.searchsorted(own, np.arange(len(begin), dtype=U64) << U64(32)).tolist()
+        short = own.astype(np.uint32)
+        out += [short[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]
     return out
 
 
-def line_components(docs: DataFrame, least: float = 0.8, bands: int = 12, rows: int = 5, share: int = 4096, bits: int = 26) -> tuple[DataFrame, DataFrame]:
+def line_components(docs: DataFrame, least: float = 0.8, bands: int = 12, rows: int = 5, share: int = 4096, early: int = 4, bits: int = 26) -> tuple[DataFrame, DataFrame]:
     """(lines, labels): every visible line (doc_id, text_hash, line, hash), and (node, component) of the lines that are linked to another."""
     if bands * rows > BINS:
         raise ValueError(f"bands * rows must be {BINS} at most")
@@ -286,15 +288,17 @@ def line_components(docs: DataFrame, least: float = 0.8, bands: int = 12, rows:
     asked = send(bitmap(found.select(F.col("item").alias("hash")).mapInArrow(_mixed, "hash long"), bits))
     known = texts.select("text").mapInArrow(_texts(bits, asked), "hash long, text binary").dropDuplicates(["hash"])
     known = stored(known.withColumnRenamed("hash", "item"), "texts")
-    links = stored(compared(parts(found, share).join(known, "item").withColumn("label", F.col("item")), _sets, least), "links")
-    labels = stored(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "labels")
+    groups = None
+    turn = F.pmod("bucket", F.lit(bands))
+    for of_round in (turn < early, turn >= early):
+        rows = parts(found.filter(of_round), share)
+        rows = rows.withColumn("label", F.col("item")) if groups is None else mixed(stored(labelled(rows, groups), "labelled"))
+        groups = joined(groups, compared(rows.join(known, "item"), _sets, least))
     large = found.filter(F.col("n") > share)
     if not large.isEmpty():
-        large = large.join(labels.withColumnRenamed("node", "item"), "item", "left").select("bucket", "item", F.coalesce("component", "item").alias("label"))
-        more = compared(cells(stored(large, "large"), share).join(known, "item"), _sets, least)
-        joined = labels.filter("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v"))
-        labels = stored(components(joined.union(more.select(F.col("a").alias("u"), F.col("b").alias("v")))), "labels")
-    return lines.drop("bands"), labels
+        large = stored(labelled(large, groups), "large")
+        groups = joined(groups, compared(cells(large, share).join(known, "item"), _sets, least))
+    return lines.drop("bands"), groups
 
 
 def _mixed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

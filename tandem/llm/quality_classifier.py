@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tandem.llm.hashing import LOWER, NON_ALNUM, cut, mix, owners, text_blocks, word_hashes
+from tandem.llm.hashing import LOWER, NON_ALNUM, cut, distinct, mix, owners, text_blocks, word_hashes
 
 #: Bytes between runs of visible characters that are in no word.
 NON_SYMBOL = ~NON_ALNUM
@@ -75,7 +75,7 @@ class Model:
         """P(grade >= k) for each text and each k from the second grade on."""
         doc, bucket = tokens(data, offsets, self.bits)
         heavy = self.weights[bucket] != 0
-        pairs = np.unique((doc[heavy] << self.bits) | bucket[heavy])
+        pairs = distinct((doc[heavy] << self.bits) | bucket[heavy])
         score = np.bincount(pairs >> self.bits, self.weights[pairs & ((1 << self.bits) - 1)], len(offsets) - 1)
         return _sigmoid(score[:, None] - self.thresholds)
 
@@ -131,7 +131,7 @@ def fit(rated: DataFrame, sample_rows: int = 20_000, bits: int = 20, least_docs:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in text_blocks(batches, "text", BLOCK):
             doc, bucket = tokens(data, offsets, bits)
-            pairs = np.unique((doc << bits) | bucket)
+            pairs = distinct((doc << bits) | bucket)
             ends = np.searchsorted(pairs >> bits, np.arange(rows.num_rows + 1)).tolist()
             held = (pairs & ((1 << bits) - 1)).astype(np.int32)
             out = [held[a:b].tobytes() for a, b in zip(ends, ends[1:], strict=False)]
