@@ -254,14 +254,22 @@ def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def scan(matrices: list[np.ndarray]) -> list[int]:
-    """The state at each boundary (one more than matrices) of the best path."""
-    front = [np.zeros((1, matrices[0].shape[0]))]
-    for m in matrices:
-        front.append(product(front[-1], m))
-    out = [int(front[-1][0].argmax())]
-    for m, f in zip(matrices[::-1], front[-2::-1], strict=True):
-        out.append(int((f[0] + m[:, out[-1]]).argmax()))
-    return out[::-1]
+    """The state at each boundary (one more than matrices) of the best path, by a tree of products as deep as the logarithm of their number."""
+    levels = [matrices]
+    while len(levels[-1]) > 1:
+        row = levels[-1]
+        levels.append([product(*row[i : i + 2]) if i + 1 < len(row) else row[i] for i in range(0, len(row), 2)])
+    whole = levels[-1][0]
+    first, last = np.unravel_index(whole.argmax(), whole.shape)
+    out = [int(first), int(last)]
+    for row in levels[-2::-1]:  # down again: the state between the two halves of each product
+        ends, out = out, []
+        for i in range(0, len(row), 2):
+            out.append(ends[i // 2])
+            if i + 1 < len(row):
+                out.append(int((row[i][ends[i // 2]] + row[i + 1][:, ends[i // 2 + 1]]).argmax()))
+        out.append(ends[-1])
+    return out
 
 
 _codecs: dict[int, Codec] = {}
@@ -356,7 +364,9 @@ def encode(docs: DataFrame, model_path: str | None = None, chunk: int = 16_384,
     )
     cut = stored(giant.select("key", "doc_id", *carry, "n_chunks", F.explode(parts).alias("c")).select("key", "doc_id", *carry, "n_chunks", "c.*").repartition("key", "chunk"), "chunks")
     matrices = stored(cut.select("key", "part", "begin", "end", "chunk", "n_chunks").mapInArrow(_transfer(sent), "key long, chunk int, states int, matrix binary"), "matrices")
-    states = matrices.groupBy("key").applyInPandas(_combine, "key long, chunk int, entry int, leave int")
+    # a set number of partitions, which Spark doesn't merge to one task for being small
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    states = matrices.repartition(tasks, "key").groupBy("key").applyInPandas(_combine, "key long, chunk int, entry int, leave int")
     back = T.StructType([*kinds("key long", "chunk int", "n_chunks int", "doc_id long"), *kept, *kinds("ids array<int>")])
     traced = cut.join(states, ["key", "chunk"]).mapInArrow(_back(sent, list(carry)), back)
     whole = traced.groupBy("key").agg(*(F.first(c).alias(c) for c in ("doc_id", *carry, "n_chunks")), F.array_sort(F.collect_list(F.struct("chunk", "ids"))).alias("parts"))

@@ -19,7 +19,8 @@ held by a third of all documents is a row for each block of text, not for each
 document.
 
 Defined results: a null or empty text has no words; repeats within one document
-stay; rows with equal ids and texts get equal results; a row with a null id is
+stay; rows with equal ids and texts get equal results, rows of one id with
+different texts one each (neither removes from the other); a row with a null id is
 returned with all its words and removes nothing elsewhere; columns other than
 the id and the text are not read.
 """
@@ -38,7 +39,7 @@ from tandem.llm.hashing import BASES, SPACE, cut, owners, prefix_sums, span_hash
 from tandem.llm.storage import stored
 
 LEVEL_1 = "hash long, low long, high long"
-LEVEL_2 = "h1 long, h2 long, doc_id long, start int, stop int, covered boolean"
+LEVEL_2 = "h1 long, h2 long, doc_id long, text_hash long, span long, covered boolean"
 
 
 def _chosen(data: np.ndarray, offsets: np.ndarray, ids: pa.Array, min_words: int):
@@ -137,27 +138,34 @@ def level_2(min_words: int, bits: int, flags):
             begin, end = here[np.flatnonzero(new)], here[np.append(np.flatnonzero(new)[1:], len(here)) - 1] if len(here) else here
             sent = np.flatnonzero(send)
             both = np.concatenate([sent, begin])
+            start = at[both] - first[doc[both]]
+            stop = at[np.concatenate([sent, end])] - first[doc[both]]
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(h1[both].view(np.int64)),
                     pa.array(np.concatenate([h2[sent].view(np.int64), ids[begin] * 1_000_003 + at[begin]])),
                     pa.array(ids[both]),
-                    pa.array((at[both] - first[doc[both]]).astype(np.int32)),
-                    pa.array((at[np.concatenate([sent, end])] - first[doc[both]]).astype(np.int32)),
+                    rows.column("text_hash").take(pa.array(doc[both])),
+                    pa.array(start.astype(np.int64) << 32 | stop.astype(np.int64)),
                     pa.array(np.arange(len(both)) >= len(sent)),
                 ],
-                names=["h1", "h2", "doc_id", "start", "stop", "covered"],
+                names=["h1", "h2", "doc_id", "text_hash", "span", "covered"],
             )
 
     return run
 
 
+def _texts(docs: DataFrame) -> DataFrame:
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+
+
 def repeated_windows(docs: DataFrame, min_words: int = 50, filter_bits: int = 26) -> DataFrame:
-    """doc_id and ``spans``: the runs (start, stop) of word positions where a window that a smaller id holds too begins."""
+    """doc_id, text_hash (xxhash64) and ``spans``: the runs of word positions where a window that a smaller id holds too begins, as start << 32 | stop."""
     if min_words < 2:
         raise ValueError("min_words must be 2 or more")
     spark = docs.sparkSession
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = _texts(docs)
     survivors = (
         texts.mapInArrow(level_1(min_words), LEVEL_1)
         .groupBy("hash")
@@ -171,8 +179,8 @@ def repeated_windows(docs: DataFrame, min_words: int = 50, filter_bits: int = 26
     return (
         windows.withColumn("lowest", lowest)
         .filter("covered or lowest < doc_id")
-        .groupBy("doc_id")
-        .agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+        .groupBy("doc_id", "text_hash")
+        .agg(F.collect_list("span").alias("spans"))
     )
 
 
@@ -183,11 +191,12 @@ def _cleaned(min_words: int, with_text: bool):
             out = []
             for text, spans in zip(texts, batch.column("spans"), strict=True):
                 words = (text.as_py() or b"").split()
-                n, spans = len(words), spans.as_py()
-                if spans:
+                n, spans = len(words), spans.values
+                if spans is not None and len(spans):
+                    spans = spans.to_numpy()
                     marks = np.zeros(n + 1, np.int64)
-                    np.add.at(marks, [s["start"] for s in spans], 1)
-                    np.add.at(marks, [s["stop"] + min_words for s in spans], -1)
+                    np.add.at(marks, spans >> 32, 1)
+                    np.add.at(marks, (spans & 0xFFFFFFFF) + min_words, -1)
                     words = [words[i] for i in np.flatnonzero(np.cumsum(marks[:-1]) == 0)]
                 kept = b" ".join(words)
                 out.append((n, n - len(words), hashlib.sha256(kept).hexdigest(), kept.decode() if with_text else None))
@@ -209,6 +218,6 @@ def _cleaned(min_words: int, with_text: bool):
 def substring_dedup(docs: DataFrame, min_words: int = 50, filter_bits: int = 26, with_text: bool = True) -> DataFrame:
     """One row per row of docs: doc_id, n_words, n_removed, kept_sha256 and, if with_text, the kept words joined by spaces."""
     spans = stored(repeated_windows(docs, min_words, filter_bits), "repeats")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = _texts(docs)
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text
-    return texts.join(spans, "doc_id", "left").mapInArrow(_cleaned(min_words, with_text), schema)
+    return texts.join(spans, ["doc_id", "text_hash"], "left").mapInArrow(_cleaned(min_words, with_text), schema)

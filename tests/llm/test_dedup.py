@@ -191,6 +191,9 @@ def test_repeated_ids(frame):
     rows = [(1, a), (2, f"{b}\n{b}\n{a}"), (2, "short text only"), (3, b), (3, c), (4, c)]
     got = sorted((r.doc_id, r.n_lines, r.removed) for r in line_dedup(frame(rows)).collect())
     assert got == [(1, 1, []), (2, 1, []), (2, 3, [1, 2]), (3, 1, []), (3, 1, [0]), (4, 1, [0])]
+    rows = [(1, a), (2, f"{c} {a}"), (2, "short text only"), (2, a + " more"), (3, f"{c} {c}")]
+    got = sorted((r.doc_id, r.n_words, r.n_removed) for r in substring_dedup(frame(rows)).collect())
+    assert got == [(1, 60, 0), (2, 3, 0), (2, 61, 60), (2, 120, 60), (3, 120, 120)]
     got = sorted((r.doc_id, r.class_id) for r in jaccard_join(frame([(1, a), (2, b), (2, c), (3, b), (4, c + " x")])).collect())
     assert got == [(1, 1), (2, 2), (2, 2), (3, 2), (4, 2)]
 
