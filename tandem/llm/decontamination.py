@@ -25,6 +25,7 @@ rows are each judged alone; columns other than id and text pass unread.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,7 +38,9 @@ from tandem.llm.fm_index import FMIndex
 from tandem.llm.hashing import LOWER, NON_ALNUM, cut, owners, text_blocks, word_hashes
 from tandem.llm.storage import stored
 
-SHARD_BYTES = 1 << 22
+SHARD_BYTES = 1 << 21
+#: A word before A-Z is put in lower case.
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
 
 class Phrases:
@@ -190,7 +193,7 @@ def phrase_blocks(benchmark: DataFrame, window: int, block_words: int) -> Iterat
     items, words = [], 0
     rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")), F.coalesce(F.col("text").cast("string"), F.lit("")))
     for name, text in rows.toLocalIterator():
-        n = text.count(" ") + 1
+        n = len(WORD.findall(text))
         if items and words + n > block_words:
             yield Phrases(items, window)
             items, words = [], 0

@@ -34,7 +34,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -43,6 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tandem.llm.hashing import release
 from tandem.llm.storage import stored
 
 SPACE = "▁"
@@ -287,6 +288,7 @@ def small(batches: Iterator[pa.RecordBatch], rows: int = 128) -> Iterator[pa.Rec
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+    release()
 
 
 def _short(sent, carry: list[str]):
@@ -336,8 +338,13 @@ def _back(sent, carry: list[str]):
     return run
 
 
-def encode(docs: DataFrame, model_path: str | None = None, chunk: int = 16_384, carry: tuple[str, ...] = ()) -> DataFrame:
-    """One row per row of docs: doc_id, the columns to carry, n_chunks and ids."""
+def encode(
+    docs: DataFrame, model_path: str | None = None, chunk: int = 16_384, carry: tuple[str, ...] = (), then: tuple[Callable, str] | None = None
+) -> DataFrame:
+    """One row per row of docs: doc_id, the columns to carry, n_chunks and ids; or what ``then``, a function for mapInArrow and its schema, makes of these.
+
+    ``then`` runs in the process that encodes, so a task needs no second one.
+    """
     with open(model_path or default_model(), "rb") as f:
         model = f.read()
     longest = Codec(model).longest
@@ -348,7 +355,10 @@ def encode(docs: DataFrame, model_path: str | None = None, chunk: int = 16_384,
     kept = [f for f in rows.schema if f.name in carry]
     kinds = lambda *names: T.StructType.fromDDL(", ".join(names))
     size = F.length("text")
-    short = rows.filter(F.coalesce(size, F.lit(0)) <= chunk).mapInArrow(_short(sent, list(carry)), T.StructType([*kinds("doc_id long"), *kept, *kinds("n_chunks int", "ids array<int>")]))
+    encoded = T.StructType([*kinds("doc_id long"), *kept, *kinds("n_chunks int", "ids array<int>")])
+    alone = _short(sent, list(carry))
+    short = rows.filter(F.coalesce(size, F.lit(0)) <= chunk)
+    short = short.mapInArrow(lambda batches: then[0](alone(batches)), then[1]) if then else short.mapInArrow(alone, encoded)
     giant = rows.filter(size > chunk).withColumn("key", F.monotonically_increasing_id())
     giant = giant.withColumn("written", F.concat(F.lit(SPACE), F.replace("text", F.lit(" "), F.lit(SPACE)))).withColumn("n", F.length("written"))
     giant = giant.withColumn("n_chunks", F.ceil(F.col("n") / chunk).cast("int"))
@@ -370,7 +380,8 @@ def encode(docs: DataFrame, model_path: str | None = None, chunk: int = 16_384,
     back = T.StructType([*kinds("key long", "chunk int", "n_chunks int", "doc_id long"), *kept, *kinds("ids array<int>")])
     traced = cut.join(states, ["key", "chunk"]).mapInArrow(_back(sent, list(carry)), back)
     whole = traced.groupBy("key").agg(*(F.first(c).alias(c) for c in ("doc_id", *carry, "n_chunks")), F.array_sort(F.collect_list(F.struct("chunk", "ids"))).alias("parts"))
-    return short.unionByName(whole.select("doc_id", *carry, "n_chunks", F.flatten(F.transform("parts", lambda p: p["ids"])).alias("ids")))
+    whole = whole.select("doc_id", *carry, "n_chunks", F.flatten(F.transform("parts", lambda p: p["ids"])).alias("ids"))
+    return short.unionByName(whole.mapInArrow(*then) if then else whole)
 
 
 def flat(ids: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
@@ -407,13 +418,12 @@ def round_trips(docs: DataFrame, model_path: str | None = None, chunk: int = 16_
     round_trip: the decoded text is the original (null: empty; U+2581 reads as a space).
     """
     original = F.sha2(F.replace(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(SPACE), F.lit(" ")).cast("binary"), 256)
-    encoded = encode(docs.select("doc_id", "text", original.alias("original")), model_path, chunk, ("original",))
+    rows = docs.select("doc_id", "text", original.alias("original"))
 
     with open(model_path or default_model(), "rb") as f:
         sent = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Decode and digest in one pass: each pass is a process beside the others of a task."""
         codec = _codec(sent)
         for batch in small(batches, 256):
             held, offsets = flat(batch.column("ids"))
@@ -430,4 +440,5 @@ def round_trips(docs: DataFrame, model_path: str | None = None, chunk: int = 16_
                 names=["doc_id", "n_chunks", "n_tokens", "ids_sha256", "decoded_sha256", "round_trip"],
             )
 
-    return encoded.mapInArrow(digest, "doc_id long, n_chunks int, n_tokens long, ids_sha256 string, decoded_sha256 string, round_trip boolean")
+    schema = "doc_id long, n_chunks int, n_tokens long, ids_sha256 string, decoded_sha256 string, round_trip boolean"
+    return encode(rows, model_path, chunk, ("original",), (digest, schema))
