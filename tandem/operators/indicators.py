@@ -7,15 +7,26 @@ group is a group of its own: all joins on group are null-safe.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 PAIR = ("group", "patient_id")
 
 
+def source_order(rows: DataFrame) -> Column:
+    """What sorts rows as their source has them: file, place in the file, row; as they come where they are from no file."""
+    row = F.monotonically_increasing_id()
+    try:
+        rows.select("_metadata.file_block_start").schema
+    except AnalysisException:
+        return row
+    return F.struct("_metadata.file_path", "_metadata.file_block_start", row)
+
+
 def last_records(records: DataFrame) -> DataFrame:
     """One record for each patient of a group: the last in the order of the source."""
-    numbered = records.select(*PAIR, "symptoms", F.monotonically_increasing_id().alias("at"))
+    numbered = records.select(*PAIR, "symptoms", source_order(records).alias("at"))
     return numbered.groupBy(*PAIR).agg(F.max_by("symptoms", "at").alias("symptoms"))
 
 

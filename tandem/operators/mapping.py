@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tandem.functions.terms import closest, is_non_symptom, preprocess_term, split_compound, title_case
+from tandem.operators.indicators import source_order
 
 #: The canonical term of what is dropped, and the tiers' names.
 FILTERED = "[FILTERED]"
@@ -117,7 +118,7 @@ def build_mapping(
 
 def mapping_lookup(mapping: DataFrame) -> DataFrame:
     """(preprocessed_term, normalized_term): of several rows the last."""
-    rows = mapping.select(F.trim("preprocessed_term").alias("preprocessed_term"), F.trim("normalized_term").alias("normalized_term"), F.monotonically_increasing_id().alias("at"))
+    rows = mapping.select(F.trim("preprocessed_term").alias("preprocessed_term"), F.trim("normalized_term").alias("normalized_term"), source_order(mapping).alias("at"))
     return rows.filter("preprocessed_term <> ''").groupBy("preprocessed_term").agg(F.max_by("normalized_term", "at").alias("normalized_term"))
 
 

@@ -7,6 +7,8 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tandem.operators.indicators import source_order
+
 NOTES = "patient_id string, pre_notes array<string>, post_notes array<string>, group string"
 EXTRACTIONS = "patient_id string, group string, symptoms array<string>, raw_response string, extraction_time_s double"
 NORMALIZED = "patient_id string, group string, symptoms array<string>, symptoms_raw array<string>"
@@ -85,10 +87,10 @@ def read_annotations(spark: SparkSession, path: str) -> DataFrame:
     if not {"patient_id", "symptoms"} <= set(by_name):
         raise ValueError("annotations need columns patient_id and symptoms")
     cell = F.trim(F.coalesce(F.col(f"`{by_name['symptoms']}`"), F.lit("")))
-    terms = F.filter(F.transform(F.split(cell, ","), F.trim), lambda x: x != "")
+    terms = F.filter(F.transform(F.split(cell, ","), lambda x: F.trim(x)), lambda x: x != "")
     rows = rows.select(
         F.regexp_extract("_metadata.file_name", r"^(.*)\.csv$", 1).alias("annotator"), F.trim(f"`{by_name['patient_id']}`").alias("patient_id"),
-        F.when(F.lower(cell).isin(*NO_SYMPTOMS), F.array().cast("array<string>")).otherwise(terms).alias("terms"), F.monotonically_increasing_id().alias("at"),
+        F.when(F.lower(cell).isin(*NO_SYMPTOMS), F.array().cast("array<string>")).otherwise(terms).alias("terms"), source_order(rows).alias("at"),
     )
     return rows.filter("patient_id <> ''").groupBy("annotator", "patient_id").agg(F.max_by("terms", "at").alias("terms"))
 
@@ -102,7 +104,7 @@ def read_models(spark: SparkSession, path: str) -> DataFrame:
 def read_dumps(spark: SparkSession, path: str) -> DataFrame:
     """(group, pos, term, rate) of a folder of JSON lists, one for each group."""
     rows = spark.read.schema("term string, rate string").option("multiLine", True).json(f"{path.rstrip('/')}/*.json")
-    return rows.select(F.regexp_extract("_metadata.file_name", r"^(.*)\.json$", 1).alias("group"), F.monotonically_increasing_id().alias("pos"), "term", "rate")
+    return rows.select(F.regexp_extract("_metadata.file_name", r"^(.*)\.json$", 1).alias("group"), source_order(rows).alias("pos"), "term", "rate")
 
 
 # Sinks

@@ -114,3 +114,18 @@ def test_resumed_stream(spark, tmp_path):
     go()
     rows = spark.read.json(str(tmp_path / "out"))
     assert sorted(r.patient_id for r in rows.collect()) == ["a", "b", "c"] and rows.select(F.explode("symptoms")).distinct().count() == 1
+
+
+def test_last_record_in_file_order(spark, tmp_path):
+    """Of a patient's records the last in the order of files and lines counts, however Spark packs the files."""
+    from tandem.operators.indicators import last_records
+    from tandem.sources.files import EXTRACTIONS, read_annotations, read_jsonl
+
+    big = "".join('{"patient_id": "%d", "group": "g", "symptoms": ["old", "%s"]}\n' % (i, "x" * 200) for i in range(300))
+    (tmp_path / "a.jsonl").write_text(big)
+    (tmp_path / "b.jsonl").write_text('{"patient_id": "7", "group": "g", "symptoms": ["middle"]}\n{"patient_id": "7", "group": "g", "symptoms": ["new"]}\n')
+    rows = last_records(read_jsonl(spark, [str(tmp_path / "b.jsonl"), str(tmp_path / "a.jsonl")], EXTRACTIONS))
+    assert rows.filter("patient_id = '7'").first().symptoms == ["new"] and rows.count() == 300
+    (tmp_path / "n").mkdir()
+    (tmp_path / "n" / "one.csv").write_text("patient_id,symptoms\n1,a\n1,\"b, c\"\n")
+    assert [(r.annotator, r.terms) for r in read_annotations(spark, str(tmp_path / "n")).collect()] == [("one", ["b", "c"])]
