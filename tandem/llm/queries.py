@@ -30,7 +30,7 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = fold(F.col("doc_id"), 10) == 0
-    scores = lm_score(docs, train(docs.filter(~F.coalesce(held_out, F.lit(False)))))
+    scores = lm_score(docs, train(docs.filter(~F.coalesce(held_out, F.lit(False))), order=3))
     return scores.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 

@@ -86,7 +86,7 @@ def test_lm_table(spark, sf):
     held = {d for d in texts if zlib.crc32(str(d).encode()) % 10 == 0}
     got = {r.doc_id: r for r in op2_ngram_lm(spark, sf).collect()}
     assert {d for d, r in got.items() if r.held_out} == held
-    check(got, Brute([t for d, t in texts.items() if d not in held], 2), texts)
+    check(got, Brute([t for d, t in texts.items() if d not in held], 3), texts)
     n = sum(got[d].n_tokens for d in held)
     assert sum(got[d].score for d in held) / n > sum(got[d].base_score for d in held) / n
 
