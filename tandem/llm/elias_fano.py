@@ -6,6 +6,8 @@ import numpy as np
 
 U64 = np.uint64
 
+EACH, TOP = U64(0x0101010101010101), U64(0x8080808080808080)
+
 #: SELECT[b, k]: the place of the k-th set bit of the byte b.
 SELECT = np.array([([i for i in range(8) if b >> i & 1] + [8] * 8)[:8] for b in range(256)], np.int64)
 
@@ -16,7 +18,7 @@ def encode(values: np.ndarray, name: str) -> dict[str, np.ndarray]:
     low: the lower bits of each value, packed; high: for each value a one, and
     a zero after all values of each upper part; zeros: the zeros before each
     word of high; head: number of values, lower bits of each, first value of
-    the universe not reached.
+    the universe not reached; ones: as zeros, of the ones.
     """
     values = values.astype(U64)
     n, top = len(values), int(values[-1]) if len(values) else 0
@@ -29,6 +31,7 @@ def encode(values: np.ndarray, name: str) -> dict[str, np.ndarray]:
     high = np.packbits(flags, bitorder="little").view(U64)
     zeros = np.zeros(len(high) + 1, np.int64)
     np.cumsum(64 - np.bitwise_count(high).astype(np.int64), out=zeros[1:])
+    ones = np.arange(0, 64 * len(zeros), 64) - zeros
     low = np.zeros(n * bits // 64 + 2, U64)
     if bits and n:
         part = values & U64((1 << bits) - 1)
@@ -38,12 +41,12 @@ def encode(values: np.ndarray, name: str) -> dict[str, np.ndarray]:
         low[word[starts]] |= np.bitwise_or.reduceat(part << shift, starts)
         over = np.flatnonzero((at & 63) + bits > 64)
         low[word[over] + 1] |= part[over] >> (U64(64) - shift[over])  # one value at most runs over into each word
-    return {f"{name}.low": low, f"{name}.high": high, f"{name}.zeros": zeros, f"{name}.head": np.array([n, bits, top], np.int64)}
+    return {f"{name}.low": low, f"{name}.high": high, f"{name}.zeros": zeros, f"{name}.ones": ones, f"{name}.head": np.array([n, bits, top], np.int64)}
 
 
 class EliasFano:
     def __init__(self, arrays: dict[str, np.ndarray], name: str):
-        self.low, self.high, self.zeros = (arrays[f"{name}.{x}"] for x in ("low", "high", "zeros"))
+        self.low, self.high, self.zeros, self.ones = (arrays[f"{name}.{x}"] for x in ("low", "high", "zeros", "ones"))
         self.n, self.bits, self.top = (int(x) for x in arrays[f"{name}.head"])
 
     def _lower(self, at: np.ndarray) -> np.ndarray:
@@ -58,16 +61,17 @@ class EliasFano:
 
     def _select(self, k: np.ndarray, ones: bool) -> np.ndarray:
         """The place of the k-th one or zero of high."""
-        before = np.arange(0, 64 * len(self.zeros), 64) - self.zeros if ones else self.zeros
+        before = self.ones if ones else self.zeros
         word = np.searchsorted(before, k, "right") - 1
-        rest = k - before[word]
-        bits = np.ascontiguousarray(self.high[word] if ones else ~self.high[word])
-        parts = bits.view(np.uint8).reshape(-1, 8)
-        sums = np.cumsum(np.bitwise_count(parts), axis=1, dtype=np.int64)
-        byte = (sums <= rest[:, None]).sum(1)
-        row = np.arange(len(k))
-        rest = rest - np.where(byte > 0, sums[row, byte - 1], 0)
-        return word * 64 + byte * 8 + SELECT[parts[row, byte], rest]
+        rest = (k - before[word]).astype(U64)
+        bits = self.high[word] if ones else ~self.high[word]
+        sums = bits - ((bits >> U64(1)) & U64(0x5555555555555555))
+        sums = (sums & U64(0x3333333333333333)) + ((sums >> U64(2)) & U64(0x3333333333333333))
+        sums = ((sums + (sums >> U64(4))) & U64(0x0F0F0F0F0F0F0F0F)) * EACH  # each byte: the set bits up to its end
+        byte = np.bitwise_count(((rest * EACH | TOP) - sums) & TOP).astype(np.int64)  # the bytes whose sum is at most rest
+        shift = (byte * 8).astype(U64)
+        rest -= ((sums << U64(8)) >> shift) & U64(255)
+        return word * 64 + byte * 8 + SELECT[((bits >> shift) & U64(255)).astype(np.int64), rest.astype(np.int64)]
 
     def get(self, at: np.ndarray) -> np.ndarray:
         """Values by index."""
@@ -80,17 +84,28 @@ class EliasFano:
         return ((np.flatnonzero(flags)[: self.n] - at).astype(U64) << U64(self.bits)) | self._lower(at)
 
     def find(self, value: np.ndarray) -> np.ndarray:
-        """The index of the first element that is not less than each value (n if there is none)."""
+        """The index of the first element that is not less than each value (n if there is none). Sorted values cost less."""
         value = value.astype(U64)
+        if (value[1:] < value[:-1]).any():
+            order = np.argsort(value)
+            out = np.empty(len(value), np.int64)
+            out[order] = self.find(value[order])
+            return out
         out = np.full(len(value), self.n, np.int64)
-        live = np.flatnonzero(value <= U64(self.top)) if self.n else np.zeros(0, np.int64)
-        upper = (value[live] >> U64(self.bits)).astype(np.int64)
-        edges, inverse = np.unique(np.concatenate([upper - 1, upper]), return_inverse=True)
-        ends = np.zeros(len(edges), np.int64)
-        real = edges >= 0
-        ends[real] = self._select(edges[real], False) - edges[real]
-        at, end = ends[inverse[: len(live)]], ends[inverse[len(live) :]]
-        want = value[live] & U64((1 << self.bits) - 1)
+        live = int(np.searchsorted(value, U64(self.top), "right")) if self.n else 0
+        if not live:
+            return out
+        value = value[:live]
+        upper = (value >> U64(self.bits)).astype(np.int64)
+        fresh = np.concatenate([[True], upper[1:] != upper[:-1]])
+        part = upper[fresh]
+        end = self._select(part, False) - part
+        at = np.zeros(len(part), np.int64)
+        inner = slice(int(part[0] == 0), None)  # the first upper part begins at 0
+        at[inner] = self._select(part[inner] - 1, False) - part[inner] + 1
+        which = np.cumsum(fresh) - 1
+        at, end = at[which], end[which]
+        want = value & U64((1 << self.bits) - 1)
         todo = np.flatnonzero(at < end)
         while len(todo):  # halve the values of one upper part: few as a rule, many where a frequent context has many words
             middle = (at[todo] + end[todo]) >> 1
@@ -98,5 +113,5 @@ class EliasFano:
             at[todo[less]] = middle[less] + 1
             end[todo[~less]] = middle[~less]
             todo = todo[at[todo] < end[todo]]
-        out[live] = at
+        out[:live] = at
         return out

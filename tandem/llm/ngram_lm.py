@@ -236,19 +236,20 @@ class Trie:
         return np.log10((counts + 0.1) / (self.tokens + 0.1 * (self.words + 1)))
 
     def children(self, level: int, nodes: np.ndarray, words: np.ndarray) -> np.ndarray:
-        """The nodes of a level for pairs, sorted by node, of a node of the level before and a word; -1 if there is none."""
+        """The nodes of a level for pairs, sorted, of a node of the level before and a word; -1 if there is none."""
         out = np.full(len(nodes), -1, np.int64)
         offsets = self.offsets(level)
         for s, at, local in self._by_shard(level - 1, nodes):
             if not self.sizes[level - 1][s]:
                 continue
             part = self.part(level, s)
-            context, inverse = np.unique(local, return_inverse=True)
+            fresh = np.concatenate([[True], local[1:] != local[:-1]])
+            context, inverse = local[fresh], np.cumsum(fresh) - 1
             low, high = (part["begin"].get(context + i).astype(np.int64) for i in (0, 1))
             base = np.zeros(len(context), U64)
             base[low > 0] = part["word"].get(low[low > 0] - 1)
             low, high, base = low[inverse], high[inverse], base[inverse]
-            value = base + words[at].astype(U64) + U64(1)
+            value = base + (words[at] + 1).astype(U64)
             found = np.maximum(part["word"].find(value), low)
             ok = (found < high) & (words[at] >= 0)
             ok[ok] = part["word"].get(found[ok]) == value[ok]
@@ -263,41 +264,50 @@ class Trie:
             out[at] = part[name][local].astype(float) * -STEP
         return out
 
-    def score(self, context: np.ndarray, words: np.ndarray, levels: int) -> np.ndarray:
-        """log10 P(word | context) for rows of word numbers; context has the words before, last first, -1 beyond what is known.
+    def step(self, level: int, node: np.ndarray, words: np.ndarray, low: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray | None]:
+        """The nodes of a level for rows of a context node and a word (-1: none), and with low, the log10 probabilities by
+        shorter contexts, those by this one. Each distinct pair is looked up once."""
+        child = np.full(len(node), -1, np.int64)
+        live = np.flatnonzero(node >= 0)
+        order, first = _runs(node[live], words[live])
+        live, which = live[order], np.cumsum(first) - 1
+        a, b = node[live[first]], words[live[first]]
+        found = self.children(level, a, b)
+        child[live] = found[which]
+        if low is None:
+            return child, None
+        hit = np.flatnonzero(found >= 0)  # sorted, as their pairs are
+        probability, weight = np.full(len(a), np.nan), self._codes(level - 1, "weight", a)
+        probability[hit] = self._codes(level, "probability", found[hit])
+        low = low.copy()
+        low[live] = np.where(found[which] >= 0, probability[which], low[live] + weight[which])
+        return child, low
 
-        The rows are looked up once for each distinct pair of context and word.
-        """
+    def score(self, context: np.ndarray, words: np.ndarray, levels: int) -> np.ndarray:
+        """log10 P(word | context) for rows of word numbers; context has the words before, last first, -1 beyond what is known."""
         out = self._low(words)
         for level in range(2, levels + 1):
-            used = self.context_nodes(context[:, : level - 1])
-            live = np.flatnonzero(used >= 0)
-            live = live[np.lexsort((words[live], used[live]))]
-            a, b = used[live], words[live]
-            weight = self._codes(level - 1, "weight", a)
-            found = self.children(level, a, b)
-            value = out[live] + weight
-            hit = np.flatnonzero(found >= 0)
-            hit = hit[np.argsort(found[hit], kind="stable")]
-            value[hit] = self._codes(level, "probability", found[hit])
-            out[live] = value
+            out = self.step(level, self.context_nodes(context[:, : level - 1]), words, out)[1]
         return out
 
+    def score_texts(self, tokens: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each token its word number, base and log10 probability. The context of a token is the node of the token before, one level up."""
+        words, base = self.numbered(tokens)
+        score, node = base, self.before(tokens, words)
+        for level in range(2, len(self.sizes) + 1):
+            child, score = self.step(level, node, words, score)
+            node = _shifted(child, tokens, -1)
+        return words, base, score
+
     def _low(self, words: np.ndarray) -> np.ndarray:
         distinct, inverse = np.unique(words, return_inverse=True)
         return self.base(self.counts(distinct))[inverse]
 
     def context_nodes(self, context: np.ndarray) -> np.ndarray:
         """The node of each row's context (its words, last first); -1 if it is not in the trie."""
-        node = context[:, -1].copy()
+        node = context[:, -1]
         for level in range(2, context.shape[1] + 1):
-            word = context[:, -level]
-            node[word < 0] = -1
-            live = np.flatnonzero(node >= 0)
-            live = live[np.lexsort((word[live], node[live]))]
-            found = np.full(len(node), -1, np.int64)
-            found[live] = self.children(level, node[live], word[live])
-            node = found
+            node = self.step(level, node, context[:, -level])[0]
         return node
 
     def way(self, level: int, shard: int) -> np.ndarray:
@@ -312,20 +322,34 @@ class Trie:
         base = np.concatenate([[U64(0)], value])[edges[:-1]]
         return np.concatenate([(value - base[node] - U64(1)).astype(np.int64)[:, None], self.way(level - 1, shard)[node]], 1)
 
-    def rows(self, tokens: Tokens, length: int) -> tuple[np.ndarray, np.ndarray]:
-        """Word numbers of a block's tokens and of the ``length`` tokens before each (last first).
-
-        Before the first word stands the end token, as the start of every text.
-        """
+    def numbered(self, tokens: Tokens) -> tuple[np.ndarray, np.ndarray]:
+        """Word numbers of a block's tokens, and their base probabilities."""
         distinct, inverse = np.unique(tokens.hash, return_inverse=True)
-        words = self.numbers(distinct)[inverse]
-        start = int(self.numbers(np.array([END], U64))[0])
-        context = np.full((len(words), length), -1, np.int64)
-        for back in range(1, length + 1):
-            at = np.flatnonzero(tokens.place >= back)
-            context[at, back - 1] = words[at - back]
-            context[tokens.place == back - 1, back - 1] = start
-        return words, context
+        words = self.numbers(distinct)
+        return words[inverse], self._low(words)[inverse]
+
+    def before(self, tokens: Tokens, words: np.ndarray) -> np.ndarray:
+        """The word number before each token; before the first stands the end token, as the start of every text."""
+        return _shifted(words, tokens, int(self.numbers(np.array([END], U64))[0]))
+
+
+def _shifted(values: np.ndarray, tokens: Tokens, start: int) -> np.ndarray:
+    """The value of the token before, start for the first of a text."""
+    return np.where(tokens.place > 0, np.concatenate([[start], values[:-1]])[: len(values)], start)
+
+
+def _runs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order by (a, b), and which rows in it are the first of their pair."""
+    if not len(a):
+        return np.zeros(0, np.int64), np.zeros(0, bool)
+    if max(int(a.max()), int(b.max()) + 1) >> 31:
+        order = np.lexsort((b, a))
+        a, b = a[order], b[order]
+        return order, np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+    key = (a << 32) | (b + 1)
+    order = np.argsort(key)
+    key = key[order]
+    return order, np.concatenate([[True], key[1:] != key[:-1]])
 
 
 def _pairs(trie: Trie, level: int):
@@ -337,16 +361,18 @@ def _pairs(trie: Trie, level: int):
         return _blobs(shard, [(node - offsets[shard]).astype(np.uint32), word.astype(np.int64) if trie.words >> 32 else word.astype(np.uint32), count.astype(np.uint32)], trie.shards)
 
     def summed(node, word, count):
-        order = np.lexsort((word, node)) if max(trie.words, offsets[-1]) >> 32 else np.argsort((node << 32) | word)
-        node, word, count = node[order], word[order], count[order]
-        begin = np.flatnonzero(np.concatenate([[True], (node[1:] != node[:-1]) | (word[1:] != word[:-1])]))
-        return node[begin], word[begin], np.add.reduceat(count, begin)
+        order, first = _runs(node, word)
+        begin = np.flatnonzero(first)
+        return node[order[begin]], word[order[begin]], np.add.reduceat(count[order], begin)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = []
         for _, data, offsets_ in text_blocks(batches, "text", 1 << 22):
-            words, context = trie.rows(Tokens(data, offsets_), level - 1)
-            node = trie.context_nodes(context)
+            tokens = Tokens(data, offsets_)
+            words, _ = trie.numbered(tokens)
+            node = trie.before(tokens, words)
+            for upper in range(2, level):
+                node = _shifted(trie.step(upper, node, words)[0], tokens, -1)
             good = node >= 0  # a context that would begin before the start of the text has none
             if good.any():
                 held.append(summed(node[good], words[good], np.ones(int(good.sum()), np.int64)))
@@ -366,10 +392,9 @@ def _build_level(trie: Trie, level: int):
         shard = table.column("shard")[0].as_py()
         join = lambda c, k: np.concatenate([np.frombuffer(x.as_buffer(), k) for x in table.column(c)])
         node, word, count = join("a", np.uint32).astype(np.int64), join("b", kind).astype(np.int64), join("c", np.uint32).astype(np.int64)
-        order = np.lexsort((word, node)) if trie.words >> 32 else np.argsort((node << 32) | word)
-        node, word, count = node[order], word[order], count[order]
-        begin = np.flatnonzero(np.concatenate([[True], (node[1:] != node[:-1]) | (word[1:] != word[:-1])]))
-        node, word, count = node[begin], word[begin], np.add.reduceat(count, begin)
+        order, first = _runs(node, word)
+        begin = np.flatnonzero(first)
+        node, word, count = node[order[begin]], word[order[begin]], np.add.reduceat(count[order], begin)
         contexts = trie.sizes[level - 2][shard]
         total, kinds = np.bincount(node, count, contexts), np.bincount(node, minlength=contexts)
         pull = trie.prior * kinds
@@ -408,18 +433,17 @@ def train(texts: DataFrame, order: int = 2, prior: float = 1.0) -> Trie:
     fs, own = pa.fs.FileSystem.from_uri(path)
     fs.create_dir(own, recursive=True)
     found = texts.mapInArrow(_words(shards), "shard long, a binary, b binary").groupBy("shard").applyInArrow(_build_words(path, shards), BUILT)
-    built = {r.shard: r for r in found.toLocalIterator()}
+    built = {r.shard: r for r in found.collect()}
     trie = Trie(path, shards, prior, sum(r.tokens for r in built.values()), [[built[s].nodes if s in built else 0 for s in range(shards)]])
     for level in range(2, order + 1):
         found = texts.mapInArrow(_pairs(trie, level), "shard long, a binary, b binary, c binary")
-        built = {r.shard: r.nodes for r in found.groupBy("shard").applyInArrow(_build_level(trie, level), BUILT).toLocalIterator()}
+        built = {r.shard: r.nodes for r in found.groupBy("shard").applyInArrow(_build_level(trie, level), BUILT).collect()}
         trie = Trie(path, shards, prior, trie.tokens, [*trie.sizes, [built.get(s, 0) for s in range(shards)]])
     return trie
 
 
 def lm_score(docs: DataFrame, trie: Trie) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score and score of each row of docs."""
-    levels = len(trie.sizes)
     sent = docs.sparkSession.sparkContext.broadcast(trie)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -427,11 +451,7 @@ def lm_score(docs: DataFrame, trie: Trie) -> DataFrame:
         for rows, data, offsets in text_blocks(batches, "text", 1 << 22):
             tokens = Tokens(data, offsets)
             n = rows.num_rows
-            words, context = known.rows(tokens, max(1, levels - 1))
-            base = known._low(words)
-            score = base
-            if levels > 1:
-                score = known.score(context, words, levels)
+            words, base, score = known.score_texts(tokens)
             sums = lambda x: np.bincount(tokens.doc, x, n)  # noqa: B023, E731
             yield pa.RecordBatch.from_arrays(
                 [
