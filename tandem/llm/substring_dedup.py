@@ -105,7 +105,7 @@ def bitmap(hashes: DataFrame, bits: int) -> np.ndarray:
     index = hashes.select(F.shiftrightunsigned("hash", 64 - bits).alias("index")).distinct()
     out = np.zeros((1 << parts, 1 << 14), np.uint8)
     spread = index.repartition(F.shiftright("index", 17))
-    for row in spread.mapInArrow(blocks, "part long, flags binary").toLocalIterator():
+    for row in spread.mapInArrow(blocks, "part long, flags binary").collect():  # 2**bits bits in all
         out[row.part] |= np.frombuffer(row.flags, np.uint8)
     return out.reshape(-1)
 
