@@ -85,26 +85,34 @@ class EliasFano:
 
     def find(self, value: np.ndarray) -> np.ndarray:
         """The index of the first element that is not less than each value (n if there is none). Sorted values cost less."""
+        return self._search(value)[0]
+
+    def index(self, value: np.ndarray) -> np.ndarray:
+        """The index of the first element that equals each value, -1 if there is none."""
+        at, equal = self._search(value)
+        return np.where(equal, at, -1)
+
+    def _search(self, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         value = value.astype(U64)
+        out, equal = np.full(len(value), self.n, np.int64), np.zeros(len(value), bool)
         if (value[1:] < value[:-1]).any():
             order = np.argsort(value)
-            out = np.empty(len(value), np.int64)
-            out[order] = self.find(value[order])
-            return out
-        out = np.full(len(value), self.n, np.int64)
+            out[order], equal[order] = self._search(value[order])
+            return out, equal
         live = int(np.searchsorted(value, U64(self.top), "right")) if self.n else 0
         if not live:
-            return out
+            return out, equal
         value = value[:live]
         upper = (value >> U64(self.bits)).astype(np.int64)
         fresh = np.concatenate([[True], upper[1:] != upper[:-1]])
         part = upper[fresh]
-        end = self._select(part, False) - part
+        last = self._select(part, False) - part
         at = np.zeros(len(part), np.int64)
         inner = slice(int(part[0] == 0), None)  # the first upper part begins at 0
         at[inner] = self._select(part[inner] - 1, False) - part[inner] + 1
         which = np.cumsum(fresh) - 1
-        at, end = at[which], end[which]
+        at, last = at[which], last[which]
+        end = last.copy()
         want = value & U64((1 << self.bits) - 1)
         todo = np.flatnonzero(at < end)
         while len(todo):  # halve the values of one upper part: few as a rule, many where a frequent context has many words
@@ -114,4 +122,6 @@ class EliasFano:
             end[todo[~less]] = middle[~less]
             todo = todo[at[todo] < end[todo]]
         out[:live] = at
-        return out
+        inside = np.flatnonzero(at < last)
+        equal[inside] = self._lower(at[inside]) == want[inside]
+        return out, equal

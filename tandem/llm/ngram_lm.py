@@ -54,6 +54,7 @@ END = U64(0x5851F42D4C957F2D)
 STEP = 1 / 4096
 SHARD_BYTES = 16 << 20
 FLUSH = 1_500_000
+PIECE = 1 << 20
 
 
 # Files
@@ -116,7 +117,13 @@ class Tokens:
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
         data = LOWER[data]
         starts, ends, first = cut(data, offsets, SPACE)
-        words = word_hashes(data, starts, ends)
+        # by pieces, so that the powers that hashing uses stay few and are kept
+        edges = np.searchsorted(starts, np.arange(0, len(data) + PIECE, PIECE))
+        words = np.empty(len(starts), U64)
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            if a < b:
+                at = starts[a]
+                words[a:b] = word_hashes(data[at : ends[b - 1]], starts[a:b] - at, ends[a:b] - at)
         words[words == END] = END + U64(1)
         n = len(offsets) - 1
         self.first = first + np.arange(n + 1)
@@ -128,11 +135,25 @@ class Tokens:
         self.place = np.arange(len(self.hash)) - self.first[self.doc]
 
 
-def _blobs(shard: np.ndarray, arrays: list[np.ndarray], shards: int) -> pa.RecordBatch:
-    """One row for each shard: its part of some arrays that are sorted by shard."""
+def _planes(x: np.ndarray) -> bytes:
+    """Integers as bytes, the lowest byte of each first: the upper ones are mostly zero and compress well."""
+    return x.view(np.uint8).reshape(len(x), -1).T.tobytes()
+
+
+def _from_planes(parts: pa.ChunkedArray, kind: type) -> list[np.ndarray]:
+    return [np.ascontiguousarray(np.frombuffer(x.as_buffer(), np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel() for x in parts]
+
+
+def _steps(x: np.ndarray) -> bytes:
+    """Sorted integers by their differences."""
+    return _planes(np.diff(x, prepend=x.dtype.type(0)))
+
+
+def _blobs(shard: np.ndarray, arrays: list[np.ndarray], shards: int, pack: tuple = (np.ndarray.tobytes,) * 3) -> pa.RecordBatch:
+    """One row for each shard: its part of some arrays that are sorted by shard, each packed its way."""
     edges = np.searchsorted(shard, np.arange(shards + 1))
     live = np.flatnonzero(np.diff(edges))
-    parts = [[x[edges[s] : edges[s + 1]].tobytes() for s in live] for x in arrays]
+    parts = [[way(x[edges[s] : edges[s + 1]]) for s in live] for x, way in zip(arrays, pack, strict=False)]
     return pa.RecordBatch.from_arrays([pa.array(live, pa.int64()), *(pa.array(p, pa.binary()) for p in parts)], names=["shard", *"abc"[: len(arrays)]])
 
 
@@ -217,10 +238,8 @@ class Trie:
                 at = slice(edges[s], edges[s + 1])
                 keys = self.part(1, s)["key"]
                 value = hashes[at] - U64(int(s) << (64 - bits) if bits else 0)
-                found = keys.find(value)
-                ok = found < keys.n
-                ok[ok] = keys.get(found[ok]) == value[ok]
-                out[at] = np.where(ok, found + offsets[s], -1)
+                found = keys.index(value)
+                out[at] = np.where(found >= 0, found + offsets[s], -1)
         return out
 
     def counts(self, words: np.ndarray) -> np.ndarray:
@@ -250,9 +269,8 @@ class Trie:
             base[low > 0] = part["word"].get(low[low > 0] - 1)
             low, high, base = low[inverse], high[inverse], base[inverse]
             value = base + (words[at] + 1).astype(U64)
-            found = np.maximum(part["word"].find(value), low)
-            ok = (found < high) & (words[at] >= 0)
-            ok[ok] = part["word"].get(found[ok]) == value[ok]
+            found = part["word"].index(value)
+            ok = (found >= low) & (found < high) & (words[at] >= 0)
             out[at] = np.where(ok, found + offsets[s], -1)
         return out
 
@@ -358,7 +376,7 @@ def _pairs(trie: Trie, level: int):
 
     def out(node, word, count):
         shard = np.searchsorted(offsets, node, "right") - 1
-        return _blobs(shard, [(node - offsets[shard]).astype(np.uint32), word.astype(np.int64) if trie.words >> 32 else word.astype(np.uint32), count.astype(np.uint32)], trie.shards)
+        return _blobs(shard, [(node - offsets[shard]).astype(np.uint32), word.astype(np.int64) if trie.words >> 32 else word.astype(np.uint32), count.astype(np.uint32)], trie.shards, (_steps, _planes, _planes))
 
     def summed(node, word, count):
         order, first = _runs(node, word)
@@ -390,8 +408,8 @@ def _build_level(trie: Trie, level: int):
 
     def run(table: pa.Table) -> pa.Table:
         shard = table.column("shard")[0].as_py()
-        join = lambda c, k: np.concatenate([np.frombuffer(x.as_buffer(), k) for x in table.column(c)])
-        node, word, count = join("a", np.uint32).astype(np.int64), join("b", kind).astype(np.int64), join("c", np.uint32).astype(np.int64)
+        node = np.concatenate([np.cumsum(x, dtype=np.int64) for x in _from_planes(table.column("a"), np.uint32)])
+        word, count = (np.concatenate(_from_planes(table.column(c), k)).astype(np.int64) for c, k in (("b", kind), ("c", np.uint32)))
         order, first = _runs(node, word)
         begin = np.flatnonzero(first)
         node, word, count = node[order[begin]], word[order[begin]], np.add.reduceat(count[order], begin)
