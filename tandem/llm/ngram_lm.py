@@ -166,7 +166,8 @@ def _words(shards: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts = np.zeros(0, U64), np.zeros(0, np.int64)
         for _, data, offsets in text_blocks(batches, "text"):
-            own, n = np.unique(Tokens(data, offsets).hash, return_counts=True)
+            own = Tokens(data, offsets).hash
+            own, n = sums_by_key(own, np.ones(len(own), np.int64))
             keys, counts = sums_by_key(np.concatenate([keys, own]), np.concatenate([counts, n]))
             if len(keys) > FLUSH:
                 yield out(keys, counts)
@@ -318,7 +319,7 @@ class Trie:
         return words, base, score
 
     def _low(self, words: np.ndarray) -> np.ndarray:
-        distinct, inverse = np.unique(words, return_inverse=True)
+        distinct, inverse = _distinct(words)
         return self.base(self.counts(distinct))[inverse]
 
     def context_nodes(self, context: np.ndarray) -> np.ndarray:
@@ -342,7 +343,7 @@ class Trie:
 
     def numbered(self, tokens: Tokens) -> tuple[np.ndarray, np.ndarray]:
         """Word numbers of a block's tokens, and their base probabilities."""
-        distinct, inverse = np.unique(tokens.hash, return_inverse=True)
+        distinct, inverse = _distinct(tokens.hash)
         words = self.numbers(distinct)
         return words[inverse], self._low(words)[inverse]
 
@@ -356,6 +357,17 @@ def _shifted(values: np.ndarray, tokens: Tokens, start: int) -> np.ndarray:
     return np.where(tokens.place > 0, np.concatenate([[start], values[:-1]])[: len(values)], start)
 
 
+def _distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values, sorted, and the place of each value among them (by a plain sort, faster here than np.unique)."""
+    order = np.argsort(values)
+    held = values[order]
+    fresh = np.ones(len(held), bool)
+    fresh[1:] = held[1:] != held[:-1]
+    inverse = np.empty(len(held), np.int64)
+    inverse[order] = np.cumsum(fresh) - 1
+    return held[fresh], inverse
+
+
 def _runs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The order by (a, b), and which rows in it are the first of their pair."""
     if not len(a):
