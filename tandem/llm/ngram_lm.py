@@ -13,9 +13,13 @@ one end. The trie has a level for each n-gram length up to ``order``:
   context the weight of the shorter context, both quantised to 1/4096.
 
 All sequences are Elias-Fano coded. The trie is cut into shards by the hash of
-the first word, so a shard holds whole subtrees; each shard of each level is
-built by one task from counts already summed by task, written as one file to
-the shared folder, and memory-mapped by every worker that scores.
+the first word, so a shard holds whole subtrees. The texts are read twice: for
+the words, then for the n-grams of all levels, which point to each other by their
+places in the sorted lists that a task sums, so that no count is looked up in the
+trie. One task builds the sequences of a shard from these lists; then the
+probabilities are added level by level, as they need the level before in all
+shards. The files are in the shared folder, memory-mapped by every worker that
+scores.
 
 Smoothing is Witten-Bell: ``P(w|c) = (n(c,w) + k T(c) P(w|c')) / (n(c) + k T(c))``,
 n: counts, T: distinct following words, c': the context without its first word,
@@ -137,7 +141,7 @@ class Tokens:
 
 def _planes(x: np.ndarray) -> bytes:
     """Integers as bytes, the lowest byte of each first: the upper ones are mostly zero and compress well."""
-    return x.view(np.uint8).reshape(len(x), -1).T.tobytes()
+    return x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
 
 
 def _from_planes(parts: pa.ChunkedArray, kind: type) -> list[np.ndarray]:
@@ -149,11 +153,11 @@ def _steps(x: np.ndarray) -> bytes:
     return _planes(np.diff(x, prepend=x.dtype.type(0)))
 
 
-def _blobs(shard: np.ndarray, arrays: list[np.ndarray], shards: int, pack: tuple = (np.ndarray.tobytes,) * 3) -> pa.RecordBatch:
-    """One row for each shard: its part of some arrays that are sorted by shard, each packed its way."""
+def _blobs(shard: np.ndarray, arrays: list[np.ndarray], shards: int) -> pa.RecordBatch:
+    """One row for each shard: its part of some arrays that are sorted by shard."""
     edges = np.searchsorted(shard, np.arange(shards + 1))
     live = np.flatnonzero(np.diff(edges))
-    parts = [[way(x[edges[s] : edges[s + 1]]) for s in live] for x, way in zip(arrays, pack, strict=False)]
+    parts = [[x[edges[s] : edges[s + 1]].tobytes() for s in live] for x in arrays]
     return pa.RecordBatch.from_arrays([pa.array(live, pa.int64()), *(pa.array(p, pa.binary()) for p in parts)], names=["shard", *"abc"[: len(arrays)]])
 
 
@@ -213,6 +217,7 @@ class Trie:
         return np.concatenate([[0], np.cumsum(self.sizes[level - 1])])
 
     def part(self, level: int, shard: int) -> dict:
+        """The sequences of a shard, and the counts of its nodes (level 1) or as stored by _build_shapes()."""
         key = level, shard
         if key not in self.open:
             arrays = read_arrays(f"{self.path}/{level}-{shard}")
@@ -220,6 +225,13 @@ class Trie:
             self.open[key] = arrays | {name: EliasFano(arrays, name) for name in names}
         return self.open[key]
 
+    def values(self, level: int, shard: int) -> dict[str, np.ndarray]:
+        """What stands beside the nodes of a level (probability) and their contexts (weight)."""
+        key = level, shard, "values"
+        if key not in self.open:
+            self.open[key] = read_arrays(f"{self.path}/{level}-{shard}-values")
+        return self.open[key]
+
     def _by_shard(self, level: int, nodes: np.ndarray):
         """Runs of a sorted array of nodes that lie in one shard: shard, slice, numbers within the shard."""
         offsets = self.offsets(level)
@@ -279,8 +291,8 @@ class Trie:
         """Quantised values beside sorted nodes."""
         out = np.zeros(len(nodes))
         for s, at, local in self._by_shard(level, nodes):
-            part = self.part(level if name == "probability" else level + 1, s)
-            out[at] = part[name][local].astype(float) * -STEP
+            values = self.values(level if name == "probability" else level + 1, s)
+            out[at] = values[name][local].astype(float) * -STEP
         return out
 
     def step(self, level: int, node: np.ndarray, words: np.ndarray, low: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray | None]:
@@ -376,74 +388,145 @@ def _runs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         order = np.lexsort((b, a))
         a, b = a[order], b[order]
         return order, np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
-    key = (a << 32) | (b + 1)
+    key = (a.astype(np.int64) << 32) | (b.astype(np.int64) + 1)
     order = np.argsort(key)
     key = key[order]
     return order, np.concatenate([[True], key[1:] != key[:-1]])
 
 
-def _pairs(trie: Trie, level: int):
-    """Counts of (context node, word) of a level, as blobs by shard: node within the shard, word, count."""
-    offsets = trie.offsets(level - 1)
+# Counts by level: for each level from 2 its distinct pairs, sorted, of a context and a word, and their counts. At level 2
+# a context is a node of level 1, above it is the place of a pair in the list of the level before.
+Counts = list[tuple[np.ndarray, np.ndarray, np.ndarray]]
 
-    def out(node, word, count):
-        shard = np.searchsorted(offsets, node, "right") - 1
-        return _blobs(shard, [(node - offsets[shard]).astype(np.uint32), word.astype(np.int64) if trie.words >> 32 else word.astype(np.uint32), count.astype(np.uint32)], trie.shards, (_steps, _planes, _planes))
 
-    def summed(node, word, count):
-        order, first = _runs(node, word)
+def _counted(trie: Trie, tokens: Tokens, order: int) -> Counts:
+    """The counts of a block. A context that would begin before the start of the text has none."""
+    words = trie.numbered(tokens)[0]
+    node, out = trie.before(tokens, words), []
+    for _ in range(2, order + 1):
+        live = np.flatnonzero(node >= 0)
+        rows, first = _runs(node[live], words[live])
+        begin, live = np.flatnonzero(first), live[rows]
+        at = live[begin]
+        out.append((_small(node[at], trie), _small(words[at], trie), np.diff(begin, append=len(live)).astype(np.uint32)))
+        node, child = np.full(len(words), -1, np.int64), np.cumsum(first) - 1
+        node[live] = child
+        node = _shifted(node, tokens, -1)
+    return out
+
+
+def _small(x: np.ndarray, trie: Trie) -> np.ndarray:
+    return x.astype(np.int64 if trie.words >> 32 else np.uint32)
+
+
+def _joined(parts: list[Counts]) -> Counts:
+    """The counts of several parts as those of one."""
+    out, place = [], None
+    for level in zip(*parts, strict=True):
+        context, word, count = map(np.concatenate, zip(*level, strict=True))
+        if place is not None:  # each part's contexts follow those of the part before
+            context = place[context + np.repeat(starts, [len(x[0]) for x in level])]  # noqa: F821
+        starts = np.cumsum([0, *(len(x[0]) for x in level[:-1])])
+        rows, first = _runs(context, word)
         begin = np.flatnonzero(first)
-        return node[order[begin]], word[order[begin]], np.add.reduceat(count[order], begin)
+        place = np.empty(len(rows), np.int64)
+        place[rows] = np.cumsum(first) - 1
+        out.append((context[rows[begin]], word[rows[begin]], np.add.reduceat(count[rows], begin) if len(begin) else count))
+    return out
+
+
+def _grams(trie: Trie, order: int):
+    """Counts of all levels, as blobs by shard: for each level the context within the shard, word, count."""
+    offsets = trie.offsets(1)
+
+    def out(counts):
+        edges, parts, base = None, [], offsets
+        for context, word, count in counts:
+            edges = np.searchsorted(context, offsets if edges is None else edges)
+            within = context - np.repeat(base[:-1], np.diff(edges))
+            parts.append((edges, (within.astype(np.uint32), word, count.astype(np.uint32))))
+            base = edges
+        live = np.flatnonzero(np.diff(parts[0][0]))
+        blobs = [
+            pa.array([way(x[edges[s] : edges[s + 1]]) for s in live], pa.binary())
+            for edges, arrays in parts for x, way in zip(arrays, (_steps, _planes, _planes), strict=True)
+        ]
+        batch = pa.RecordBatch.from_arrays([pa.array(live, pa.int64()), *blobs], names=["shard", *_columns(order)])
+        for at in range(0, len(live), 8):
+            yield batch.slice(at, 8)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = []
+        held, size = [], 0
         for _, data, offsets_ in text_blocks(batches, "text", 1 << 22):
-            tokens = Tokens(data, offsets_)
-            words, _ = trie.numbered(tokens)
-            node = trie.before(tokens, words)
-            for upper in range(2, level):
-                node = _shifted(trie.step(upper, node, words)[0], tokens, -1)
-            good = node >= 0  # a context that would begin before the start of the text has none
-            if good.any():
-                held.append(summed(node[good], words[good], np.ones(int(good.sum()), np.int64)))
-            if sum(len(x[0]) for x in held) > 2 * FLUSH:
-                yield out(*summed(*map(np.concatenate, zip(*held, strict=True))))
-                held = []
+            held.append(_counted(trie, Tokens(data, offsets_), order))
+            size += max(len(x[0]) for x in held[-1])
+            if size > 2 * FLUSH:
+                yield from out(_joined(held))
+                held, size = [], 0
         if held:
-            yield out(*summed(*map(np.concatenate, zip(*held, strict=True))))
+            yield from out(_joined(held))
 
     return run
 
 
-def _build_level(trie: Trie, level: int):
+def _columns(order: int) -> list[str]:
+    return [f"{x}{level}" for level in range(2, order + 1) for x in "abc"]
+
+
+def _build_shapes(trie: Trie, order: int):
+    """Sums the counts of a shard and writes the sequences of each level, with the counts: in a byte each, large ones beside."""
     kind = np.int64 if trie.words >> 32 else np.uint32
 
     def run(table: pa.Table) -> pa.Table:
         shard = table.column("shard")[0].as_py()
-        node = np.concatenate([np.cumsum(x, dtype=np.int64) for x in _from_planes(table.column("a"), np.uint32)])
-        word, count = (np.concatenate(_from_planes(table.column(c), k)).astype(np.int64) for c, k in (("b", kind), ("c", np.uint32)))
-        order, first = _runs(node, word)
-        begin = np.flatnonzero(first)
-        node, word, count = node[order[begin]], word[order[begin]], np.add.reduceat(count[order], begin)
-        contexts = trie.sizes[level - 2][shard]
-        total, kinds = np.bincount(node, count, contexts), np.bincount(node, minlength=contexts)
+        levels = []
+        for level in range(2, order + 1):
+            a, b, c = (_from_planes(table.column(f"{x}{level}"), k) for x, k in (("a", np.uint32), ("b", kind), ("c", np.uint32)))
+            levels.append([(np.cumsum(x, dtype=np.int64), y, z.astype(np.int64)) for x, y, z in zip(a, b, c, strict=True)])
+        contexts, sizes = trie.sizes[0][shard], []
+        for level, (node, word, count) in enumerate(_joined(list(zip(*levels, strict=True))), 2):
+            kinds = np.bincount(node, minlength=contexts)
+            edges = np.concatenate([[0], np.cumsum(kinds)])
+            last = np.zeros(contexts, U64)
+            live = kinds > 0
+            last[live] = word[edges[1:][live] - 1].astype(U64) + U64(1)
+            base = np.concatenate([[U64(0)], np.cumsum(last)[:-1]])
+            large = np.flatnonzero(count > 254)
+            arrays = encode(edges, "begin") | encode(base[node] + word.astype(U64) + U64(1), "word")
+            write_arrays(f"{trie.path}/{level}-{shard}", arrays | {"count": np.minimum(count, 255).astype(np.uint8), "large": large, "large.count": count[large]})
+            contexts = len(node)
+            sizes.append(contexts)
+        return pa.table({"shard": [shard], "nodes": pa.array([sizes], pa.list_(pa.int64()))})
+
+    return run
+
+
+def _build_values(trie: Trie, level: int):
+    """Writes the probabilities and weights of a level; those of the level before are there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for shard in batch.column(0).to_pylist():
+                build(shard)
+            yield batch
+
+    def build(shard):
+        if not trie.sizes[0][shard]:
+            return
+        part, contexts = trie.part(level, shard), trie.sizes[level - 2][shard]
+        count = part["count"].astype(np.int64)
+        count[part["large"]] = part["large.count"]
+        kinds = np.diff(part["begin"].all().astype(np.int64))
+        node = np.repeat(np.arange(contexts), kinds)
+        total = np.bincount(node, count, contexts)
         pull = trie.prior * kinds
-        if level == 2:
-            low = trie._low(word)
-        else:  # the context without its first word: the words on the way to this node
-            way = trie.way(level - 1, shard)[node]
-            low = trie.score(way[:, : level - 2], word, level - 1)
+        way = trie.way(level, shard)
+        # the context without its first word: the words on the way to this node
+        low = trie._low(way[:, 0]) if level == 2 else trie.score(way[:, 1 : level - 1], way[:, 0], level - 1)
         probability = np.log10((count + pull[node] * 10.0**low) / (total[node] + pull[node]))
         weight = np.where(kinds > 0, np.log10(np.maximum(pull, 1e-300) / np.maximum(total + pull, 1e-300)), 0.0)
-        edges = np.concatenate([[0], np.cumsum(kinds)])
-        last = np.zeros(contexts, U64)
-        live = kinds > 0
-        last[live] = word[edges[1:][live] - 1].astype(U64) + U64(1)
-        base = np.concatenate([[U64(0)], np.cumsum(last)[:-1]])
         code = lambda x: np.round(np.clip(-x / STEP, 0, 65535)).astype(np.uint16)
-        arrays = encode(edges, "begin") | encode(base[node] + word.astype(U64) + U64(1), "word")
-        write_arrays(f"{trie.path}/{level}-{shard}", arrays | {"probability": code(probability), "weight": code(weight)})
-        return pa.table({"shard": [shard], "nodes": [len(node)], "tokens": [int(count.sum())]})
+        write_arrays(f"{trie.path}/{level}-{shard}-values", {"probability": code(probability), "weight": code(weight)})
 
     return run
 
@@ -465,10 +548,13 @@ def train(texts: DataFrame, order: int = 2, prior: float = 1.0) -> Trie:
     found = texts.mapInArrow(_words(shards), "shard long, a binary, b binary").groupBy("shard").applyInArrow(_build_words(path, shards), BUILT)
     built = {r.shard: r for r in found.collect()}
     trie = Trie(path, shards, prior, sum(r.tokens for r in built.values()), [[built[s].nodes if s in built else 0 for s in range(shards)]])
-    for level in range(2, order + 1):
-        found = texts.mapInArrow(_pairs(trie, level), "shard long, a binary, b binary, c binary")
-        built = {r.shard: r.nodes for r in found.groupBy("shard").applyInArrow(_build_level(trie, level), BUILT).collect()}
-        trie = Trie(path, shards, prior, trie.tokens, [*trie.sizes, [built.get(s, 0) for s in range(shards)]])
+    if order > 1:
+        found = texts.mapInArrow(_grams(trie, order), ", ".join(["shard long", *(f"{c} binary" for c in _columns(order))]))
+        built = {r.shard: r.nodes for r in found.groupBy("shard").applyInArrow(_build_shapes(trie, order), "shard long, nodes array<long>").collect()}
+        none = [0] * (order - 1)
+        trie = Trie(path, shards, prior, trie.tokens, trie.sizes + [list(x) for x in zip(*(built.get(s, none) for s in range(shards)), strict=True)])
+    for level in range(2, order + 1):  # a level's values need those of the level before, of all shards
+        spark.range(0, shards, 1, shards).mapInArrow(_build_values(trie, level), "id long").count()
     return trie
 
 

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tandem.llm import language_id, quality_classifier
+from tandem.llm import language_id, ngram_lm, quality_classifier
 from tandem.llm.ngram_lm import lm_score, train
 from tandem.llm.queries import op2_ngram_lm, op4_quality_classifier, op5_language_id
 
@@ -74,6 +74,36 @@ def test_lm_edges(frame):
         train(frame([]), 0)
 
 
+def test_lm_reads(frame, spark):
+    """The size, the words and the n-grams of all levels: each row is read three times, whatever the order."""
+    rows = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def seen(text):
+        rows.add(1)
+        return text
+
+    texts = frame([(i, f"a b c {i}") for i in range(40)]).select("doc_id", seen("text").alias("text"))
+    assert train(texts, 4).words == 44 and rows.value == 3 * 40
+
+
+def test_lm_joined():
+    rng = np.random.default_rng(8)
+    parts, pairs, triples = [], collections.Counter(), collections.Counter()
+    for n in (300, 0, 1, 500):
+        grams = [tuple(x) for x in rng.integers(0, 9, (n, 3)).tolist()]
+        two, three = collections.Counter(x[:2] for x in grams), collections.Counter(grams)
+        pairs, triples = pairs + two, triples + three
+        place = {x: i for i, x in enumerate(sorted(two))}
+        table = lambda x: tuple(np.array(x, np.uint32).reshape(-1, 3).T)
+        parts.append([table([(*x, two[x]) for x in sorted(two)]), table([(place[x[:2]], x[2], three[x]) for x in sorted(three)])])
+    two, three = ngram_lm._joined(parts)
+    found = list(zip(two[0].tolist(), two[1].tolist(), strict=True))
+    assert found == sorted(pairs) and two[2].tolist() == [pairs[x] for x in found]
+    grams = [(*found[i], w) for i, w in zip(three[0].tolist(), three[1].tolist(), strict=True)]
+    assert grams == sorted(triples) and three[2].tolist() == [triples[x] for x in grams]
+
+
 def test_lm_sums_to_one(frame):
     model = train(frame([(1, "a b a c"), (2, "a b")]), 2)
     brute = Brute(["a b a c", "a b"], 2)
