@@ -55,9 +55,9 @@ class EliasFano:
         place = at * self.bits
         word, shift = place >> 6, (place & 63).astype(U64)
         out = self.low[word] >> shift
-        over = shift > 0
-        out[over] |= self.low[word[over] + 1] << (U64(64) - shift[over])
-        return out & U64((1 << self.bits) - 1)
+        out |= (self.low[word + 1] << U64(1)) << (U64(63) - shift)  # the word after the last is there
+        out &= U64((1 << self.bits) - 1)
+        return out
 
     def _select(self, k: np.ndarray, ones: bool) -> np.ndarray:
         """The place of the k-th one or zero of high."""
@@ -73,11 +73,35 @@ class EliasFano:
         rest -= ((sums << U64(8)) >> shift) & U64(255)
         return word * 64 + byte * 8 + SELECT[((bits >> shift) & U64(255)).astype(np.int64), rest.astype(np.int64)]
 
+    def _next(self, place: np.ndarray, k: np.ndarray, ones: bool) -> np.ndarray:
+        """The place of the k-th one or zero, from that of the one before: looked for in the bits up to 64 places on."""
+        place = place + 1
+        word, shift = place >> 6, (place & 63).astype(U64)
+        after = self.high[np.minimum(word + 1, len(self.high) - 1)]
+        bits = self.high[np.minimum(word, len(self.high) - 1)] >> shift
+        bits |= (after << U64(1)) << (U64(63) - shift)
+        if not ones:
+            bits = ~bits
+        gap = np.bitwise_count(~bits & (bits - U64(1))).astype(np.int64)
+        out = place + gap
+        far = np.flatnonzero((gap == 64) | (out >= 64 * len(self.high)))
+        if len(far):
+            out[far] = self._select(k[far], ones)
+        return out
+
     def get(self, at: np.ndarray) -> np.ndarray:
         """Values by index."""
         upper = self._select(at, True) - at
         return (upper.astype(U64) << U64(self.bits)) | self._lower(at)
 
+    def pair(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Values by index, and the values after them."""
+        place = self._select(at, True)
+        out = []
+        for i, where in ((at, place), (at + 1, self._next(place, at + 1, True))):
+            out.append(((where - i).astype(U64) << U64(self.bits)) | self._lower(i))
+        return out[0], out[1]
+
     def all(self) -> np.ndarray:
         flags = np.unpackbits(np.ascontiguousarray(self.high).view(np.uint8), bitorder="little")
         at = np.arange(self.n)
@@ -106,22 +130,39 @@ class EliasFano:
         upper = (value >> U64(self.bits)).astype(np.int64)
         fresh = np.concatenate([[True], upper[1:] != upper[:-1]])
         part = upper[fresh]
-        last = self._select(part, False) - part
-        at = np.zeros(len(part), np.int64)
+        at, last = np.zeros(len(part), np.int64), np.empty(len(part), np.int64)
         inner = slice(int(part[0] == 0), None)  # the first upper part begins at 0
-        at[inner] = self._select(part[inner] - 1, False) - part[inner] + 1
+        if part[0] == 0:
+            last[:1] = self._select(part[:1], False)
+        before = self._select(part[inner] - 1, False)
+        at[inner] = before - part[inner] + 1
+        last[inner] = self._next(before, part[inner], False) - part[inner]
         which = np.cumsum(fresh) - 1
         at, last = at[which], last[which]
-        end = last.copy()
         want = value & U64((1 << self.bits) - 1)
-        todo = np.flatnonzero(at < end)
-        while len(todo):  # halve the values of one upper part: few as a rule, many where a frequent context has many words
-            middle = (at[todo] + end[todo]) >> 1
-            less = self._lower(middle) < want[todo]
-            at[todo[less]] = middle[less] + 1
-            end[todo[~less]] = middle[~less]
-            todo = todo[at[todo] < end[todo]]
+        at = self._bound(at, last, want)
         out[:live] = at
         inside = np.flatnonzero(at < last)
         equal[inside] = self._lower(at[inside]) == want[inside]
         return out, equal
+
+    def _bound(self, at: np.ndarray, end: np.ndarray, want: np.ndarray) -> np.ndarray:
+        """The first index from at on, before end, whose lower bits are not less than want (end if there is none).
+
+        Steps that halve, from the power of two in the longest range down (few as a rule, many where a frequent context
+        has many words). The rows go by the length of their ranges, so those that a step concerns come first.
+        """
+        rounds = np.frexp((end - at).astype(float))[1].astype(np.uint8)
+        rows = np.argsort(~rounds, kind="stable")
+        rows = rows[: np.count_nonzero(rounds)]
+        many = np.cumsum(np.bincount(rounds, minlength=1)[::-1])[::-1].tolist()
+        found, to, goal = at[rows], end[rows], want[rows]
+        for k in range(len(many) - 1, 0, -1):
+            m, step = many[k], 1 << (k - 1)
+            probe = found[:m] + (step - 1)
+            less = self._lower(np.minimum(probe, to[:m] - 1)) < goal[:m]
+            less &= probe < to[:m]
+            found[:m] += less * step
+        out = at.copy()
+        out[rows] = found
+        return out

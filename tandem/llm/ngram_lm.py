@@ -277,11 +277,13 @@ class Trie:
             part = self.part(level, s)
             fresh = np.concatenate([[True], local[1:] != local[:-1]])
             context, inverse = local[fresh], np.cumsum(fresh) - 1
-            low, high = (part["begin"].get(context + i).astype(np.int64) for i in (0, 1))
+            low, high = (x.astype(np.int64) for x in part["begin"].pair(context))
             base = np.zeros(len(context), U64)
             base[low > 0] = part["word"].get(low[low > 0] - 1)
             low, high, base = low[inverse], high[inverse], base[inverse]
-            value = base + (words[at] + 1).astype(U64)
+            value = base + (np.maximum(words[at], 0) + 1).astype(U64)
+            # in rising order, as the search wants it: a value above one of a later context is beyond its own range, and stays so
+            value = np.minimum.accumulate(value[::-1])[::-1]
             found = part["word"].index(value)
             ok = (found >= low) & (found < high) & (words[at] >= 0)
             out[at] = np.where(ok, found + offsets[s], -1)
@@ -304,14 +306,15 @@ class Trie:
         live, which = live[order], np.cumsum(first) - 1
         a, b = node[live[first]], words[live[first]]
         found = self.children(level, a, b)
-        child[live] = found[which]
+        own = found[which]
+        child[live] = own
         if low is None:
             return child, None
-        hit = np.flatnonzero(found >= 0)  # sorted, as their pairs are
-        probability, weight = np.full(len(a), np.nan), self._codes(level - 1, "weight", a)
-        probability[hit] = self._codes(level, "probability", found[hit])
+        hit, missed = np.flatnonzero(found >= 0), np.flatnonzero(found < 0)  # sorted, as their pairs are
+        add = np.empty(len(a))
+        add[hit], add[missed] = self._codes(level, "probability", found[hit]), self._codes(level - 1, "weight", a[missed])
         low = low.copy()
-        low[live] = np.where(found[which] >= 0, probability[which], low[live] + weight[which])
+        low[live] = np.where(own >= 0, 0.0, low[live]) + add[which]
         return child, low
 
     def score(self, context: np.ndarray, words: np.ndarray, levels: int) -> np.ndarray:
@@ -323,7 +326,9 @@ class Trie:
 
     def score_texts(self, tokens: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of each token its word number, base and log10 probability. The context of a token is the node of the token before, one level up."""
-        words, base = self.numbered(tokens)
+        distinct, inverse = _distinct(tokens.hash)
+        words = self.numbers(distinct)
+        words, base = words[inverse], self._low(words)[inverse]
         score, node = base, self.before(tokens, words)
         for level in range(2, len(self.sizes) + 1):
             child, score = self.step(level, node, words, score)
@@ -353,12 +358,6 @@ class Trie:
         base = np.concatenate([[U64(0)], value])[edges[:-1]]
         return np.concatenate([(value - base[node] - U64(1)).astype(np.int64)[:, None], self.way(level - 1, shard)[node]], 1)
 
-    def numbered(self, tokens: Tokens) -> tuple[np.ndarray, np.ndarray]:
-        """Word numbers of a block's tokens, and their base probabilities."""
-        distinct, inverse = _distinct(tokens.hash)
-        words = self.numbers(distinct)
-        return words[inverse], self._low(words)[inverse]
-
     def before(self, tokens: Tokens, words: np.ndarray) -> np.ndarray:
         """The word number before each token; before the first stands the end token, as the start of every text."""
         return _shifted(words, tokens, int(self.numbers(np.array([END], U64))[0]))
@@ -388,7 +387,10 @@ def _runs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         order = np.lexsort((b, a))
         a, b = a[order], b[order]
         return order, np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
-    key = (a.astype(np.int64) << 32) | (b.astype(np.int64) + 1)
+    key = a.astype(np.int64)
+    key <<= 32
+    key += b
+    key += 1
     order = np.argsort(key)
     key = key[order]
     return order, np.concatenate([[True], key[1:] != key[:-1]])
@@ -401,7 +403,8 @@ Counts = list[tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 def _counted(trie: Trie, tokens: Tokens, order: int) -> Counts:
     """The counts of a block. A context that would begin before the start of the text has none."""
-    words = trie.numbered(tokens)[0]
+    distinct, inverse = _distinct(tokens.hash)
+    words = trie.numbers(distinct)[inverse]
     node, out = trie.before(tokens, words), []
     for _ in range(2, order + 1):
         live = np.flatnonzero(node >= 0)
@@ -421,17 +424,18 @@ def _small(x: np.ndarray, trie: Trie) -> np.ndarray:
 
 def _joined(parts: list[Counts]) -> Counts:
     """The counts of several parts as those of one."""
-    out, place = [], None
+    out, starts, place = [], None, None
     for level in zip(*parts, strict=True):
         context, word, count = map(np.concatenate, zip(*level, strict=True))
-        if place is not None:  # each part's contexts follow those of the part before
-            context = place[context + np.repeat(starts, [len(x[0]) for x in level])]  # noqa: F821
+        if starts is not None:  # a part's contexts follow those of the part before
+            context = place[context + np.repeat(starts, [len(x[0]) for x in level])]
         starts = np.cumsum([0, *(len(x[0]) for x in level[:-1])])
         rows, first = _runs(context, word)
         begin = np.flatnonzero(first)
-        place = np.empty(len(rows), np.int64)
+        place = np.empty(len(rows), np.uint32 if len(rows) >> 32 == 0 else np.int64)
         place[rows] = np.cumsum(first) - 1
-        out.append((context[rows[begin]], word[rows[begin]], np.add.reduceat(count[rows], begin) if len(begin) else count))
+        at = rows[begin]
+        out.append((context[at], word[at], np.add.reduceat(count[rows], begin, dtype=np.int64) if len(begin) else count))
     return out
 
 
@@ -443,26 +447,26 @@ def _grams(trie: Trie, order: int):
         edges, parts, base = None, [], offsets
         for context, word, count in counts:
             edges = np.searchsorted(context, offsets if edges is None else edges)
-            within = context - np.repeat(base[:-1], np.diff(edges))
-            parts.append((edges, (within.astype(np.uint32), word, count.astype(np.uint32))))
+            within = (context - np.repeat(base[:-1], np.diff(edges))).astype(np.uint32)
+            parts.append((edges, (within, word, count.astype(np.uint32))))
             base = edges
         live = np.flatnonzero(np.diff(parts[0][0]))
-        blobs = [
-            pa.array([way(x[edges[s] : edges[s + 1]]) for s in live], pa.binary())
-            for edges, arrays in parts for x, way in zip(arrays, (_steps, _planes, _planes), strict=True)
-        ]
-        batch = pa.RecordBatch.from_arrays([pa.array(live, pa.int64()), *blobs], names=["shard", *_columns(order)])
-        for at in range(0, len(live), 8):
-            yield batch.slice(at, 8)
+        for at in range(0, len(live), 8):  # few at a time, for memory
+            own = live[at : at + 8]
+            blobs = [
+                pa.array([way(x[edges[s] : edges[s + 1]]) for s in own], pa.binary())
+                for edges, arrays in parts for x, way in zip(arrays, (_steps, _planes, _planes), strict=True)
+            ]
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), *blobs], names=["shard", *_columns(order)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for _, data, offsets_ in text_blocks(batches, "text", 1 << 22):
             held.append(_counted(trie, Tokens(data, offsets_), order))
             size += max(len(x[0]) for x in held[-1])
-            if size > 2 * FLUSH:
-                yield from out(_joined(held))
-                held, size = [], 0
+            if size > FLUSH:
+                held, size = [_joined(held)], 0
+                yield from out(held.pop())
         if held:
             yield from out(_joined(held))
 

@@ -37,6 +37,19 @@ def test_equal_spans_hash_equal():
     assert a == c != b
 
 
+def test_elias_fano_pair_and_large_parts():
+    """Values with their followers, also over long gaps; ranges of one upper part that hold thousands of values."""
+    rng = np.random.default_rng(9)
+    dense, far = np.arange(5_000, dtype=np.uint64) * np.uint64(3), np.array([1 << 40, (1 << 40) + 1, 1 << 41], np.uint64)
+    for values in (np.concatenate([dense, far]), np.sort(rng.integers(0, 700, 40).astype(np.uint64)), np.repeat(np.uint64(5), 300)):
+        ef = EliasFano(encode(values, "x"), "x")
+        at = np.arange(len(values) - 1)
+        first, second = ef.pair(at)
+        assert np.array_equal(first, values[:-1]) and np.array_equal(second, values[1:])
+        asked = np.unique(np.concatenate([values, values + np.uint64(1), rng.integers(0, 1 << 42, 100).astype(np.uint64)]))
+        assert np.array_equal(ef.find(asked), np.searchsorted(values, asked))
+
+
 def test_elias_fano():
     rng = np.random.default_rng(2)
     for values in (np.array([], int), np.array([0, 0, 0]), np.array([5]), np.sort(rng.integers(0, 1 << 40, 2000)), np.repeat(np.arange(50), 40), np.concatenate([np.arange(1000), [1 << 50]])):

@@ -104,6 +104,20 @@ def test_lm_joined():
     assert grams == sorted(triples) and three[2].tolist() == [triples[x] for x in grams]
 
 
+def test_lm_children(frame):
+    """Each pair of a context and a word, -1 (unknown) among them, is found if and only if the texts have it."""
+    texts = {i: " ".join(f"w{j}" for j in np.random.default_rng(i).integers(0, 12, 9)) for i in range(6)}
+    model = train(frame(texts.items()), 3)
+    ways = {level: {tuple(w): i for i, w in enumerate(x for s in range(model.shards) if model.sizes[level - 1][s] for x in model.way(level, s).tolist())} for level in (2, 3)}
+    for level in (2, 3):
+        contexts = np.repeat(np.arange(sum(model.sizes[level - 2])), model.words + 1)
+        words = np.tile(np.arange(-1, model.words), len(contexts) // (model.words + 1))
+        before = [(i,) for i in range(model.words)] if level == 2 else sorted(ways[2], key=ways[2].get)
+        want = [ways[level].get((w, *before[c]), -1) for c, w in zip(contexts.tolist(), words.tolist(), strict=True)]
+        for some in (np.arange(len(words)), np.flatnonzero((words == -1) | (words == model.words - 1))):
+            assert model.children(level, contexts[some], words[some]).tolist() == [want[i] for i in some]
+
+
 def test_lm_sums_to_one(frame):
     model = train(frame([(1, "a b a c"), (2, "a b")]), 2)
     brute = Brute(["a b a c", "a b"], 2)
