@@ -26,7 +26,8 @@ n: counts, T: distinct following words, c': the context without its first word,
 k: ``prior``; at the end ``(c + 0.1) / (N + 0.1 (V + 1))``, so unknown words have
 probability too.
 
-The number of shards follows the bytes of text, so a shard's size does not grow.
+The number of shards follows the bytes of text, so a shard's size does not grow,
+save for the part of a very frequent first word or of the start of a text.
 A context is the words since the start of the text at most; the start itself
 is a context of its own.
 
